@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, text_of, written
+from .common import if_small, scratch, text_of, written
+
+#: Groups of copies (50 bytes each) that are sent to every task; more are joined by a shuffle.
+BROADCAST_GROUPS = 500_000
 
 #: State in RocksDB with bounded memory; only changes are written at each commit.
 STATE = {
@@ -21,6 +24,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # else each of many small stores sets aside megabytes of disk that it never fills
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -69,12 +74,15 @@ def exact_dedup(docs: DataFrame, digest=sha256, max_bytes_per_trigger: int = 1 <
     feed = spark.read.schema(feed.schema).parquet(feed_path)
     groups = written(copy_groups(feed_path, feed.schema, docs, max_bytes_per_trigger, scratch(spark, "dedup-state")), "dedup-groups")
 
+    # with few groups, texts and digests stay where they are; with many, they are shuffled once
+    few = if_small(groups, BROADCAST_GROUPS)
+
     # hits: the bytes of every row in a group against the bytes of the row that stays
-    members = written(rows.withColumn("digest", digest(F.col("text"))).join(groups, "digest").select("digest", "doc_id", "keep_id", "text"), "dedup-members")
+    members = written(rows.withColumn("digest", digest(F.col("text"))).join(few, "digest").select("digest", "doc_id", "keep_id", "text"), "dedup-members")
     stays = members.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("text").alias("stays"))
     clash = written(members.join(stays, "digest").where("text <> stays").select("digest").distinct(), "dedup-clashes")
     plain = ["doc_id", "text_sha256", "keep_id", "n"]
-    joined = feed.select("doc_id", "digest", "text_sha256").join(groups, "digest", "left")
+    joined = feed.select("doc_id", "digest", "text_sha256").join(few, "digest", "left")
     if not clash.isEmpty():
         split = members.join(clash, "digest").groupBy("digest", "text").agg(F.max("doc_id").alias("true_id"), F.count(F.lit(1)).alias("true_n"))
         split = split.select("digest", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "true_id", "true_n")
@@ -89,6 +97,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     marks = written(exact_dedup(docs, **options), "dedup-marks")
     copies = marks.where("group_size > 1").select(F.col("text_sha256").alias("_sha"), "keep_id", F.lit(True).alias("_many")).distinct()
+    copies = if_small(written(copies, "dedup-copies"), BROADCAST_GROUPS)
     own = docs.withColumn("_sha", F.sha2(text_of().cast("binary"), 256)).join(copies.withColumnRenamed("keep_id", "_keep"), "_sha", "left")
     alone = own.where(F.col("_many").isNull()).select(*columns)
     # of a row repeated whole, and of rows without doc_id, one stays
