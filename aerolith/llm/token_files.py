@@ -27,7 +27,7 @@ BLOCK_IDS, BLOCK_DOCS = 1 << 21, 1 << 15
 #: Every so many ones the position in the high bits is noted, so that select reads a short stretch.
 SELECT_EVERY = 256
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 class EliasFano:
@@ -107,37 +107,53 @@ def unpack(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     return [None if m else int(d) for d, m in zip(names, missing, strict=True)], ends, np.frombuffer(data, f"<u{width}", count, at)
 
 
-_TOKENIZERS: dict[str, tuple] = {}
+#: Stands between words that are encoded in one call. Words that hold it are encoded by themselves.
+MARK = "\x01"
+_KNOWN: dict[tuple[str, int], tuple] = {}
 
 
-def _encoder(path: str):
-    """The tokenizer and the ids of words met before; both stay with the Python worker."""
-    if path not in _TOKENIZERS:
+def _encoder(path: str, width: int):
+    """The tokenizer, the id of MARK, and the ids of words met before: they stay with the Python worker."""
+    if (path, width) not in _KNOWN:
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
+        tokenizer = Tokenizer.from_file(path)
+        mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+        _KNOWN[path, width] = (tokenizer, mark[0] if len(mark) == 1 else None, {})
+    return _KNOWN[path, width]
 
 
-def encode_texts(path: str, texts: list[str]) -> list[list[int]]:
-    """Ids of each text. The tokenizer drops white space and no token spans it, so words are encoded once and kept."""
-    tokenizer, known = _encoder(path)
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
+def encode_texts(path: str, texts: list[str], width: int = 2) -> list[bytes]:
+    """Ids of each text as little-endian integers of ``width`` bytes.
+
+    The tokenizer lowers letters and drops white space, and no token spans it: each word, with A-Z lowered, is encoded
+    once and its ids are kept. Texts that may hold special tokens, which are told from others by case, are not lowered.
+    """
+    tokenizer, mark, known = _encoder(path, width)
+    parts = [(x if b"<|" in x else x.lower()).split() for x in (t.encode() for t in texts)]
     new = list({w for p in parts for w in p if w not in known})
     if len(known) + len(new) > CACHE_WORDS:
         known.clear()
         new = list({w for p in parts for w in p})
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
-        for w, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-            known[w] = e.ids
-    out = []
-    for p in parts:
-        ids: list[int] = []
-        for x in map(known.__getitem__, p):
-            ids += x
-        out.append(ids)
-    return out
+    kind = f"<u{width}"
+    between = f" {MARK} "
+    byte = MARK.encode()
+    alone = [w for w in new if mark is None or byte in w]
+    for w, e in zip(alone, tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
+        known[w] = np.array(e.ids, dtype=kind).tobytes()
+    new = [w for w in new if byte not in w] if mark is not None else []
+    groups = [new[k : k + 200] for k in range(0, len(new), 200)]
+    for low in range(0, len(groups), 50):
+        some = groups[low : low + 50]
+        for words, e in zip(some, tokenizer.encode_batch_fast([between.encode().join(g).decode() for g in some], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=kind)
+            raw, ends = ids.tobytes(), np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
+            at = 0
+            for w, end in zip(words, ends, strict=True):
+                known[w] = raw[at * width : end * width]
+                at = end + 1
+    get = known.__getitem__
+    return [b"".join(map(get, p)) for p in parts]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, vocabulary: int = 49_408, rows_per_file: int = 20_000) -> None:
@@ -150,28 +166,27 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, vo
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[int | None] = []
-        parts: list[np.ndarray] = []
+        parts: list[bytes] = []
         ends: list[int] = []
         total = number = 0
 
         def close() -> pa.RecordBatch:
             nonlocal names, parts, ends, total, number
-            ids = np.concatenate(parts) if parts else np.zeros(0, dtype=f"u{width}")
+            ids = np.frombuffer(b"".join(parts), dtype=f"<u{width}")
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([number], pa.int32()), "n_docs": pa.array([len(names)], pa.int64()), "n_ids": pa.array([total], pa.int64()), "data": pa.array([pack(names, ids, np.array(ends), width)], pa.binary())})
             names, parts, ends, total, number = [], [], [], 0, number + 1
             return row
 
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, end = TaskContext.get().partitionId(), end_id.to_bytes(width, "little")
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
-                for d, ids in zip(some.column(0).to_pylist(), encode_texts(tokenizer, some.column(1).to_pylist()), strict=True):
-                    ids.append(end_id)
+                for d, ids in zip(some.column(0).to_pylist(), encode_texts(tokenizer, some.column(1).to_pylist(), width), strict=True):
                     names.append(d)
-                    parts.append(np.array(ids, dtype=f"u{width}"))
-                    total += len(ids)
+                    parts.append(ids + end)
+                    total += len(ids) // width + 1
                     ends.append(total)
                     if total >= BLOCK_IDS or len(names) >= BLOCK_DOCS:
                         yield close()
