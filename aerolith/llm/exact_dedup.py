@@ -79,7 +79,8 @@ def exact_dedup(docs: DataFrame, digest=sha256, max_bytes_per_trigger: int = 1 <
 
     # hits: the bytes of every row in a group against the bytes of the row that stays
     members = written(rows.withColumn("digest", digest(F.col("text"))).join(few, "digest").select("digest", "doc_id", "keep_id", "text"), "dedup-members")
-    stays = members.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("text").alias("stays"))
+    # written, so that both sides of the join are plain shuffles, of which large partitions can be split
+    stays = written(members.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("text").alias("stays")), "dedup-stays")
     clash = written(members.join(stays, "digest").where("text <> stays").select("digest").distinct(), "dedup-clashes")
     plain = ["doc_id", "text_sha256", "keep_id", "n"]
     joined = feed.select("doc_id", "digest", "text_sha256").join(few, "digest", "left")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +37,13 @@ class Lattices:
     """The lattices of all segments met so far, as flat arrays of nodes and of edges into each node."""
 
     def __init__(self, model_file: str, sharpness: float):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.bytes_of: list[bytes] = []
         self.byte_id = np.zeros(256, dtype=np.int64)
-        self.match = ahocorasick.Automaton()
         weights = np.zeros(model.get_piece_size())
+        pieces: dict[str, int] = {}
         first = None
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
@@ -51,73 +51,100 @@ class Lattices:
             if model.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.bytes_of[i] = bytes([int(piece[3:5], 16)])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                if SPACE in piece[1:]:
-                    continue
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and SPACE not in piece[1:]:
                 first = i if first is None else first
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
                 weights[i] = (i - first + 1.0) ** -sharpness
-                self.match.add_word(piece, (len(piece), i))
-        self.match.make_automaton()
+                pieces[piece] = i
         self.weights = weights
-        self.single = {x for x in map(model.id_to_piece, np.flatnonzero(weights > 0).tolist()) if len(x) == 1}
         #: a character in bytes weighs less than any piece
         self.byte_weight = float(weights[weights > 0].min()) / 2
+        # the prefixes of all pieces as nodes of a tree: sorted keys (node, next character), and the piece that ends at a node
+        node = {"": 0}
+        step: dict[int, int] = {}
+        for piece in pieces:
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in node:
+                    node[piece[:k]] = len(node)
+                    step[(node[piece[: k - 1]] << 21) | ord(piece[k - 1])] = node[piece[:k]]
+        self.step_key = np.array(sorted(step), dtype=np.int64)
+        self.step_to = np.array([step[k] for k in self.step_key.tolist()], dtype=np.int64)
+        self.piece_at = np.full(len(node), -1, dtype=np.int64)
+        for piece, i in pieces.items():
+            self.piece_at[node[piece]] = i
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.parts: list[tuple[np.ndarray, ...]] = []
         self.ends = np.zeros(0, dtype=np.int64)
         self.starts = np.zeros(0, dtype=np.int64)
-        self.cum = np.zeros(0)
+        self.within = np.zeros(0)
+        self.first = np.zeros(0, dtype=np.int64)
         self.source = np.zeros(0, dtype=np.int64)
         self.code = np.zeros(0, dtype=np.int64)
         self.nodes = 0
 
+    def matches(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """End, length and piece of every piece in the text; all starts walk down the tree together."""
+        at, node = np.arange(len(chars)), np.zeros(len(chars), dtype=np.int64)
+        found: list[tuple[np.ndarray, int, np.ndarray]] = []
+        size = 0
+        while len(at):
+            key = (node << 21) | chars[at + size]
+            k = np.searchsorted(self.step_key, key)
+            k[k == len(self.step_key)] = 0
+            go = self.step_key[k] == key
+            at, node = at[go], self.step_to[k[go]]
+            size += 1
+            piece = self.piece_at[node]
+            hit = piece >= 0
+            found.append((at[hit] + size, size, piece[hit]))
+            inside = at + size < len(chars)
+            at, node = at[inside], node[inside]
+        return np.concatenate([e for e, _, _ in found]), np.concatenate([np.full(len(e), n) for e, n, _ in found]), np.concatenate([c for _, _, c in found])
+
     def add(self, segments: list[str]) -> None:
         """Forward filtering for new segments. A code of -1 - c stands for character c in bytes."""
-        lengths = np.array([len(s) for s in segments], dtype=np.int64)
+        lengths = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
         base = np.concatenate([[0], np.cumsum(lengths + 1)])
-        joined = "\n".join(segments) + "\n"  # segments hold no line feed: it is MARKed below
-        end, size, code = [], [], []
-        for at, (n, i) in self.match.iter(joined):
-            end.append(at + 1)
-            size.append(n)
-            code.append(i)
-        lone = [(k + 1, -1 - ord(ch)) for k, ch in enumerate(joined) if ch not in self.single and ch != "\n"]
-        end_a = np.array(end + [k for k, _ in lone], dtype=np.int64)
-        size_a = np.array(size + [1] * len(lone), dtype=np.int64)
-        code_a = np.array(code + [c for _, c in lone], dtype=np.int64)
-        weight = np.where(code_a >= 0, self.weights[np.maximum(code_a, 0)], self.byte_weight)
-        order = np.argsort(end_a, kind="stable")
-        end_a, size_a, code_a, weight = end_a[order], size_a[order], code_a[order], weight[order]
-        # joined position p is node p: the line feed's place is the end node of the segment before it
-        alpha = np.zeros(len(joined) + 1)
+        # each segment is followed by a line feed, which no piece holds: its place is the segment's end node
+        chars = np.frombuffer(("\n".join(segments) + "\n").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        end, size, code = self.matches(chars)
+        alone = chars != 10
+        alone[end[size == 1] - 1] = False
+        lone = np.flatnonzero(alone)
+        end, size, code = np.concatenate([end, lone + 1]), np.concatenate([size, np.ones(len(lone), dtype=np.int64)]), np.concatenate([code, -1 - chars[lone]])
+        weight = np.where(code >= 0, self.weights[np.maximum(code, 0)], self.byte_weight)
+        order = np.argsort(end, kind="stable")
+        end, size, code, weight = end[order], size[order], code[order], weight[order]
+        alpha = np.zeros(len(chars) + 1)
         alpha[base[:-1]] = 1.0
-        depth = end_a - base[np.searchsorted(base, end_a - 1, "right") - 1]
-        mass = np.zeros(len(end_a))
+        depth = end - np.repeat(base[:-1], lengths + 1)[end - 1]
+        mass = np.zeros(len(end))
         by_depth = np.argsort(depth, kind="stable")
         bounds = np.searchsorted(depth[by_depth], np.arange(1, SEGMENT + 3))
         for low, high in zip(bounds[:-1], bounds[1:], strict=True):
             some = by_depth[low:high]
             if len(some):
-                mass[some] = alpha[end_a[some] - size_a[some]] * weight[some]
-                np.add.at(alpha, end_a[some], mass[some])
-        group = np.concatenate([[0], np.flatnonzero(np.diff(end_a)) + 1]) if len(end_a) else np.zeros(0, dtype=np.int64)
-        total = np.add.reduceat(mass, group) if len(group) else mass
-        counts = np.diff(np.concatenate([group, [len(end_a)]]))
-        running = np.cumsum(mass / np.repeat(total, counts)) if len(group) else mass
-        before = np.repeat(np.arange(len(group)), counts)
-        within = running - before  # each node's edges add up to 1
-        self.cum = np.concatenate([self.cum, (end_a + self.nodes) + np.minimum(within, 1.0)])
-        self.source = np.concatenate([self.source, end_a - size_a + self.nodes])
-        self.code = np.concatenate([self.code, code_a])
-        for k, s in enumerate(segments):
-            self.index[s] = len(self.ends) + k
+                mass[some] = alpha[end[some] - size[some]] * weight[some]
+                # edges stand in order of their ends: sums over runs of one end
+                e = end[some]
+                run = np.concatenate([[0], np.flatnonzero(np.diff(e)) + 1])
+                alpha[e[run]] = np.add.reduceat(mass[some], run)
+        group = np.concatenate([[0], np.flatnonzero(np.diff(end)) + 1])
+        counts = np.diff(np.append(group, len(end)))
+        running = np.cumsum(mass / np.repeat(alpha[end[group]], counts)) - np.repeat(np.arange(len(group)), counts)
+        running[group + counts - 1] = 2.0  # a draw never passes a node's last edge, however sums are rounded
+        first = np.full(len(chars) + 1, -1, dtype=np.int64)
+        first[end[group]] = group + len(self.within)
+        self.index.update(zip(segments, range(len(self.ends), len(self.ends) + len(segments)), strict=True))
+        self.within = np.concatenate([self.within, running])
+        self.first = np.concatenate([self.first, first])
+        self.source = np.concatenate([self.source, end - size + self.nodes])
+        self.code = np.concatenate([self.code, code])
         self.starts = np.concatenate([self.starts, base[:-1] + self.nodes])
         self.ends = np.concatenate([self.ends, base[:-1] + lengths + self.nodes])
-        self.nodes += len(joined) + 1
+        self.nodes += len(chars) + 1
 
     def sample(self, which: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling of one path for each segment; returns codes in reading order, and path lengths."""
@@ -128,11 +155,11 @@ class Lattices:
         k = 0
         while len(alive):
             u = uniform(seeds[alive] + np.uint64(k))
-            here = at[alive]
-            edge = np.searchsorted(self.cum, here + u, "right")
-            edge = np.minimum(edge, len(self.cum) - 1)
-            # rounding at a node's upper end must not reach the next node
-            edge -= self.cum[edge] > here + 1.0
+            edge = self.first[at[alive]]
+            over = np.flatnonzero(self.within[edge] <= u)
+            while len(over):
+                edge[over] += 1
+                over = over[self.within[edge[over]] <= u[over]]
             steps.append((alive, self.code[edge]))
             counts[alive] += 1
             at[alive] = self.source[edge]
@@ -167,15 +194,10 @@ def lattices(model_file: str, sharpness: float) -> Lattices:
 
 def segments_of(text: str) -> list[str]:
     """Segments of a text: each begins a word, after the space mark, or goes on with a long one."""
-    text = text.replace(SPACE, MARK[0]).replace("\n", MARK[1])
-    out = []
-    for word in text.split(" "):
-        word = SPACE + word
-        if len(word) <= SEGMENT:
-            out.append(word)
-        else:
-            out += [word[k : k + SEGMENT] for k in range(0, len(word), SEGMENT)]
-    return out
+    words = (SPACE + text.replace(SPACE, MARK[0]).replace("\n", MARK[1]).replace(" ", "\n" + SPACE)).split("\n")
+    if max(map(len, words)) <= SEGMENT:
+        return words
+    return [w[k : k + SEGMENT] for w in words for k in range(0, len(w), SEGMENT)]
 
 
 def encode_texts(texts: list[str], keys: list[int], model_file: str, sharpness: float) -> list[np.ndarray]:
@@ -189,8 +211,7 @@ def encode_texts(texts: list[str], keys: list[int], model_file: str, sharpness:
     if new:
         tables.add(new)
     counts = np.array([len(x) for x in split], dtype=np.int64)
-    get = tables.index.__getitem__
-    which = np.fromiter((get(s) for x in split for s in x), dtype=np.int64, count=int(counts.sum()))
+    which = np.fromiter(map(tables.index.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
     with np.errstate(over="ignore"):
         row = np.repeat(np.array([zlib.crc32(str(k).encode()) for k in keys], dtype=np.uint64) << np.uint64(32), counts)
         place = np.concatenate([np.arange(n, dtype=np.uint64) for n in counts]) if len(counts) else np.zeros(0, dtype=np.uint64)
