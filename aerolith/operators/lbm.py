@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import lit, nan_to_num, total
 from ..session import materialized
@@ -107,7 +108,7 @@ def block_step(df: DataFrame, lat: Lattice, size: int, omega: float, keys: tuple
     return streamed(pre, lat, size, keys).drop("f_pre", "solid")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def as_half(values: pd.Series) -> pd.Series:
     """Rounded to half precision."""
     return values.map(lambda v: np.asarray(v, dtype=np.float16).astype(np.float64))

@@ -1,12 +1,8 @@
-"""Registry of the engine's queries and of their SQL equivalents."""
+"""Registry of the engine's queries and of their SQL equivalents: importing the plans fills it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import aero_plans, grid_plans  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -34,7 +34,7 @@ def src01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("set05_fuselage_or_wings", f"WITH {fx.CELLS_SQL} SELECT count(*) AS solid, count(*) FILTER (WHERE z < 1 OR z > 7) AS in_wings FROM cell WHERE solid")
 def set05(spark: SparkSession, d: str) -> DataFrame:
-    return grids.cells(spark, N).where(grids.aircraft_solid(N, N / 32)).agg(F.count(F.lit(1)).alias("solid"), F.count_if("z < 1 or z > 7").alias("in_wings"))
+    return grids.cells(spark, N).where(grids.aircraft_solid(N, N / 32)).agg(F.count(F.lit(1)).alias("solid"), F.count_if(F.expr("z < 1 or z > 7")).alias("in_wings"))
 
 
 @query("src02_constant_grid", f"SELECT c AS cell, 1e-12::DOUBLE AS value FROM range({N**3}) t(c)")
@@ -196,7 +196,7 @@ def prj10(spark: SparkSession, d: str) -> DataFrame:
     cells = fx.smooth(spark)
     wide = stencil.dilated(cells.where("solid"), N).withColumn("in_wide", F.lit(True))
     at = cells.join(wide, ["sim_id", "x", "y", "z"], "left").withColumn("in_wide", F.coalesce("in_wide", F.lit(False)))
-    return at.agg(F.count_if("in_wide").alias("dilated"), F.count_if("solid").alias("solid"), F.count_if("in_wide and not solid").alias("boundary"))
+    return at.agg(F.count_if("in_wide").alias("dilated"), F.count_if("solid").alias("solid"), F.count_if(F.expr("in_wide and not solid")).alias("boundary"))
 
 
 @query("set04_except", f"WITH {fx.CELLS_SQL}, {DILATED_SQL} SELECT c AS cell FROM wide EXCEPT SELECT c FROM cell WHERE solid")
@@ -227,8 +227,10 @@ def stream_sql(value: str = "fp", source: str = "pre", wall: bool = True) -> str
 
 
 def long_form(df: DataFrame, digits: int = 9) -> DataFrame:
+    """One row for each cell and population. Directions are listed by themselves: an explode of f would copy its expression."""
     cell = ((F.col("x") * N + F.col("y")) * N + F.col("z")).cast("long")
-    return df.select(cell.alias("cell"), F.posexplode("f").alias("i", "f")).select("cell", F.col("i").cast("int").alias("i"), r(F.col("f"), digits).alias("f"))
+    rows = df.select(cell.alias("cell"), "f", F.explode(F.sequence(F.lit(0), F.lit(D27.q - 1))).alias("i")).where(F.col("i") < F.size("f"))
+    return rows.select("cell", "i", r(F.element_at("f", F.col("i") + 1), digits).alias("f"))
 
 
 @query("agg01_moments", f"WITH {fx.flow_sql(D27)}, {MOMENTS} SELECT c AS cell, {sql_rounded(('rho', 'ux', 'uy', 'uz'), 9)} FROM m")
@@ -533,7 +535,7 @@ def cmp50(spark: SparkSession, d: str) -> DataFrame:
 @query("joi14_nearest_resample", f"WITH {fx.VOXELS_SQL} SELECT v.design_id, count(*) AS cells, count(*) FILTER (WHERE p > 0.5) AS filled FROM range(12) a(i), range(12) b(j), range(12) e(k), voxel v WHERE v.x = i * 8 // 12 AND v.y = j * 8 // 12 AND v.z = k * 8 // 12 GROUP BY v.design_id")
 def joi14(spark: SparkSession, d: str) -> DataFrame:
     out = components.resampled(fx.voxels(spark), N, 12)
-    return out.groupBy("design_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if("p > 0.5").alias("filled"))
+    return out.groupBy("design_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("p") > 0.5).alias("filled"))
 
 
 @query("snk02_voxel_cubes", f"WITH {fx.VOXELS_SQL} SELECT design_id, 12 * count(*) AS triangles, round(count(*) * 1.0::DOUBLE, 6) AS volume, round(count(*) * 6.0::DOUBLE, 6) AS area FROM voxel WHERE p > 0.5 GROUP BY design_id")
