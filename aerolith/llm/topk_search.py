@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import if_small, scratch, written
 
 #: Vectors of an annulus, queries of a block, annuli described by one row of the directory.
 ANNULUS, QUERIES, DIRECTORY = 512, 256, 2_048
@@ -27,6 +27,8 @@ ANNULUS, QUERIES, DIRECTORY = 512, 256, 2_048
 PIVOT_SAMPLE, PIVOTS = 4_096, 48
 #: Tasks among which the annuli of a query block are dealt.
 SPREAD = 16
+#: Numbers of annuli in one range partition.
+PART = 1_000_000_000
 #: Below every score; its negative is an integer too.
 LOWEST = -(1 << 62)
 
@@ -128,7 +130,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
                 s[ids[qi][:, None] == ids[li][None, :]] = LOWEST
                 floor = -np.partition(-s, k - 1, axis=1)[:, k - 1] if len(qi) else floor
             number += 1
-            name = part * 1_000_000_000 + number
+            name = part * PART + number
             out = {"annulus": [name], "pivot": [int(b.column("pivot")[0].as_py())], "low": [float(far.min())], "high": [float(far.max())], "n": [len(li)], "ids": [ids[li].astype("<i8").tobytes()], "vectors": [v[li].astype("<i4").tobytes()], "queries": [ids[qi].astype("<i8").tobytes()], "asked": [v[qi].astype("<i4").tobytes()], "floor": [floor.astype("<i8").tobytes()]}
             return pa.RecordBatch.from_pydict(out, schema=shape)
 
@@ -158,7 +160,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
     pages = directory.groupBy(F.floor(F.pmod(F.xxhash64("annulus"), F.lit(max(1, -(-directory.count() // DIRECTORY))))).cast("int").alias("page")).agg(F.collect_list(F.struct("annulus", "pivot", "low", "high")).alias("entries"))
     pages = written(pages, "topk-directory")
     n_pages = max(1, pages.agg(F.max("page")).head()[0] or 0) + 1
-    asking = index.where(F.octet_length("queries") > 0).select(F.col("annulus").alias("block"), "queries", "asked", "floor")
+    asking = query_blocks(index)
     visits = asking.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(n_pages - 1)))).join(pages, "page")
     width = first["n"]
 
@@ -224,6 +226,22 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def query_blocks(index: DataFrame) -> DataFrame:
+    """(block, queries, asked, floor): the queries of annuli that follow each other, about ``QUERIES`` in a block.
+
+    Every annulus that a block has to visit is sent to it once, so few large blocks move less than one for each annulus.
+    Places are running sums over the range partitions and then over the annuli inside each.
+    """
+    own = index.where(F.octet_length("queries") > 0).select("annulus", F.floor(F.col("annulus") / PART).alias("part"), (F.octet_length("queries") / 8).cast("long").alias("n"), "queries", "asked", "floor")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = own.groupBy("part").agg(F.sum("n").alias("n"))
+    parts = parts.select("part", before(W.orderBy("part")).alias("base"))
+    own = own.withColumn("inside", before(W.partitionBy("part").orderBy("annulus"))).join(if_small(parts), "part")
+    rows = own.groupBy(F.floor((F.col("base") + F.col("inside")) / QUERIES).cast("long").alias("block")).agg(F.sort_array(F.collect_list(F.struct("annulus", "queries", "asked", "floor"))).alias("x"))
+    whole = lambda name: F.reduce(F.transform("x", lambda r: r[name]), F.lit(b""), lambda a, b: F.concat(a, b)).alias(name)
+    return written(rows.select("block", whole("queries"), whole("asked"), whole("floor")), "topk-asked")
+
+
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
