@@ -44,6 +44,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_for(rows: int, rows_per_file: int = 250_000) -> int:
+    return 1 + rows // rows_per_file
+
+
+def compacted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The written table and its number of rows. Like ``written``, in files of a sensible size: what loops hand on is often small and dealt over many partitions.
+
+    Rows are kept by the executors until they are written, so nothing is computed twice; what a lost executor held is
+    computed again.
+    """
+    held = df.persist()
+    rows = held.count()
+    out = written(held.coalesce(files_for(rows)), name)
+    held.unpersist()
+    return out, rows
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no later plan reads."""
     jvm = spark._jvm
@@ -61,19 +78,23 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components", files: int | None = None) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b); component is the smallest node reached.
 
     Labels are passed along edges and then followed one jump, until none changes; each round is a
-    table in the shared folder. Nodes without edges don't appear. No edges give an empty table.
+    table in the shared folder, in ``files`` files if the caller knows how few do. Nodes without edges don't appear.
+    No edges give an empty table.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), name)
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), name)
+    def kept(df: DataFrame) -> DataFrame:
+        return written(df.coalesce(files) if files else df, name)
+
+    both = kept(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
+    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
         stepped = labels.join(heard, "node").select("node", "component", F.least("component", "heard").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
-        after = written(stepped.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("component"), (F.least("next", F.coalesce("far", "next")) != F.col("component")).alias("moved")), name)
+        after = kept(stepped.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("component"), (F.least("next", F.coalesce("far", "next")) != F.col("component")).alias("moved")))
         labels = after.select("node", "component")
         if after.where("moved").isEmpty():
             return labels
