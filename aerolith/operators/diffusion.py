@@ -44,12 +44,15 @@ def sampler_steps(steps: int = 100, count: int = 4) -> list[int]:
     return [steps - k * (steps // count) - 1 for k in range(count)]
 
 
+def step_back(a: float):
+    return lambda x, e: (x - (1 - a) * e) / math.sqrt(a + 1e-8)
+
+
 def denoised(latents: DataFrame, predictor, steps: int = 100, count: int = 4, column: str = "x") -> DataFrame:
     """x <- (x - (1 - a) eps) / sqrt(a + 1e-8) at each step; predictor(x, t) gives the noise column."""
     for t in sampler_steps(steps, count):
-        a = 0.5 ** (t / steps)
         latents = latents.withColumn("_eps", predictor(F.col(column), t))
-        latents = latents.withColumn(column, F.zip_with(column, "_eps", lambda x, e, a=a: (x - (1 - a) * e) / math.sqrt(a + 1e-8))).drop("_eps")
+        latents = latents.withColumn(column, F.zip_with(column, "_eps", step_back(0.5 ** (t / steps)))).drop("_eps")
     return latents
 
 

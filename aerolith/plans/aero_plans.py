@@ -324,7 +324,7 @@ def src16(spark: SparkSession, d: str) -> DataFrame:
     return fx.actions(spark, d).select("design_id", F.posexplode("action").alias("k", "v")).select("design_id", F.col("k").cast("long").alias("k"), "v")
 
 
-@query("src18_example_data", "WITH d AS (SELECT p_partkey AS id, [0, 5, 10, 15, 20][1 + p_partkey % 5] AS a, [5, 10, 15, 20, 25][1 + p_partkey // 5 % 5] AS s FROM part) SELECT id, a AS aoa, s AS speed, round(0.5 + 0.1 * a + 0.02 * s, 9) AS cl, round(0.05 + 0.002 * a * a, 9) AS cd, round((0.5 + 0.1 * a + 0.02 * s) / greatest(0.05 + 0.002 * a * a, 0.01), 6) AS eff FROM d")
+@query("src18_example_data", "WITH d AS (SELECT p_partkey AS id, [0, 5, 10, 15, 20][1 + p_partkey % 5] AS a, [5, 10, 15, 20, 25][1 + p_partkey // 5 % 5] AS s FROM part) SELECT id, a AS aoa, s AS speed, round(0.5::DOUBLE + 0.1 * a + 0.02 * s, 9) AS cl, round(0.05::DOUBLE + 0.002 * a * a, 9) AS cd, round((0.5::DOUBLE + 0.1 * a + 0.02 * s) / greatest(0.05::DOUBLE + 0.002 * a * a, 0.01), 6) AS eff FROM d")
 def src18(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     pick = lambda values, i: F.element_at(F.array(*[F.lit(x) for x in values]), (1 + i).cast("int"))
