@@ -68,6 +68,17 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system, as the worker goes on to serve other stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_of(name: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -20,17 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import release, text_of
 
 SPACE = "▁"
 #: Stand for a space mark and a line feed in the text itself, which are spelled in bytes.
 MARK = "\ue000\ue001"
 #: Runs without a space are walked in segments of so many characters; pieces don't cross segments.
 SEGMENT = 48
-#: Segments whose lattices a Python worker keeps.
-CACHE_SEGMENTS = 200_000
+#: Segments whose lattices a task keeps.
+CACHE_SEGMENTS = 100_000
 #: Characters of a batch that are sampled at once.
-BATCH_CHARS = 2_500_000
+BATCH_CHARS = 1_000_000
 
 
 class Lattices:
@@ -79,9 +79,9 @@ class Lattices:
         self.ends = np.zeros(0, dtype=np.int64)
         self.starts = np.zeros(0, dtype=np.int64)
         self.within = np.zeros(0)
-        self.first = np.zeros(0, dtype=np.int64)
-        self.source = np.zeros(0, dtype=np.int64)
-        self.code = np.zeros(0, dtype=np.int64)
+        self.first = np.zeros(0, dtype=np.int32)
+        self.source = np.zeros(0, dtype=np.int32)
+        self.code = np.zeros(0, dtype=np.int32)
         self.nodes = 0
 
     def matches(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,9 +139,9 @@ class Lattices:
         first[end[group]] = group + len(self.within)
         self.index.update(zip(segments, range(len(self.ends), len(self.ends) + len(segments)), strict=True))
         self.within = np.concatenate([self.within, running])
-        self.first = np.concatenate([self.first, first])
-        self.source = np.concatenate([self.source, end - size + self.nodes])
-        self.code = np.concatenate([self.code, code])
+        self.first = np.concatenate([self.first, first.astype(np.int32)])
+        self.source = np.concatenate([self.source, (end - size + self.nodes).astype(np.int32)])
+        self.code = np.concatenate([self.code, code.astype(np.int32)])
         self.starts = np.concatenate([self.starts, base[:-1] + self.nodes])
         self.ends = np.concatenate([self.ends, base[:-1] + lengths + self.nodes])
         self.nodes += len(chars) + 1
@@ -282,6 +282,8 @@ def sampled_pieces(docs: DataFrame, model_file: str, sharpness: float = 1.0, wit
                 listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([pa.array(names[low:high], pa.int64()), pa.array(sizes), listed, pa.array(back, pa.string())], schema=schema)
                 low = high
+        lattices(model_file, sharpness).forget()
+        release()
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return picked.mapInArrow(rows, "doc_id long, n_pieces long, piece_ids array<int>, " + f"{last.name} string")
