@@ -123,6 +123,45 @@ def test_suffix_tree_with_odd_rows(odd, none):
     assert all(np.isfinite(r["score"]) and r["score"] <= 0 for r in got.values())
 
 
+def test_scores_equal_those_of_the_tree_on_the_driver(spark, real):
+    tree, counts, _ = suffix_tree_lm.learn(real.select("doc_id", "text"), p_min=0.0)
+    n = {r["key"]: r["n"] for r in counts.collect()}
+    hashes = np.array(sorted(k for k in n), dtype=np.int64)
+    for p_min in (suffix_tree_lm.P_MIN, 1e-3):
+        got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(real, p_min=p_min).collect()}
+        for d, t, _ in docs_of(real):
+            h = suffix_tree_lm.word_hashes(tokens(t))
+            ids = suffix_tree_lm.place_signed(h, hashes)
+            found = suffix_tree_lm.contexts_at(ids, np.arange(len(ids)), tree.levels)
+            wanted = 0.0
+            for i, w in enumerate(ids):
+                if w < 0:
+                    # an unknown word: what each kept context leaves to its suffix, and the word's own probability
+                    wanted += log10(0.5 / (tree.total + 0.5 * (tree.distinct + 1)))
+                    wanted += sum(level.back_off[c[i]] for level, c in zip(tree.levels, found, strict=True) if c[i] >= 0 and level.kept[c[i]])
+                else:
+                    depth = max((k for k, c in enumerate(found, 1) if c[i] >= 0), default=0)
+                    wanted += suffix_tree_lm.suffix_logp(np.array([found[depth - 1][i] if depth else -1]), np.array([w]), tree.levels, tree.base, depth)[0]
+            assert got[d] == pytest.approx(wanted)
+
+
+def test_rare_contexts_stay_in_the_tree_of_a_large_corpus(spark):
+    # 21 million words, of which a pair occurs 4 times: fewer than 2^-22 of them
+    few = [(i, "rare pair of words seen again " * 2) for i in (2, 6)]
+    many = [(i, "a " * 50_000) for i in range(1_000, 1_530)]
+    held = [i for i in range(7, 200) if zlib.crc32(str(i).encode()) % 5 == 1][:1]
+    assert all(zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in few)
+    docs = spark.createDataFrame([*few, *many, (held[0], "rare pair of words seen again")], "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r for r in suffix_tree_lm.score(docs).collect()}[held[0]]
+    assert got["train_tokens"] > 2**24 and got["score"] > got["base_score"] / 2
+
+
+def test_pair_hash_is_that_of_spark(spark):
+    rows = [(1, 2), (-5, 2**62), (0, -(2**63))]
+    a, b = np.array(rows, dtype=np.int64).T.copy()
+    assert suffix_tree_lm.pair_hash(a, b).tolist() == [r[0] for r in spark.createDataFrame(rows, "a long, b long").selectExpr("xxhash64(a, b)").collect()]
+
+
 # ------------------------------------------------------------------ mixing
 
 def test_mixing_nears_its_targets(odd, real, none):
