@@ -3,14 +3,15 @@
 Every way to spell a text in pieces is a path through a lattice. Forward filtering adds up the weights of all
 paths that end at each character; walking back from the end, each piece is then drawn in proportion to the
 weight of the paths through it. Draws are a hash of the row's key and the place in the text, so an encoding can be
-made again. Pieces never cross a space, so lattices are built for each distinct word once and all words of a batch
-are walked at the same time. Characters without a piece are spelled in bytes; decoding gives back the exact text.
+made again. No piece goes on with a space after another character, so lattices are built once for each distinct word
+with the spaces before it, and all words of a batch are walked at the same time. Characters without a piece are spelled in bytes; decoding gives back the exact text.
 
 The model file holds merge ranks, not probabilities: the piece of rank r weighs (r + 1) ** -sharpness.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -23,12 +24,18 @@ from pyspark.sql import functions as F
 from .common import release, text_of
 
 SPACE = "▁"
-#: Stand for a space mark and a line feed in the text itself, which are spelled in bytes.
-MARK = "\ue000\ue001"
-#: Runs without a space are walked in segments of so many characters; pieces don't cross segments.
+#: Stand for a space mark and a line feed in the text itself, which are spelled in bytes. No text in UTF-8 holds them.
+MARK = "\ud800\ud801"
+#: Segments of more characters have their sums scaled on the way, as these would grow too small for a float.
 SEGMENT = 48
+#: Spaces, and what follows up to the next space.
+WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Spaces after another character, within a piece.
+INNER = re.compile(f"[^{SPACE}]{SPACE}")
 #: Segments whose lattices a task keeps.
 CACHE_SEGMENTS = 100_000
+#: Characters of segments whose lattices a task keeps, as some segments are long.
+CACHE_CHARS = 2_000_000
 #: Characters of a batch that are sampled at once.
 BATCH_CHARS = 1_000_000
 
@@ -51,12 +58,15 @@ class Lattices:
             if model.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.bytes_of[i] = bytes([int(piece[3:5], 16)])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and SPACE not in piece[1:]:
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+                if INNER.search(piece) or "\n" in piece:
+                    raise ValueError(f"piece {piece!r} crosses the border of a segment")
                 first = i if first is None else first
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
                 weights[i] = (i - first + 1.0) ** -sharpness
                 pieces[piece] = i
         self.weights = weights
+        self.longest = max(map(len, pieces))
         #: a character in bytes weighs less than any piece
         self.byte_weight = float(weights[weights > 0].min()) / 2
         # the prefixes of all pieces as nodes of a tree: sorted keys (node, next character), and the piece that ends at a node
@@ -122,8 +132,10 @@ class Lattices:
         depth = end - np.repeat(base[:-1], lengths + 1)[end - 1]
         mass = np.zeros(len(end))
         by_depth = np.argsort(depth, kind="stable")
-        bounds = np.searchsorted(depth[by_depth], np.arange(1, SEGMENT + 3))
-        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        bounds = np.searchsorted(depth[by_depth], np.arange(1, lengths.max() + 2))
+        long = np.flatnonzero(lengths > SEGMENT)
+        back = np.arange(self.longest)
+        for at, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), 1):
             some = by_depth[low:high]
             if len(some):
                 mass[some] = alpha[end[some] - size[some]] * weight[some]
@@ -131,9 +143,15 @@ class Lattices:
                 e = end[some]
                 run = np.concatenate([[0], np.flatnonzero(np.diff(e)) + 1])
                 alpha[e[run]] = np.add.reduceat(mass[some], run)
+                mass[some] /= alpha[e]
+            if at % self.longest == 0 and len(long):
+                # of a long segment the nodes that pieces to come can begin at; only their ratios count from here on
+                long = long[lengths[long] > at]
+                recent = base[long][:, None] + at - back
+                alpha[recent] /= alpha[recent].max(axis=1, keepdims=True)
         group = np.concatenate([[0], np.flatnonzero(np.diff(end)) + 1])
         counts = np.diff(np.append(group, len(end)))
-        running = np.cumsum(mass / np.repeat(alpha[end[group]], counts)) - np.repeat(np.arange(len(group)), counts)
+        running = np.cumsum(mass) - np.repeat(np.arange(len(group)), counts)
         running[group + counts - 1] = 2.0  # a draw never passes a node's last edge, however sums are rounded
         first = np.full(len(chars) + 1, -1, dtype=np.int64)
         first[end[group]] = group + len(self.within)
@@ -193,11 +211,13 @@ def lattices(model_file: str, sharpness: float) -> Lattices:
 
 
 def segments_of(text: str) -> list[str]:
-    """Segments of a text: each begins a word, after the space mark, or goes on with a long one."""
-    words = (SPACE + text.replace(SPACE, MARK[0]).replace("\n", MARK[1]).replace(" ", "\n" + SPACE)).split("\n")
+    """Segments of a text, whose borders no piece crosses: each is a word with the space marks before it, or a line's end within."""
+    spaced = SPACE + text.replace(SPACE, MARK[0]).replace("\n", MARK[1]).replace(" ", SPACE)
+    words = WORD.findall(spaced) if SPACE * 2 in spaced else spaced.replace(SPACE, "\n" + SPACE)[1:].split("\n")
     if max(map(len, words)) <= SEGMENT:
         return words
-    return [w[k : k + SEGMENT] for w in words for k in range(0, len(w), SEGMENT)]
+    # no piece holds a line feed
+    return [p for w in words for p in (w.replace(MARK[1], MARK[1] + "\n").split("\n") if len(w) > SEGMENT else [w]) if p]
 
 
 def encode_texts(texts: list[str], keys: list[int], model_file: str, sharpness: float) -> list[np.ndarray]:
@@ -205,7 +225,7 @@ def encode_texts(texts: list[str], keys: list[int], model_file: str, sharpness:
     tables = lattices(model_file, sharpness)
     split = [segments_of(t) if t else [] for t in texts]
     new = list({s for x in split for s in x if s not in tables.index})
-    if len(tables.index) + len(new) > CACHE_SEGMENTS:
+    if len(tables.index) + len(new) > CACHE_SEGMENTS or tables.nodes + sum(map(len, new)) > CACHE_CHARS:
         tables.forget()
         new = list({s for x in split for s in x})
     if new:
@@ -255,7 +275,6 @@ def sampled_pieces(docs: DataFrame, model_file: str, sharpness: float = 1.0, wit
 
     The same doc_id and text always give the same pieces. A null text is empty: no pieces, decoded to the empty text.
     A null doc_id is a key like any other; rows may repeat; no rows give no rows; other columns are ignored.
-    Texts that hold the private characters of MARK are spelled in bytes throughout.
     """
     import hashlib
 
@@ -272,9 +291,7 @@ def sampled_pieces(docs: DataFrame, model_file: str, sharpness: float = 1.0, wit
                     chars += len(texts[high])
                     high += 1
                 some = texts[low:high]
-                ids = [None if private(t) else 0 for t in some]
-                coded = iter(encode_texts([t for t, x in zip(some, ids, strict=True) if x == 0], [k for k, x in zip(names[low:high], ids, strict=True) if x == 0], model_file, sharpness))
-                pieces = [in_bytes(t, model_file, sharpness) if x is None else next(coded) for t, x in zip(some, ids, strict=True)]
+                pieces = encode_texts(some, names[low:high], model_file, sharpness)
                 back = [decode(p, model_file, sharpness) for p in pieces]
                 back = back if with_text else [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]
                 sizes = np.array([len(p) for p in pieces], dtype=np.int64)
@@ -287,13 +304,3 @@ def sampled_pieces(docs: DataFrame, model_file: str, sharpness: float = 1.0, wit
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return picked.mapInArrow(rows, "doc_id long, n_pieces long, piece_ids array<int>, " + f"{last.name} string")
-
-
-def private(text: str) -> bool:
-    return MARK[0] in text or MARK[1] in text
-
-
-def in_bytes(text: str, model_file: str, sharpness: float) -> np.ndarray:
-    """A text spelled in bytes throughout, behind the first space."""
-    tables = lattices(model_file, sharpness)
-    return tables.byte_id[list((" " + text).encode("utf-8", "surrogatepass"))]

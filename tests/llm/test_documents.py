@@ -326,6 +326,67 @@ def test_segmentations_follow_their_weights():
         assert abs(k / n - share) < 5 * (share / n) ** 0.5 + 0.01
 
 
+def spellings(text, tables):
+    """Every spelling of a text by brute force, with its share of all weights; texts of characters that are pieces."""
+    piece = {b.decode(): i for i, b in enumerate(tables.bytes_of) if tables.weights[i] > 0}
+    found = []
+
+    def walk(rest, ids, weight):
+        if not rest:
+            found.append((tuple(ids), weight))
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in piece:
+                walk(rest[k:], [*ids, piece[rest[:k]]], weight * tables.weights[piece[rest[:k]]])
+
+    walk(" " + text, [], 1.0)
+    total = sum(w for _, w in found)
+    return {ids: w / total for ids, w in found}
+
+
+@pytest.mark.parametrize("text", ["    if", "a   b", "  "])
+def test_pieces_of_several_spaces_are_drawn(text):
+    path, n = tokenizer_file("piece_bpe_32k.model"), 4000
+    tables = piece_sampling.lattices(path, 1.0)
+    wanted = spellings(text, tables)
+    drawn = Counter(tuple(x.tolist()) for x in piece_sampling.encode_texts([text] * n, list(range(n)), path, 1.0))
+    assert set(drawn) <= set(wanted) and any(tables.bytes_of[i].startswith(b"  ") for x in drawn for i in x)
+    for ids, share in wanted.items():
+        assert abs(drawn[ids] / n - share) < 5 * (share / n) ** 0.5 + 0.01
+
+
+def test_long_runs_are_one_lattice():
+    path, n = tokenizer_file("piece_bpe_32k.model"), 300
+    tables = piece_sampling.lattices(path, 1.0)
+    text = "hello" * 60
+    assert [len(x) for x in piece_sampling.segments_of(text)] == [301]
+    cut = 0
+    for x in piece_sampling.encode_texts([text] * n, list(range(n)), path, 1.0):
+        assert piece_sampling.decode(x, path) == text
+        cut += 48 in np.cumsum([len(tables.bytes_of[i]) for i in x])
+    assert 0 < cut < n
+    long = "x" * 100_000
+    assert piece_sampling.decode(piece_sampling.encode_texts([long], [1], path, 1.0)[0], path) == long
+
+
+def test_scaled_sums_give_the_same_draws(monkeypatch):
+    path = tokenizer_file("piece_bpe_32k.model")
+    texts = ["internationalization", "https://example.org/pages", "hello"]
+    plain = piece_sampling.Lattices(path, 1.0)
+    plain.add([piece_sampling.SPACE + t for t in texts])
+    monkeypatch.setattr(piece_sampling, "SEGMENT", 3)
+    scaled = piece_sampling.Lattices(path, 1.0)
+    scaled.add([piece_sampling.SPACE + t for t in texts])
+    assert np.allclose(plain.within, scaled.within)
+
+
+def test_private_characters_do_not_stop_the_lattice(spark):
+    path = tokenizer_file("piece_bpe_32k.model")
+    text = "the quick brown fox \ue000 and \ue001\n the ▁ lazy dog"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = piece_sampling.sampled_pieces(docs, path, with_text=True).head()
+    assert r["decoded"] == text and r["n_pieces"] < len(text.encode()) + 1
+
+
 # ------------------------------------------------------------------ toxicity
 
 def test_toxicity_on_held_out_labels(spark):
