@@ -4,8 +4,9 @@ Digests of all documents are written as a feed and read as a stream in bounded m
 streaming aggregation keyed by digest keeps, in RocksDB state without expiry, the number of rows,
 the stable identifier (the largest doc_id) and the locator of its content (file and length). Rows are
 combined in each task before they are shuffled, so a group of copies that holds a third of all rows
-costs one row per task. Rows whose digest is known already are hits: their full text is then compared
-with the text found through the locator, and texts that only share a digest are grouped by their bytes.
+costs one row per task. Rows whose digest is known already are hits: the table is read again after the stream
+and joined by digest, and their full text is compared with that of the row that stays; the locator is kept in
+the state but not read. Texts that only share a digest are grouped by their bytes.
 """
 
 from __future__ import annotations
