@@ -32,7 +32,7 @@ def ranked(rows: DataFrame, key: str, first: str, buckets: int) -> DataFrame:
     return inside.join(if_small(offsets), [key, "_b"]).withColumn("rank", F.col("_from") + F.col("_in")).drop("_b", "_from", "_in")
 
 
-def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 6, links: DataFrame | None = None) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int | None = None, links: DataFrame | None = None) -> DataFrame:
     """One row a document (doc_id, text): doc_id, size, text_crc32, shard, slot, hub (null if unlinked).
 
     ``links`` (doc_id, hub) names the hub of linked documents; if it is not given, equal texts are linked. A null
@@ -54,7 +54,8 @@ def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 6, links: D
 
     quota = n // shards  # linked documents that a shard takes at most
     linked = rows.where("linked").select("doc_id", "h", "hub", "shard")
-    for _ in range(rounds):
+    # a hub fills one shard a round: until none moves, or as many rounds as it takes to fill each of the shards
+    for _ in range(shards if rounds is None else rounds):
         held = written(linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n")), "shard-held")
         load = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
         room = {s: quota - load.get(s, 0) for s in range(shards)}

@@ -269,6 +269,13 @@ def test_linked_documents_move_together(spark):
     assert together >= 15
 
 
+def test_a_third_of_equal_texts_fills_its_shards(spark):
+    rows = [(i, "same" if i % 3 == 0 else f"text {i}") for i in range(960)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = Counter(r["shard"] for r in sharding.balanced_shards(docs).collect() if r["doc_id"] % 3 == 0)
+    assert sum(held.values()) == 320 and len(held) == 8
+
+
 # ------------------------------------------------------------------ token files
 
 def test_elias_fano_round_trip():
