@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,17 +37,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage.
 
-    A lost executor then costs the tasks that were running, not the work before.
+    A lost executor then costs the tasks that were running, not the work before. The table's path is put in
+    ``paths``, if given, for ``remove_all``.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_all(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that no later plan reads."""
+    for path in paths:
+        remove(spark, path)
+    paths.clear()
+
+
 def files_for(rows: int, rows_per_file: int = 250_000) -> int:
     return 1 + rows // rows_per_file
 
@@ -84,6 +98,22 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose values in a text column have at most so many bytes; a longer value is a slice by itself."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+        low, before = 0, 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(low, high - low)
+            low, before = high, int(ends[high - 1])
+
+
+def bytes_of(texts: pa.Array) -> list[bytes]:
+    """The texts in UTF-8."""
+    return texts.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text with A-Z lowered: other letters stay as they are."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -96,18 +126,26 @@ def connected_components(edges: DataFrame, name: str = "components", files: int
     table in the shared folder, in ``files`` files if the caller knows how few do. Nodes without edges don't appear.
     No edges give an empty table.
     """
-    def kept(df: DataFrame) -> DataFrame:
-        return written(df.coalesce(files) if files else df, name)
+    spark = edges.sparkSession
+    old: list[str] = []
+
+    def kept(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+        return written(df.coalesce(files) if files else df, name, paths)
 
-    both = kept(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    graph: list[str] = []
+    both = kept(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), graph)
+    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), old)
     while True:
+        this: list[str] = []
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
         stepped = labels.join(heard, "node").select("node", "component", F.least("component", "heard").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
-        after = kept(stepped.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("component"), (F.least("next", F.coalesce("far", "next")) != F.col("component")).alias("moved")))
+        after = kept(stepped.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("component"), (F.least("next", F.coalesce("far", "next")) != F.col("component")).alias("moved")), this)
         labels = after.select("node", "component")
+        remove_all(spark, old)
+        old = this
         if after.where("moved").isEmpty():
+            remove_all(spark, graph)
             return labels
 
 

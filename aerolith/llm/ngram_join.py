@@ -1,141 +1,214 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of its distinct shingles in one global order, estimated rare ones first. For a similarity
-of t, two documents that are linked share at least l shingles among the first n - ceil(t n) + l of each, for any l.
-Every document chooses its own l by the estimated cost of the candidates its prefix brings: documents whose prefix
-holds common shingles lengthen it, and in return a pair must share min(l, l') prefix shingles before its full sets
-are compared. Documents with the same set are one class and take part once.
-
-Only groups, not pairs, are asked for, so posting lists are never multiplied out: in each round every list
-compares its members with one or a few pivots, members in the same component need no comparison, a compared pivot
-leaves its list, and lists that lie in one component are done. All pairs that share enough prefix shingles and lie
-in different components are compared in the end.
+A document is the set of its distinct shingles in one global order, rare ones first. For a similarity of t, two
+documents that are linked share at least l shingles among the first n - ceil(t n) + l of each, for any l. Every
+document chooses its own l by the estimated cost of the candidates its prefix brings: documents whose prefix holds
+common shingles lengthen it, and in return a pair must share min(l, l') prefix shingles before its full sets are
+compared. Documents with the same set are one class and take part once.
+
+The rarest shingle that two linked documents share stands in the prefixes for l = 1, and no more than what follows it
+can be shared. So a document at place i of a list, with n shingles, is linked through it only with documents of a size
+that n - i shared shingles allow. Members of short lists are paired if each allows the size of the other.
+
+Only groups, not pairs, are asked for, so long lists aren't multiplied out. First each is cut into bands of sizes, and
+the member with the fewest rare shingles of a band is compared with the members of its own band and of the next: where
+many documents are near copies of one, this joins them in one component. Then only members of different components are
+paired, by list and size, a document whose rare shingles leave little to share with few sizes or none. Every pair that
+may be linked is either compared or lies in one component.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
+from math import log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import compacted, connected_components, files_for, if_small, release, text_of, words_of, written
+from .common import bytes_of, chunks, connected_components, if_small, release, remove_all, text_of, written
 
 #: Prefixes are lengthened for one of these numbers of shared shingles.
 MATCHES = (1, 2, 4, 8, 16)
-#: One in so many documents (by a hash of doc_id) is counted to estimate how common shingles are.
-COUNTED = 8
-#: A shingle is common if so many counted documents hold it; by a share of all, at most 2^20 shingles are.
+#: A shingle is common if so many documents hold it; by a share of all, at most 2^20 shingles are.
 COMMON, COMMON_SHARE = 8, 2.0**-20
 #: Cost of comparing two full sets, in visits to a posting.
 COMPARE = 16
-#: Lists of so many members or fewer are compared pair by pair after the first round.
-SHORT = 24
-CACHE_WORDS = 200_000
+#: Lists of so many members or fewer are paired at once.
+SHORT = 8
+#: Sizes of one fine band differ by less than this factor.
+FINE = 1.02
+#: Long lists get another round of pivots while so many times their members would be paired.
+MANY = 16
+#: Shingles that a task counts at once.
+FLUSH = 2_000_000
+#: Bytes of text that are cut into shingles at once, and of words whose hashes a task remembers.
+TEXT_BYTES, CACHE_BYTES = 2_000_000, 24_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS: dict[bytes, int] = {}
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _WORDS
-    new = {w for w in words if w not in known}
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = set(words)
-    for w in new:
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit shingles; fewer words than ``width`` are one shingle, none are none."""
-    h = word_hashes(words_of(text))
-    if not len(h):
-        return h.astype(np.int64)
-    k = min(width, len(h))
-    with np.errstate(over="ignore"):
-        x = np.full(len(h) - k + 1, k, dtype=np.uint64)
-        for i in range(k):
-            x = (x ^ h[i : len(h) - k + 1 + i]) * _MIX
-            x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-    return np.unique(x.view(np.int64))
+class WordHashes(dict):
+    """Word to hash; forgets all words when they take too much memory."""
+
+    held = 0
 
+    def __missing__(self, word: bytes) -> int:
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+        self.held += len(word) + 150
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
 
-def least_overlap(n: int, percent: int) -> int:
-    """What a set of n shares at least with any set it is linked with."""
-    return -(-percent * n // 100)
 
+def shingle_sets(texts: list[bytes], width: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct 64-bit shingles of each text, one text after the other, and how many each has.
 
-def prefix(x: np.ndarray, common: np.ndarray, held: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of a set and the number of matches it stands for."""
+    Fewer words than ``width`` are one shingle, none are none.
+    """
+    words = [t.lower().split() for t in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum()))
+    n = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
+    begin = np.cumsum(n) - n
+    at = np.arange(int(n.sum())) + np.repeat(np.cumsum(counts) - counts - begin, n)
+    k = np.repeat(np.minimum(counts, width).astype(np.uint64), n)
+    x = k.copy()
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            y = (x ^ h[np.minimum(at + i, len(h) - 1)]) * _MIX
+            y ^= y >> np.uint64(29)
+            x = np.where(k > i, y, x)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+    x = x.view(np.int64)
+    for low, size in zip(begin.tolist(), n.tolist(), strict=True):
+        x[low : low + size].sort()
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    new[begin[n > 0]] = True
+    sums = np.concatenate([[0], np.cumsum(new)])
+    return x[new], sums[begin + n] - sums[begin]
+
+
+def prefixes(x: np.ndarray, n: np.ndarray, common: np.ndarray, held: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefixes of sets that stand one after the other, their lengths, and the number of matches each stands for."""
     df = np.ones(len(x))
     if len(common):
         at = np.searchsorted(common, x)
         at[at == len(common)] = 0
-        df = np.where(common[at] == x, held[at], 1)
-    order = np.lexsort((x, df))
-    x, df = x[order], df[order]
-    lists = np.cumsum(df - 1)
-    first = len(x) - least_overlap(len(x), percent)
-    best, chosen = None, MATCHES[0]
+        df = np.where(common[at] == x, held[at], 1.0)
+    order = np.lexsort((df, np.repeat(np.arange(len(n)), n)))  # stable, so shingles that are as common stay sorted
+    x, visits = x[order], np.concatenate([[0.0], np.cumsum(df[order] - 1)])
+    begin = np.cumsum(n) - n
+    first = n + -percent * n // 100
+    best, chosen = np.full(len(n), np.inf), np.ones(len(n), dtype=np.int64)
     for m in MATCHES:
-        if first + m > len(x):
-            break
-        cost = lists[first + m - 1] * (1 + COMPARE / m) + first + m
-        if best is None or cost < best:
-            best, chosen = cost, m
-    return x[: first + chosen], chosen
+        fits = first + m <= n
+        cost = (visits[begin + np.where(fits, first + m, 0)] - visits[begin]) * (1 + COMPARE / m) + first + m
+        better = fits & (cost < best)
+        best, chosen = np.where(better, cost, best), np.where(better, m, chosen)
+    size = np.where(n > 0, first + chosen, 0)
+    return x[np.arange(len(x)) - np.repeat(begin, n) < np.repeat(size, n)], size, chosen
 
 
 def shingle_counts(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles and how many documents hold them, estimated: sorted and at most 1 / COMMON_SHARE."""
+    """Common shingles and how many documents hold them: sorted and at most 1 / COMMON_SHARE.
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, width))], ["s"])
+    All documents are counted, and tasks pass on what more than one of their documents hold: a shingle that is
+    spread so thinly that no task meets it twice counts as rare. Counts set the order and the cost, and no link.
+    """
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(COUNTED)) == 0).select("text").mapInArrow(emit, "s long")
-    counts = written(some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON), "join-common")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sets, size = WordHashes(), [], 0
+
+        def out() -> pa.RecordBatch:
+            s, n = np.unique(np.concatenate(sets), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(s[n > 1]), pa.array(n[n > 1].astype(np.int64))], ["s", "n"])
+
+        for some in chunks(batches, "text", TEXT_BYTES):
+            sets.append(shingle_sets(bytes_of(some.column("text")), width, known)[0])
+            size += len(sets[-1])
+            if size > FLUSH:
+                yield out()
+                sets, size = [], 0
+        if sets:
+            yield out()
+        known.clear()
+        sets.clear()
+        release()
+
+    paths: list[str] = []
+    counts = written(docs.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON), "join-common", paths)
     total = counts.agg(F.sum("n")).head()[0] or 0
     found = counts.where(F.col("n") > COMMON_SHARE * total).toArrow()
+    remove_all(docs.sparkSession, paths)
     order = np.argsort(found["s"].to_numpy())
-    return found["s"].to_numpy()[order], found["n"].to_numpy()[order].astype(float) * COUNTED
+    return found["s"].to_numpy()[order], found["n"].to_numpy()[order].astype(float)
 
 
-def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, digest) of every row, and (doc_id, n, matches, prefix) of the first document of each set."""
-    spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(shingle_counts(docs, width))
+def prefix_rows(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
+    """(doc_id, n, digest, matches, prefix) of every row; the digest of the empty set is null."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, held = common.value
-        for b in batches:
-            for low in range(0, b.num_rows, 500):
-                some = b.slice(low, 500)
-                out: list[tuple] = []
-                for t in some.column(1).to_pylist():
-                    x = shingles(t, width)
-                    if len(x):
-                        p, m = prefix(x, values, held, percent)
-                        out.append((len(x), hashlib.sha256(x.tobytes()).digest(), m, p))
-                    else:
-                        out.append((0, None, 0, x))
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array([o[k] for o in out], schema.field(k + 1).type) for k in range(4))], schema=schema)
-        _WORDS.clear()
+        known = WordHashes()
+        for some in chunks(batches, "text", TEXT_BYTES):
+            x, n = shingle_sets(bytes_of(some.column("text")), width, known)
+            ends = np.cumsum(n).tolist()
+            digests = [hashlib.sha256(x[b - k : b]).digest() if k else None for b, k in zip(ends, n.tolist(), strict=True)]
+            p, size, matches = prefixes(x, n, values, held, percent)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(p))
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(digests, pa.binary()), pa.array(matches.astype(np.int32)), lists], schema=schema)
+        known.clear()
         release()
 
-    rows = written(docs.mapInArrow(emit, "doc_id long, n int, digest binary, matches int, prefix array<long>"), "join-sets")
-    return rows, common
+    return docs.mapInArrow(emit, "doc_id long, n int, digest binary, matches int, prefix array<long>")
+
+
+def band(size: Column, factor: float) -> Column:
+    """Sizes that differ by at most this factor lie in one band or in neighbouring ones."""
+    return F.floor(F.log(size.cast("double")) / (log(factor) * 1.000001)).cast("int") if factor > 1 else size.cast("int")
+
+
+def fits(x: str, y: str) -> Column:
+    """Each of two members of a list allows the size of the other."""
+    return (F.col(f"{x}.n") <= F.col(f"{y}.most")) & (F.col(f"{y}.n") <= F.col(f"{x}.most"))
+
+
+def pair(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.doc_id", f"{y}.doc_id").alias("a"), F.greatest(f"{x}.doc_id", f"{y}.doc_id").alias("b")]
+
+
+def pivot_pairs(long: DataFrame, label: Column, turn: int, percent: int) -> DataFrame:
+    """Members of long lists beside the pivot of their band of sizes and of the next.
+
+    The first pivot is the member that the fewest rare shingles stand before; later ones are of any component.
+    """
+    rows = long.withColumns({"label": label, "band": band(F.col("n"), 100 / percent)})
+    first = F.struct(F.xxhash64("label", F.lit(turn)).alias("h") if turn else F.lit(0).alias("h"), "i", "doc_id", "n", "most", "label")
+    pivots = written(rows.groupBy("s", "band").agg(F.min(first).alias("p")).select("s", "band", "p.*"), "join-pivots")
+    seen = rows.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    both = seen.alias("x").join(if_small(pivots).alias("p"), ["s", "band"])
+    return both.where((F.col("x.label") != F.col("p.label")) & fits("x", "p")).select(*pair("x", "p"))
+
+
+def remaining(long: DataFrame, label: Column, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Smaller and larger partners of the pairs of long lists that lie in different components, by list and fine band of the smaller one."""
+    rows = long.withColumn("label", label)
+    mixed = written(rows.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("s"), "join-mixed")
+    rows = written(rows.join(if_small(mixed), "s", "left_semi"), "join-rest")
+    small = rows.where("n <= most").withColumn("f", band(F.col("n"), FINE))
+    low, high = band(F.greatest(F.ceil(F.col("n") * percent / 100), F.lit(1)), FINE), band(F.least("n", "most"), FINE)
+    large = rows.withColumns({"low": low, "high": high}).where("low <= high").withColumn("f", F.explode(F.sequence("low", "high"))).drop("low", "high")
+    return small, large
 
 
 def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -147,94 +220,117 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     only through documents with the same set, and else has none. No rows give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    paths: list[str] = []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows, common = classes(docs, width, percent)
+    counted = shingle_counts(docs, width)
+    common = spark.sparkContext.broadcast(counted)
+    rows = written(prefix_rows(docs, width, percent, common), "join-sets")
     first = written(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "join-copies")
     marked = rows.join(if_small(first), "digest", "left")
     own = marked.where("n > 0 and doc_id is not null and (first is null or first = doc_id)").select("doc_id", "n", "matches", "prefix")
-    own = written(own, "join-prefixes")
+    own = written(own, "join-prefixes", paths)
 
-    postings = own.select("doc_id", "n", F.explode("prefix").alias("s"))
-    often = F.broadcast(written(spark.createDataFrame(pa.table({"s": pa.array(common.value[0], pa.int64())})), "join-often"))  # at most 1 / COMMON_SHARE rows
+    reach = F.expr(f"n - cast(ceil(n * {percent} / 100) as int) + 1")
+    places = own.select("doc_id", "n", F.posexplode(F.slice("prefix", F.lit(1), reach)).alias("i", "s"))
+    places = places.withColumn("most", F.expr(f"cast({100 + percent} * (n - i) div {percent} - n as int)"))
+    often = F.broadcast(written(spark.createDataFrame(pa.table({"s": pa.array(counted[0], pa.int64())})), "join-often", paths))  # at most 1 / COMMON_SHARE rows
     # lists of common shingles are summed up before the shuffle; the others are short
-    many = postings.join(often, "s", "left_semi")
-    many = many.join(many.groupBy("s").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"), "s")
+    many = places.join(often, "s", "left_semi")
+    sums = [F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("members")]
+    many = many.join(F.broadcast(many.groupBy("s").agg(*sums).where("least < last")), "s")  # one row a common shingle
     by_shingle = W.partitionBy("s")
-    few = postings.join(often, "s", "left_anti").withColumns({"low": F.min("doc_id").over(by_shingle), "high": F.max("doc_id").over(by_shingle)}).where("low < high")
-    lists = written(many.select("s", "doc_id", "n").union(few.select("s", "doc_id", "n")), "join-lists")
-
-    labels = None  # (node, component) of documents that have a link
-    links = None
-    tested = spark.createDataFrame([], "a long, b long")
-    k, turn, seen = 1, 0, 0
-    while not lists.isEmpty():
-        named = lists if labels is None else lists.join(if_small(labels), lists.doc_id == labels.node, "left").drop("node")
-        named = named.withColumn("label", F.coalesce(F.col("component") if labels is not None else F.lit(None), F.col("doc_id")))
-        pivots = [F.min(F.struct(F.xxhash64("doc_id", F.lit(turn * 100 + j)).alias("h"), "doc_id", "n", "label")).alias(f"p{j}") for j in range(k)] if turn else [F.min(F.struct(F.lit(0).alias("h"), "doc_id", "n", "label")).alias("p0")]
-        state = named.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), *pivots).where("low < high")
-        state = written(state.select("s", "members", F.array_distinct(F.array(*[F.col(f"p{j}").dropFields("h") for j in range(len(pivots))])).alias("p")), "join-pivots")
-        # kept by the executors for this round alone: what is lost with one is computed again from the lists
-        active = named.join(if_small(state), "s").select("s", "doc_id", "n", "label", "members", "p").persist()
-        long = active if turn == 0 else active.where(F.col("members") > SHORT)
-        # pivots of the same component, or whose sets differ too much in size, are left out before rows are made
-        open_ = F.filter("p", lambda q: (q["label"] != F.col("label")) & (q["doc_id"] != F.col("doc_id")) & (100 * F.least("n", q["n"]) >= percent * F.greatest("n", q["n"])))
-        star = long.select("doc_id", "n", "label", F.explode(open_).alias("q")).select("doc_id", "n", "label", F.col("q.doc_id").alias("to"), F.col("q.n").alias("m"), F.col("q.label").alias("to_label"))
-        if turn:
-            short = active.where(F.col("members") <= SHORT)
-            star = star.union(short.alias("x").join(short.alias("y"), "s").where("x.doc_id < y.doc_id").select("x.doc_id", "x.n", "x.label", "y.doc_id", "y.n", "y.label"))
-        fits = star.where("label <> to_label and doc_id <> to").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        pairs, new = compacted(fits.select(F.least("doc_id", "to").alias("a"), F.greatest("doc_id", "to").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "join-pairs")
-        seen += new
-        found = compared(docs, own, pairs, width, percent, files_for(new, 25_000))
-        links = found if links is None else written(links.union(found).coalesce(files_for(seen)), "join-links")
-        tested = written(tested.union(pairs).coalesce(files_for(seen)), "join-tested")
-        # short lists are done; long ones go on without the pivots they have been compared with
-        rest = long.where(~F.array_contains(F.transform("p", lambda x: x["doc_id"]), F.col("doc_id")))
-        lists = written(rest.select("s", "doc_id", "n"), "join-lists")
-        active.unpersist()
-        if not found.isEmpty():
-            labels = connected_components(links, "join-components", files_for(seen))
-        turn, k = turn + 1, min(64, 4 ** (turn + 1))
+    few = places.join(often, "s", "left_anti").withColumns({"least": F.min("doc_id").over(by_shingle), "last": F.max("doc_id").over(by_shingle), "members": F.count(F.lit(1)).over(by_shingle)}).where("least < last")
+    columns = ["s", "doc_id", "n", "i", "most", "members"]
+    lists = written(many.select(*columns).union(few.select(*columns)), "join-lists", paths)
+    short, long = lists.where(F.col("members") <= SHORT), lists.where(F.col("members") > SHORT).drop("members")
+
+    at_once = short.alias("x").join(short.alias("y"), "s").where((F.col("x.doc_id") < F.col("y.doc_id")) & fits("x", "y")).select(*pair("x", "y"))
+    tested = links = labels = None
+    turn, members = 0, long.count()
+    while True:
+        named, label = with_labels(long, labels)
+        new = pivot_pairs(named, label, turn, percent)
+        new = at_once.union(new) if turn == 0 else new
+        tested, links, labels, more = compared(docs, own, new, tested, links, labels, width, percent, paths)
+        if not members:
+            break
+        small, large = remaining(*with_labels(long, labels), percent)
+        turn += 1
+        work = small.groupBy("s", "f").agg(F.count(F.lit(1)).alias("m")).join(large.groupBy("s", "f").agg(F.count(F.lit(1)).alias("k")), ["s", "f"]).agg(F.sum(F.col("m") * F.col("k"))).head()[0]
+        if more and (work or 0) > MANY * members:
+            continue
+        small, large = small.alias("y"), large.alias("x")
+        ordered = F.struct("y.n", "y.doc_id") < F.struct("x.n", "x.doc_id")
+        rest = small.join(large, ["s", "f"]).where((F.col("x.label") != F.col("y.label")) & ordered & fits("x", "y")).select(*pair("x", "y"))
+        labels = compared(docs, own, rest, tested, links, labels, width, percent, paths)[2]
+        break
 
     component = F.coalesce("first", "doc_id")
     out = marked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("node"))
     if labels is None:
-        return out.select("doc_id", "n_shingles", F.col("node").alias("component_id"))
-    return out.join(if_small(labels), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+        out = out.select("doc_id", "n_shingles", F.col("node").alias("component_id"))
+    else:
+        out = out.join(if_small(labels), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    remove_all(spark, paths)
+    return out
 
 
-def compared(docs: DataFrame, own: DataFrame, pairs: DataFrame, width: int, percent: int, files: int) -> DataFrame:
-    """The pairs (a, b) that share enough prefix shingles and whose full sets are similar enough, in so many files."""
+def with_labels(lists: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Column]:
+    """Members with what is known of their components, and the column that names a component: by the document alone as yet."""
+    if labels is None:
+        return lists, F.col("doc_id")
+    return lists.join(if_small(labels), lists.doc_id == labels.node, "left").drop("node"), F.coalesce("component", "doc_id")
+
+
+def compared(docs: DataFrame, own: DataFrame, pairs: DataFrame, tested: DataFrame | None, links: DataFrame | None, labels: DataFrame | None, width: int, percent: int, paths: list[str]) -> tuple[DataFrame, DataFrame | None, DataFrame | None, bool]:
+    """Compare new pairs (a, b): all pairs tested, all links, components by document, and whether there are new links."""
+    pairs = pairs.where("a <> b").distinct()
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = written(pairs, "join-pairs", paths)
+    found = similar(docs, own, pairs, width, percent, paths)
+    tested = pairs if tested is None else tested.union(pairs)
+    if found.isEmpty():
+        return tested, links, labels, False
+    links = found if links is None else links.union(found)
+    return tested, links, connected_components(links, "join-components"), True
+
+
+def similar(docs: DataFrame, own: DataFrame, pairs: DataFrame, width: int, percent: int, paths: list[str]) -> DataFrame:
+    """The pairs (a, b) that share enough prefix shingles and whose full sets are similar enough."""
     # the first bits of a shingle do to count what prefixes share; shingles of one document that have them in common
     # are counted on top, so that no pair is lost
-    ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id")
+    ids = written(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "join-ids", paths)
     cut = F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int"))
-    short = own.join(if_small(written(ids.coalesce(files), "join-ids"), 1_000_000), "doc_id", "left_semi").select("doc_id", "n", "matches", cut.alias("prefix")).withColumn("twice", F.size("prefix") - F.size(F.array_distinct("prefix")))
+    short = own.join(if_small(ids, 1_000_000), "doc_id", "left_semi").select("doc_id", "n", "matches", cut.alias("prefix")).withColumn("twice", F.size("prefix") - F.size(F.array_distinct("prefix")))
     near = pairs.join(short.toDF("a", "na", "la", "pa", "ta"), "a").join(short.toDF("b", "nb", "lb", "pb", "tb"), "b")
     near = near.withColumn("shared", F.size(F.array_intersect("pa", "pb")) + F.greatest("ta", "tb"))
     # all that two sets share up to where the first prefix ends is in both prefixes; the rest of that set is the most to come
     most = F.col("shared") + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
     near = near.where((F.col("shared") >= F.least("la", "lb")) & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))))
-    near = written(near.select("a", "b").coalesce(files), "join-near")
-    needed = if_small(written(near.select("a").union(near.select("b")).distinct().toDF("doc_id").coalesce(files), "join-needed"), 1_000_000)
+    near = written(near.select("a", "b"), "join-near", paths)
+    needed = if_small(written(near.select("a").union(near.select("b")).distinct().toDF("doc_id"), "join-needed", paths), 1_000_000)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for low in range(0, b.num_rows, 200):
-                some = b.slice(low, 200)
-                sets = [shingles(t, width) for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "x"])
+        known = WordHashes()
+        for some in chunks(batches, "text", TEXT_BYTES):
+            x, n = shingle_sets(bytes_of(some.column("text")), width, known)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(x))
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists], ["doc_id", "x"])
+        known.clear()
+        release()
 
-    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(emit, "doc_id long, x array<long>").persist()
+    sets = written(docs.join(needed, "doc_id", "left_semi").mapInArrow(emit, "doc_id long, x array<long>"), "join-full", paths)
     both = near.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
     shared = F.size(F.array_intersect("xa", "xb"))
-    links = written(both.where(100 * shared >= percent * (F.size("xa") + F.size("xb") - shared)).select("a", "b").coalesce(files), "join-links")
-    sets.unpersist()
-    return links
+    return written(both.where(100 * shared >= percent * (F.size("xa") + F.size("xb") - shared)).select("a", "b").distinct(), "join-links", paths)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that have a similar one of smaller doc_id in their component, own columns."""
+    """The documents without those that have a similar one of smaller doc_id in their component, own columns.
+
+    Rows without doc_id, and rows whose text has no words, stay. Rows that repeat a doc_id stay or go together.
+    """
     found = jaccard_classes(docs, **options)
     gone = written(found.where("component_id is not null and component_id <> doc_id").select("doc_id").distinct(), "join-gone")
     return docs.join(if_small(gone), "doc_id", "left_anti")
