@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, lit
@@ -32,9 +32,14 @@ def sweep(params: DataFrame, frequencies: DataFrame, f0: float, f1: float) -> Da
     return rows.select("tau", "sigma", "f", gain.alias("gain"), level.alias("s11_db"), (size * F.cos(phase)).alias("s11_re"), (size * F.sin(phase)).alias("s11_im"))
 
 
+def in_box() -> Column:
+    """Parameters that an array may have; others cost 1e12."""
+    return (F.col("tau") > 0.8) & (F.col("tau") < 0.98) & (F.col("sigma") > 0.05) & (F.col("sigma") < 0.25)
+
+
 def cost(params: DataFrame, frequencies: DataFrame, f0: float, f1: float, rms: float = 0.0) -> DataFrame:
     """(tau, sigma, n_elements, cost): -mean gain + 100 rms + a penalty above seven elements; 1e12 outside the bounds."""
-    allowed = (F.col("tau") > 0.8) & (F.col("tau") < 0.98) & (F.col("sigma") > 0.05) & (F.col("sigma") < 0.25)
+    allowed = in_box()
     inside = params.where(allowed)
     count = dipole_lengths(inside, f0, f1).groupBy("tau", "sigma").agg(F.count(F.lit(1)).alias("n_elements"))
     gain = sweep(inside, frequencies, f0, f1).groupBy("tau", "sigma").agg(F.avg("gain").alias("mean_gain"))

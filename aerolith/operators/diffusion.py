@@ -61,8 +61,9 @@ def distillation(pairs: DataFrame, counts: tuple[int, ...] = (500, 250, 125, 64,
 
     Each count of steps compares a code noised at t % steps with the same code noised at the teacher's own t.
     """
-    numbered = pairs.withColumn("batch", F.floor((F.row_number().over(W.orderBy("id")) - 1) / batch)).where(F.col("batch") < batches)
-    rows = numbered.withColumn("steps", F.explode(F.array(*[F.lit(c) for c in counts])))
+    first = pairs.orderBy("id").limit(batch * batches)  # the sweep reads so many rows; a window over them is short
+    first = first.withColumn("batch", F.floor((F.row_number().over(W.orderBy("id")) - 1) / batch))
+    rows = first.withColumn("steps", F.explode(F.array(*[F.lit(c) for c in counts])))
     student = half_life_bar(F.col("t") % F.col("steps"), 1000)
     teacher = half_life_bar(F.col("t"), 1000)
     gap = F.zip_with("v", "noise", lambda x, e: F.pow((F.sqrt(student) - F.sqrt(teacher)) * x + (F.sqrt(1.0 - student) - F.sqrt(1.0 - teacher)) * e, lit(2.0)))

@@ -6,10 +6,9 @@ vertex(key, v, x, y, z) and face(key, t, a, b, c) are plain tables; a face finds
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cross, dot, lit, norm, rotate
+from ..functions.scalars import cross, dot, lit, norm, rotate, total
 from ..sources.grids import SHEET
 
 #: The twelve triangles of a unit cube, as corners in {0, 1}^3, seen from outside anticlockwise.
@@ -105,9 +104,10 @@ def undirected(edge: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def placed(vertex: DataFrame, size: float = 1.0, turn: tuple[float, float, float] = (0.0, 0.0, 0.0), key: str = "design_id") -> DataFrame:
     """Vertices moved to their mean, scaled so that the largest extent is ``size``, and turned by degrees."""
-    w = W.partitionBy(key)
-    at = vertex.withColumns({a: F.col(a) - F.avg(a).over(w) for a in "xyz"})
-    extent = F.greatest(*[F.max(a).over(w) - F.min(a).over(w) for a in "xyz"])
+    extent = F.greatest(*[F.max(a) - F.min(a) for a in "xyz"])
+    middle = vertex.groupBy(key).agg(*[F.avg(a).alias(f"_{a}") for a in "xyz"], extent.alias("_extent"))
+    at = vertex.join(middle, key).withColumns({a: F.col(a) - F.col(f"_{a}") for a in "xyz"})
+    extent = F.col("_extent")
     at = at.withColumn("_s", F.when(extent > 0, lit(size) / extent).otherwise(lit(1.0)))
     out = rotate(tuple(F.col(a) * F.col("_s") for a in "xyz"), *turn)
     return at.withColumns({f"_{a}": c for a, c in zip("xyz", out, strict=True)}).select(key, "v", *[F.col(f"_{a}").alias(a) for a in "xyz"])
@@ -181,3 +181,38 @@ def _tetrahedra() -> list[tuple[int, int, int, int]]:
     from itertools import permutations
 
     return [(0, 1 << a, (1 << a) | (1 << b), 7) for a, b, _ in permutations(range(3))]
+
+
+def surface_cells(triangles: DataFrame, pitch: float, key: str = "design_id") -> DataFrame:
+    """(key, x, y, z): cells, with centres at multiples of the pitch, that points of the triangles fall into.
+
+    Each triangle is sampled at half a pitch or closer, along two sides, so no cell that it crosses widely is missed.
+    """
+    p = {c: [F.col(f"{c}{x}") for x in "xyz"] for c in "abc"}
+    longest = F.greatest(*[F.sqrt(total([(u - v) ** 2 for u, v in zip(p[s], p[t], strict=True)])) for s, t in ("ab", "bc", "ca")])
+    steps = F.greatest(F.lit(1), F.ceil(longest / lit(pitch / 2)).cast("int"))
+    rows = triangles.select(key, *[f"{c}{x}" for c in "abc" for x in "xyz"], steps.alias("_m")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_m"))))
+    rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_m") - F.col("_i"))))
+    at = lambda x: F.col(f"a{x}") + (F.col(f"b{x}") - F.col(f"a{x}")) * (F.col("_i") / F.col("_m")) + (F.col(f"c{x}") - F.col(f"a{x}")) * (F.col("_j") / F.col("_m"))
+    return rows.select(key, *[F.floor(at(x) / lit(pitch) + 0.5 + 1e-9).cast("int").alias(x) for x in "xyz"]).distinct()
+
+
+def voxelised(triangles: DataFrame, pitch: float, key: str = "design_id") -> DataFrame:
+    """(key, x, y, z) of the filled cells of closed meshes: those of the surface, and cells that it encloses on all three axes.
+
+    Along each axis a line of cells is filled between its first and last surface cell; a cell is inside if its lines
+    along x, y and z all say so. Lines are runs, so nothing depends on the size of a mesh's bounding box.
+    """
+    shell = surface_cells(triangles, pitch, key)
+    spans = {a: shell.groupBy(key, *[b for b in "xyz" if b != a]).agg(F.min(a).alias(f"_{a}0"), F.max(a).alias(f"_{a}1")) for a in "xyz"}
+    inner = spans["z"].withColumn("z", F.explode(F.sequence("_z0", "_z1"))).drop("_z0", "_z1")
+    for a in "xy":
+        others = [b for b in "xyz" if b != a]
+        inner = inner.join(spans[a], [key, *others]).where(F.col(a).between(F.col(f"_{a}0"), F.col(f"_{a}1"))).drop(f"_{a}0", f"_{a}1")
+    return inner.select(key, "x", "y", "z").union(shell).distinct()
+
+
+def box_surface(boxes: DataFrame, key: str = "design_id") -> DataFrame:
+    """(key, t, ax, ... cz): twelve triangles of the box from 0 to (sx, sy, sz) of each row."""
+    unit = boxes.sparkSession.createDataFrame([(t, *map(float, a + b + c)) for t, (a, b, c) in enumerate(cube_triangles())], "t int, " + ", ".join(f"{c}{x} double" for c in "abc" for x in "xyz"))
+    return boxes.join(F.broadcast(unit)).select(key, "t", *[(F.col(f"{c}{x}") * F.col(f"s{x}")).alias(f"{c}{x}") for c in "abc" for x in "xyz"])

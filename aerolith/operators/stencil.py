@@ -94,17 +94,18 @@ def gaussian_filter(df: DataFrame, column: str, out: str, sigma: float = 0.8, tr
     df = df.withColumn(out, F.col(column))
     for axis in AXES:
         w = line(axis, keys)
-        at = F.row_number().over(w) - 1
-        values = F.collect_list(out).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-        df = df.withColumns({"_at": at, "_line": values})
-        n = F.size("_line")
-
-        def reflected(k: int, n: Column = n) -> Column:
-            i = F.col("_at") + k
-            return F.when(i < 0, -i - 1).when(i >= n, 2 * n - i - 1).otherwise(i)
-
-        terms = [lit(wt / scale) * F.element_at("_line", (reflected(k) + 1).cast("int")) for k, wt in zip(range(-radius, radius + 1), weights, strict=True)]
-        df = df.withColumn(out, total(terms)).drop("_at", "_line")
+        back = W.partitionBy(*keys, *[a for a in AXES if a != axis]).orderBy(F.col(axis).desc())
+        whole = lambda o: o.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        # places from either end, and the cells that the mirror may show
+        df = df.withColumns({"_low": F.row_number().over(w) - 1, "_high": F.row_number().over(back) - 1} | {f"_{side}{k}": F.nth_value(out, k + 1).over(whole(o)) for side, o in (("l", w), ("h", back)) for k in range(radius)})
+        terms = [lit(weights[radius] / scale) * F.col(out)]
+        for k in range(1, radius + 1):
+            for side, place, near in (("l", "_low", F.lag(out, k).over(w)), ("h", "_high", F.lead(out, k).over(w))):
+                mirrored = F.when(F.col(place) >= k, near)
+                for i in range(k):
+                    mirrored = mirrored.when(F.col(place) == i, F.col(f"_{side}{k - 1 - i}"))
+                terms.append(lit(weights[radius + k] / scale) * mirrored)
+        df = df.withColumn("_new", total(terms)).drop(out, "_low", "_high", *[f"_{side}{k}" for side in "lh" for k in range(radius)]).withColumnRenamed("_new", out)
     return df
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lit
+from ..session import materialized
 
 
 def series(keys: tuple[str, ...], order: tuple[str, ...]):
@@ -72,21 +73,47 @@ def ring_buffer(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], si
     return df.withColumn("_age", F.row_number().over(w)).where(F.col("_age") <= size).drop("_age")
 
 
+def first_of(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], count: int) -> DataFrame:
+    """The first ``count`` rows of each series."""
+    return df.withColumn("_at", F.row_number().over(series(keys, order))).where(F.col("_at") <= count).drop("_at")
+
+
 def random_walk(df: DataFrame, step: str, keys: tuple[str, ...], order: tuple[str, ...], out: str = "state") -> DataFrame:
     """Running sum of steps along each series."""
     return df.withColumn(out, F.sum(step).over(series(keys, order)))
 
 
+def numbered(df: DataFrame, order: tuple[str, ...], out: str = "place") -> DataFrame:
+    """Adds the place of each row in the given order, from 0.
+
+    Rows are dealt out by ranges, each task numbers its own, and the counts of the ranges before are added: no task
+    sees the whole table.
+    """
+    own = F.monotonically_increasing_id()
+    rows = materialized(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_own", own), "numbered")
+    rows = rows.withColumns({"_range": F.shiftright("_own", 33), "_own": F.col("_own").bitwiseAND((1 << 33) - 1)})
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_range", before.alias("_before"))
+    return rows.join(F.broadcast(starts), "_range").withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+
+
 def split(df: DataFrame, order: tuple[str, ...], held_out: float = 0.2) -> DataFrame:
     """Adds part: the first n - floor(n held_out) rows by place are for training."""
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    at = F.row_number().over(W.orderBy(*order))
-    return df.withColumn("part", F.when(at <= n - F.floor(n * held_out), "train").otherwise("validate"))
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    placed = numbered(df, order, "_at").join(F.broadcast(n))
+    return placed.withColumn("part", F.when(F.col("_at") + 1 <= F.col("_n") - F.floor(F.col("_n") * held_out), "train").otherwise("validate")).drop("_at", "_n")
 
 
 def batched(df: DataFrame, size: int, order: tuple, out: str = "batch") -> DataFrame:
     """Adds the number of each row's mini-batch in the given order."""
-    return df.withColumn(out, F.floor((F.row_number().over(W.orderBy(*order)) - 1) / size))
+    return numbered(df, order, "_at").withColumn(out, F.floor(F.col("_at") / size)).drop("_at")
+
+
+def sampled(df: DataFrame, key: str, count: int, seed: int) -> DataFrame:
+    """``count`` rows without replacement: those with the smallest hash of seed and key."""
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return df.orderBy(mark, key).limit(count)
 
 
 def epoch_means(df: DataFrame, value: str, epoch: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -14,10 +14,14 @@ def numbered(spark: SparkSession, path: str, key: str = "file") -> DataFrame:
     return files.select(key, F.posexplode("lines").alias("line_no", "line"))
 
 
+def real_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are neither blank nor a comment."""
+    return lines.where("trim(line) <> '' and not startswith(line, '#')")
+
+
 def last_line(lines: DataFrame, key: str = "file") -> DataFrame:
     """(key, line): the last line that is neither blank nor a comment."""
-    real = lines.where("trim(line) <> '' and not startswith(line, '#')")
-    return real.groupBy(key).agg(F.max_by("line", "line_no").alias("line"))
+    return real_lines(lines).groupBy(key).agg(F.max_by("line", "line_no").alias("line"))
 
 
 def bracketed_forces(lines: DataFrame, key: str = "file") -> DataFrame:
