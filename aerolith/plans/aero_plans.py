@@ -49,7 +49,7 @@ def prj13(spark: SparkSession, d: str) -> DataFrame:
     return fx.designs(spark, d).select("design_id", (re < 5e5).alias("laminar"), F.round(aero.skin_friction(re), 8).alias("friction"))
 
 
-@query("src06_sheet_mesh", f"WITH {fx.folds_sql(1)} SELECT 'v' AS kind, v AS id, round(x, 9) AS p, round(y, 9) AS q, 0.0::DOUBLE AS s FROM sheet UNION ALL SELECT 'f', t, a, b, c FROM face")
+@query("src06_sheet_mesh", f"WITH {fx.folds_sql()} SELECT 'v' AS kind, v AS id, round(x, 9) AS p, round(y, 9) AS q, 0.0::DOUBLE AS s FROM sheet UNION ALL SELECT 'f', t, a, b, c FROM face")
 def src06(spark: SparkSession, d: str) -> DataFrame:
     v = grids.sheet_vertices(spark, 10).select(F.lit("v").alias("kind"), F.col("v").alias("id"), F.round("x", 9).alias("p"), F.round("y", 9).alias("q"), "z")
     f = grids.sheet_faces(spark, 10).select(F.lit("f"), "t", *[F.col(c).cast("double") for c in "abc"])
@@ -66,10 +66,10 @@ def cmp22(spark: SparkSession, d: str) -> DataFrame:
     return mesh.folded(fx.actions(spark, d), grids.sheet_vertices(spark, 10)).select("design_id", "v", r(F.col("z"), 9).alias("z"))
 
 
-@query("joi07_fold_vertex_pairs", f"WITH {fx.folds_sql()} SELECT design_id, count(*) AS pairs FROM crease, sheet GROUP BY design_id")
+@query("joi07_fold_vertex_pairs", f"WITH {fx.folds_sql()} SELECT design_id, count(*) AS pairs, CAST(sum(k * v) AS BIGINT) AS keyed, round(sum(len * x), 6) AS weighed FROM crease, sheet GROUP BY design_id")
 def joi07(spark: SparkSession, d: str) -> DataFrame:
     pairs = mesh.creases(fx.actions(spark, d)).join(F.broadcast(grids.sheet_vertices(spark, 10)))
-    return pairs.groupBy("design_id").agg(F.count(F.lit(1)).alias("pairs"))
+    return pairs.groupBy("design_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("k") * F.col("v")).alias("keyed"), F.round(F.sum(F.col("length") * F.col("x")), 6).alias("weighed"))
 
 
 FEATURES_SQL = """
@@ -106,7 +106,7 @@ def agg12(spark: SparkSession, d: str) -> DataFrame:
 
 VERTEX_NORMALS_SQL = """
 ends AS (SELECT design_id, unnest([a, b, c]) AS v, nx, ny, nz FROM nor),
-vn AS (SELECT design_id, v, avg(nx) AS nx, avg(ny) AS ny, avg(nz) AS nz, (stddev_pop(nx) + stddev_pop(ny) + stddev_pop(nz)) / 3 AS curvature FROM ends GROUP BY design_id, v)"""
+vn AS MATERIALIZED (SELECT design_id, v, avg(nx) AS nx, avg(ny) AS ny, avg(nz) AS nz, (stddev_pop(nx) + stddev_pop(ny) + stddev_pop(nz)) / 3 AS curvature FROM ends GROUP BY design_id, v)"""
 
 
 @query("agg14_vertex_normals", f"WITH {fx.folds_sql()}, {fx.TRIANGLES_SQL}, {VERTEX_NORMALS_SQL} SELECT design_id, v, {sql_rounded(('nx', 'ny', 'nz', 'curvature'))} FROM vn")
@@ -115,54 +115,54 @@ def agg14(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mesh.vertex_normals(v, grids.sheet_faces(spark, 10)), ("nx", "ny", "nz", "curvature"), "design_id", "v")
 
 
-@query("joi05_faces_of_vertex", f"WITH {fx.folds_sql(1)} SELECT v, count(*) AS faces FROM (SELECT unnest([a, b, c]) AS v FROM face) GROUP BY v")
+@query("joi05_faces_of_vertex", f"WITH {fx.folds_sql()} SELECT unnest([a, b, c]) AS v, t FROM face")
 def joi05(spark: SparkSession, d: str) -> DataFrame:
-    return grids.sheet_faces(spark, 10).select(F.explode(F.array("a", "b", "c")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("faces"))
+    return grids.sheet_faces(spark, 10).select(F.explode(F.array("a", "b", "c")).alias("v"), "t")
 
 
 EDGES_SQL = "edge AS (SELECT DISTINCT least(p, q) AS src, greatest(p, q) AS dst FROM (SELECT a AS p, b AS q FROM face UNION ALL SELECT b, c FROM face UNION ALL SELECT c, a FROM face))"
 
 
-@query("agg28_distinct_edges", f"WITH {fx.folds_sql(1)}, {EDGES_SQL} SELECT src, dst FROM edge")
+@query("agg28_distinct_edges", f"WITH {fx.folds_sql()}, {EDGES_SQL} SELECT src, dst FROM edge")
 def agg28(spark: SparkSession, d: str) -> DataFrame:
     return mesh.edges(grids.sheet_faces(spark, 10))
 
 
-@query("set02_undirected_edges", f"WITH {fx.folds_sql(1)}, {EDGES_SQL} SELECT src, dst FROM edge UNION SELECT dst, src FROM edge")
+@query("set02_undirected_edges", f"WITH {fx.folds_sql()}, {EDGES_SQL} SELECT src, dst FROM edge UNION SELECT dst, src FROM edge")
 def set02(spark: SparkSession, d: str) -> DataFrame:
     return mesh.undirected(mesh.edges(grids.sheet_faces(spark, 10)))
 
 
-@query("cmp29_mesh_graph", f"""WITH {fx.folds_sql(5)}, {fx.TRIANGLES_SQL}, {VERTEX_NORMALS_SQL}, {EDGES_SQL}
-SELECT e.src, e.dst, s.design_id, round(t.x - s.x, 9) + 0.0 AS dx, round(t.y - s.y, 9) + 0.0 AS dy, round(t.z - s.z, 9) + 0.0 AS dz, 0.0::DOUBLE AS dihedral, round(n.nz, 6) + 0.0 AS src_nz, round(n.curvature, 6) + 0.0 AS src_curvature
-FROM edge e JOIN vertex s ON s.v = e.src JOIN vertex t ON t.v = e.dst AND t.design_id = s.design_id JOIN vn n ON n.v = s.v AND n.design_id = s.design_id""")
+@query("cmp29_mesh_graph", f"""WITH {fx.folds_sql()}, {fx.TRIANGLES_SQL}, {VERTEX_NORMALS_SQL}, {EDGES_SQL}
+SELECT e.src, e.dst, m.design_id, round(xs[e.dst + 1] - xs[e.src + 1], 9) + 0.0 AS dx, round(ys[e.dst + 1] - ys[e.src + 1], 9) + 0.0 AS dy, round(zs[e.dst + 1] - zs[e.src + 1], 9) + 0.0 AS dz, 0.0::DOUBLE AS dihedral, round(n.nz, 6) + 0.0 AS src_nz, round(n.curvature, 6) + 0.0 AS src_curvature
+FROM edge e JOIN vn n ON n.v = e.src JOIN mesh m ON m.design_id = n.design_id""")
 def cmp29(spark: SparkSession, d: str) -> DataFrame:
-    a = fx.actions(spark, d, 5)
+    a = fx.actions(spark, d)
     node, edge, _ = graph.mesh_graph(mesh.folded(a, grids.sheet_vertices(spark, 10)), grids.sheet_faces(spark, 10), aero.with_defaults(a))
     at = edge.join(node.select("design_id", F.col("v").alias("src"), "feat"), ["design_id", "src"])
     return at.select("src", "dst", "design_id", *[r(F.col("attr")[k], 9).alias(c) for k, c in enumerate(("dx", "dy", "dz", "dihedral"))], r(F.col("feat")[5]).alias("src_nz"), r(F.col("feat")[6]).alias("src_curvature"))
 
 
-@query("cmp30_fold_graph", f"""WITH n AS (SELECT p_partkey AS design_id FROM part WHERE p_partkey < 20), f AS (SELECT design_id, i FROM n, range(10) t(i)),
+@query("cmp30_fold_graph", f"""WITH n AS (SELECT p_partkey AS design_id FROM part), f AS (SELECT design_id, i FROM n, range(10) t(i)),
 one AS (SELECT design_id, i - 1 AS src, i AS dst FROM f WHERE i > 0 UNION ALL SELECT design_id, i, 10 + b FROM f, range(4) t(b) UNION ALL SELECT design_id, 10 + k, 10 + (k + 1) % 4 FROM n, range(4) t(k))
 SELECT design_id, CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst FROM one UNION ALL SELECT design_id, CAST(dst AS INTEGER), CAST(src AS INTEGER) FROM one""")
 def cmp30(spark: SparkSession, d: str) -> DataFrame:
     return graph.fold_graph(fx.actions(spark, d))[1].select("design_id", F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))
 
 
-@query("joi03_edge_gather", f"""WITH {fx.folds_sql(5)}, {EDGES_SQL}
+@query("joi03_edge_gather", f"""WITH {fx.folds_sql()}, {EDGES_SQL}
 SELECT s.design_id, e.src, e.dst, round(s.z, 9) + 0.0 AS src_z, round(t.z, 9) + 0.0 AS dst_z FROM edge e JOIN vertex s ON s.v = e.src JOIN vertex t ON t.v = e.dst AND t.design_id = s.design_id""")
 def joi03(spark: SparkSession, d: str) -> DataFrame:
-    v = mesh.folded(fx.actions(spark, d, 5), grids.sheet_vertices(spark, 10))
+    v = mesh.folded(fx.actions(spark, d), grids.sheet_vertices(spark, 10))
     node = v.select("design_id", "v", F.array("x", "y", "z").alias("feat"))
     edge = v.select("design_id").distinct().join(F.broadcast(mesh.edges(grids.sheet_faces(spark, 10))))
     return graph.gathered(edge, node).select("design_id", "src", "dst", r(F.col("src_feat")[2], 9).alias("src_z"), r(F.col("dst_feat")[2], 9).alias("dst_z"))
 
 
-@query("agg15_scatter_add", f"""WITH {fx.folds_sql(5)}, {EDGES_SQL}, m AS (SELECT s.design_id, e.dst AS v, sum(s.z) AS z, sum(s.x) AS x FROM edge e JOIN vertex s ON s.v = e.src GROUP BY s.design_id, e.dst)
+@query("agg15_scatter_add", f"""WITH {fx.folds_sql()}, {EDGES_SQL}, m AS (SELECT s.design_id, e.dst AS v, sum(s.z) AS z, sum(s.x) AS x FROM edge e JOIN vertex s ON s.v = e.src GROUP BY s.design_id, e.dst)
 SELECT v.design_id, v.v, round(coalesce(m.x, 0), 9) + 0.0 AS x, round(coalesce(m.z, 0), 9) + 0.0 AS z FROM vertex v LEFT JOIN m ON m.design_id = v.design_id AND m.v = v.v""")
 def agg15(spark: SparkSession, d: str) -> DataFrame:
-    v = mesh.folded(fx.actions(spark, d, 5), grids.sheet_vertices(spark, 10))
+    v = mesh.folded(fx.actions(spark, d), grids.sheet_vertices(spark, 10))
     node = v.select("design_id", "v", F.array("x", "z").alias("feat"))
     edge = v.select("design_id").distinct().join(F.broadcast(mesh.edges(grids.sheet_faces(spark, 10))))
     got = graph.scattered(node, graph.gathered(edge, node).withColumn("msg", F.col("src_feat")), 2)
@@ -175,7 +175,7 @@ def agg16(spark: SparkSession, d: str) -> DataFrame:
     return graph.mean_pool(node, "feat", 3).select("design_id", *[r(F.col("pooled")[k], 9).alias(c) for k, c in enumerate("xyz")])
 
 
-@query("graph_degrees", f"WITH {fx.folds_sql(1)}, {EDGES_SQL} SELECT 0::BIGINT AS design_id, v, count(*) AS degree FROM (SELECT unnest([src, dst]) AS v FROM edge) GROUP BY v")
+@query("graph_degrees", f"WITH {fx.folds_sql()}, {EDGES_SQL} SELECT 0::BIGINT AS design_id, v, count(*) AS degree FROM (SELECT unnest([src, dst]) AS v FROM edge) GROUP BY v")
 def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(mesh.edges(grids.sheet_faces(spark, 10)).withColumn("design_id", F.lit(0).cast("long")))
 
@@ -319,7 +319,7 @@ def doc04(spark: SparkSession, d: str) -> DataFrame:
     return rl.worth_high_fidelity(aero.surrogate(fx.designs(spark, d)).withColumn("target", lit(20.0))).select("design_id")
 
 
-@query("src16_keyed_actions", "SELECT p_partkey AS design_id, k AS k, (p_partkey * (k * 7919 + 104729)) % 1000 / 1000.0::DOUBLE AS v FROM part, range(50) t(k) WHERE p_partkey < 20")
+@query("src16_keyed_actions", "SELECT p_partkey AS design_id, k AS k, (p_partkey * (k * 7919 + 104729)) % 1000 / 1000.0::DOUBLE AS v FROM part, range(50) t(k)")
 def src16(spark: SparkSession, d: str) -> DataFrame:
     return fx.actions(spark, d).select("design_id", F.posexplode("action").alias("k", "v")).select("design_id", F.col("k").cast("long").alias("k"), "v")
 

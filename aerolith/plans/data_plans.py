@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lit, r
-from ..operators import amr, antenna, diffusion, telemetry, viz
+from ..operators import amr, antenna, diffusion, mesh, telemetry, viz
 from ..sources import grids, logs, stl
 from ..streaming import metrics
 from . import fixtures as fx
@@ -127,10 +127,13 @@ def denoise_sql() -> str:
     x = "p[1]"
     for t in (99, 74, 49, 24):
         x = f"(({x}) - (1 - pow(0.5, {t} / 100.0::DOUBLE)) * p[2]) / sqrt(pow(0.5, {t} / 100.0::DOUBLE) + 1e-8)"
-    return f"WITH {fx.LATENTS_SQL}, x AS (SELECT id, list_transform(list_zip(v, noise), lambda p: {x}) AS x FROM latent) SELECT id, {PICKED.format(x='x')} FROM x"
+    return f"SELECT id, list_transform(list_zip(v, noise), lambda p: {x}) AS v FROM latent"
 
 
-@query("cmp36_denoise", denoise_sql())
+DENOISED = denoise_sql()
+
+
+@query("cmp36_denoise", f"WITH {fx.LATENTS_SQL}, x AS ({DENOISED}) SELECT id, {PICKED.format(x='v')} FROM x")
 def cmp36(spark: SparkSession, d: str) -> DataFrame:
     return diffusion.denoised(fx.latents(spark, d), lambda x, t: F.col("noise"), column="v").select("id", *picked("v"))
 
@@ -140,13 +143,6 @@ def agg17(spark: SparkSession, d: str) -> DataFrame:
     return fx.latents(spark, d).select("id", r(diffusion.mean_squared(None, "v", "noise")).alias("mse"))
 
 
-@query("cmp54_generated_designs")
-def cmp54(spark: SparkSession, d: str) -> DataFrame:
-    codes = diffusion.denoised(fx.latents(spark, d), lambda x, t: F.col("noise"), column="v")
-    cells = diffusion.voxels(diffusion.decoded(codes.withColumnRenamed("id", "design_id"), 4, column="v"), 4)
-    return cells.groupBy("design_id").agg(F.count_if(F.col("p") > 0.5).alias("filled"), F.count(F.lit(1)).alias("cells"))
-
-
 # ------------------------------------------------------------------ viewer
 
 @query("agg19_percentile_linear", "SELECT user_id, round(quantile_cont(value, 0.02), 6) + 0.0 AS vmin, round(quantile_cont(value, 0.98), 6) + 0.0 AS vmax, round(stddev_pop(value), 6) + 0.0 AS spread FROM events GROUP BY user_id")
@@ -218,9 +214,10 @@ def cmp46(spark: SparkSession, d: str) -> DataFrame:
     return amr.subcycles(tree(spark))
 
 
-@query("cmp43_prolongation")
+@query("cmp43_prolongation", f"""WITH {fx.SMOOTH_SQL}, k AS (SELECT CAST(o AS INTEGER) AS octant, CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, CAST(l AS INTEGER) AS z, 4 * (o // 4) + i * 3 / 7.0::DOUBLE AS px, 4 * (o // 2 % 2) + j * 3 / 7.0::DOUBLE AS py, 4 * (o % 2) + l * 3 / 7.0::DOUBLE AS pz FROM range(8) a(o), range(8) b(i), range(8) c(j), range(8) e(l))
+SELECT 0::BIGINT AS block_id, octant, k.x, k.y, k.z, round(sum(uz * (1 - abs(px - u.x)) * (1 - abs(py - u.y)) * (1 - abs(pz - u.z))), 6) + 0.0 AS uz FROM k JOIN u ON abs(px - u.x) < 1 AND abs(py - u.y) < 1 AND abs(pz - u.z) < 1 GROUP BY ALL""")
 def cmp43(spark: SparkSession, d: str) -> DataFrame:
-    return amr.prolonged(fx.smooth(spark).withColumnRenamed("sim_id", "block_id"), fx.N, ("uz",))
+    return amr.prolonged(fx.smooth(spark).withColumnRenamed("sim_id", "block_id"), fx.N, ("uz",)).withColumn("uz", r(F.col("uz")))
 
 
 # ------------------------------------------------------------------ antennas
@@ -230,62 +227,67 @@ def arrays(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return params, spark.range(101).select((1e8 + F.col("id") * 9.9e7).alias("f"))
 
 
-LPDA = """p(tau, sigma) AS (VALUES (0.85::DOUBLE, 0.1::DOUBLE), (0.9, 0.15)), freq AS (SELECT 1e8 + k * 9.9e7 AS f FROM range(101) t(k)),
+LPDA = """p(tau, sigma) AS (VALUES (0.85::DOUBLE, 0.1::DOUBLE), (0.9, 0.15), (0.7, 0.1)), freq AS (SELECT 1e8 + k * 9.9e7 AS f FROM range(101) t(k)),
 el AS (SELECT tau, sigma, k, 1.5 * pow(tau, k) AS len FROM p, range(60) t(k) WHERE 1.5 * pow(tau, k) >= 3e8 / 1e9 / 4)"""
 
 
 @query("src22_dipole_lengths", f"WITH {LPDA} SELECT tau, sigma, CAST(k AS INTEGER) AS k, round(len, 9) + 0.0 AS length, round(4 * sigma * len, 9) + 0.0 AS spacing FROM el")
 def src22(spark: SparkSession, d: str) -> DataFrame:
     params, _ = arrays(spark)
-    out = grids.dipole_lengths(params.where("tau > 0.8"), 1e8, 1e9)
+    out = grids.dipole_lengths(params, 1e8, 1e9)
     return out.select("tau", "sigma", "k", r(F.col("length"), 9).alias("length"), r(F.col("spacing"), 9).alias("spacing"))
 
 
 @query("win15_element_positions", f"WITH {LPDA} SELECT tau, sigma, CAST(k AS INTEGER) AS k, round(coalesce(sum(4 * sigma * len) OVER (PARTITION BY tau, sigma ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) + 0.0 AS position FROM el")
 def win15(spark: SparkSession, d: str) -> DataFrame:
     params, _ = arrays(spark)
-    return grids.dipole_lengths(params.where("tau > 0.8"), 1e8, 1e9).select("tau", "sigma", "k", r(F.col("position"), 9).alias("position"))
+    return grids.dipole_lengths(params, 1e8, 1e9).select("tau", "sigma", "k", r(F.col("position"), 9).alias("position"))
 
 
 @query("cmp48_antenna_sweep", f"""WITH {LPDA} SELECT tau, sigma, f, round(12 * (1 - tau) + 8 + 3 * sigma + 2.5 * (1 - 0.5 * sigma) * sin(2 * pi() * log10(f / (SELECT avg(f) FROM freq))), 6) + 0.0 AS gain,
 round(greatest(-35, least(-5, -18 - 15 * sigma + sum(0.3 * exp(-8 * pow((f - 3e8 / (2 * len)) / (3e8 / (2 * len)), 2))))), 6) + 0.0 AS s11_db FROM el, freq GROUP BY tau, sigma, f""")
 def cmp48(spark: SparkSession, d: str) -> DataFrame:
     params, f = arrays(spark)
-    return antenna.sweep(params.where("tau > 0.8"), f, 1e8, 1e9).select("tau", "sigma", "f", r(F.col("gain")).alias("gain"), r(F.col("s11_db")).alias("s11_db"))
+    return antenna.sweep(params, f, 1e8, 1e9).select("tau", "sigma", "f", r(F.col("gain")).alias("gain"), r(F.col("s11_db")).alias("s11_db"))
 
 
-@query("cmp49_antenna_cost")
+@query("cmp49_antenna_cost", f"""WITH {LPDA}, g AS (SELECT tau, sigma, avg(12 * (1 - tau) + 8 + 3 * sigma + 2.5 * (1 - 0.5 * sigma) * sin(2 * pi() * log10(f / (SELECT avg(f) FROM freq)))) AS gain FROM p, freq GROUP BY tau, sigma),
+n AS (SELECT tau, sigma, count(*) AS n FROM el GROUP BY tau, sigma), ok AS (SELECT *, tau > 0.8 AND tau < 0.98 AND sigma > 0.05 AND sigma < 0.25 AS ok FROM g JOIN n USING (tau, sigma))
+SELECT tau, sigma, CASE WHEN ok THEN n END AS n_elements, round(CASE WHEN ok THEN -gain + pow(greatest(0, n - 7), 2) * 5e5 ELSE 1e12 END, 5) AS cost FROM ok""")
 def cmp49(spark: SparkSession, d: str) -> DataFrame:
-    return antenna.cost(*arrays(spark), 1e8, 1e9)
+    return antenna.cost(*arrays(spark), 1e8, 1e9).withColumn("cost", F.round("cost", 5))
 
 
 # ------------------------------------------------------------------ parsers, files, streams
 
-@query("src12_bracketed_forces", "SELECT event_id AS file, CAST(event_id AS DOUBLE) AS time, value AS force_x, 2.0::DOUBLE AS force_y, -1.5::DOUBLE AS force_z FROM events WHERE event_id < 50")
+@query("src12_bracketed_forces", "SELECT event_id AS file, CAST(event_id AS DOUBLE) AS time, value AS force_x, 2.0::DOUBLE AS force_y, -1.5::DOUBLE AS force_z FROM events")
 def src12(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id < 50")
+    e = table(spark, d, "events")
     lines = e.select(F.col("event_id").alias("file"), F.posexplode(F.array(F.lit("# time forces"), F.lit("0 (1 1 1) (0 0 0)"), F.concat(F.col("event_id").cast("string"), F.lit(" ("), F.col("value").cast("string"), F.lit(" 2 -1.5) (0 0 0)")), F.lit(""))).alias("line_no", "line"))
     return logs.bracketed_forces(lines).select("file", "time", "force_x", "force_y", "force_z")
 
 
-@query("src14_json_results", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value ELSE 0.5 END AS cl, 0.05::DOUBLE AS cd, 10.0::DOUBLE AS ld, 20.0::DOUBLE AS range_est FROM events WHERE event_id < 50")
+@query("src14_json_results", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value ELSE 0.5 END AS cl, 0.05::DOUBLE AS cd, 10.0::DOUBLE AS ld, 20.0::DOUBLE AS range_est FROM events")
 def src14(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id < 50")
+    e = table(spark, d, "events")
     text = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("value").alias("cl")))).otherwise("{}")
     return logs.json_results(e.select("event_id", text.alias("value"))).select("event_id", "cl", "cd", "ld", "range_est")
 
 
-@query("src15_printed_results", "SELECT event_id AS file, value AS cl, 0.0::DOUBLE AS cd FROM events WHERE event_id < 50")
+@query("src15_printed_results", "SELECT event_id AS file, value AS cl, 0.0::DOUBLE AS cd FROM events")
 def src15(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id < 50")
+    e = table(spark, d, "events")
     lines = e.select(F.col("event_id").alias("file"), F.posexplode(F.array(F.lit("starting"), F.concat(F.lit("final cl = "), F.col("value").cast("string")), F.lit("cd n/a"))).alias("line_no", "line"))
     return logs.printed_results(lines)
 
 
-@query("snk01_stl_round_trip")
+@query("snk01_stl_round_trip", f"""WITH {fx.VOXELS_SQL}, s AS (SELECT * FROM voxel WHERE p > 0.5)
+SELECT design_id, 12 * count(*) AS triangles, round(count(*) * 6.0::DOUBLE, 6) AS area, CAST(sum(36 * (x + y + z + 1.5)) AS DOUBLE) AS corners FROM s GROUP BY design_id""")
 def snk01(spark: SparkSession, d: str) -> DataFrame:
-    files = stl.from_voxels(fx.voxels(spark))
-    return stl.read_stl(files, "design_id", "data").groupBy("design_id").agg(F.count(F.lit(1)).alias("triangles"))
+    t = stl.read_stl(stl.from_voxels(fx.voxels(spark)), "design_id", "data")
+    corners = sum((F.col(c) for c in stl.CORNERS[1:]), F.col(stl.CORNERS[0]))
+    area = mesh.normals(t.drop("nx", "ny", "nz")).groupBy("design_id").agg(F.round(F.sum("area"), 6).alias("area"))
+    return t.groupBy("design_id").agg(F.count(F.lit(1)).alias("triangles"), F.sum(corners).alias("corners")).join(area, "design_id").select("design_id", "triangles", "area", "corners")
 
 
 @query("itr06_metric_stream", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

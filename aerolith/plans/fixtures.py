@@ -28,19 +28,18 @@ DESIGNS_SQL = """designs AS (
          2 * 0.06237::DOUBLE * (1 + (p_partkey % 31) / 100.0::DOUBLE) AS area_wet FROM part)"""
 
 
-def actions(spark: SparkSession, sf_dir: str, most: int = 20) -> DataFrame:
-    """Fold actions of the designs with the smallest keys: every fold meets every vertex, so the fixture is small."""
-    keys = table(spark, sf_dir, "part").where(F.col("p_partkey") < most).select(F.col("p_partkey").alias("design_id"))
-    return grids.keyed_actions(keys)
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold actions of one design a part."""
+    return grids.keyed_actions(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("design_id")))
 
 
-def folds_sql(most: int = 20) -> str:
+def folds_sql() -> str:
     """creases, sheet and folded vertices."""
-    return f"""
-param AS (SELECT p_partkey AS design_id, k, (p_partkey * (k * 7919 + 104729)) % 1000 / 1000.0::DOUBLE AS v FROM part, range(50) t(k) WHERE p_partkey < {most}),
+    return """
+param AS (SELECT p_partkey AS design_id, k, (p_partkey * (k * 7919 + 104729)) % 1000 / 1000.0::DOUBLE AS v FROM part, range(50) t(k)),
 raw AS (SELECT design_id, k // 5 AS k, max(CASE WHEN k % 5 = 0 THEN v END) * 0.210::DOUBLE AS x1, max(CASE WHEN k % 5 = 1 THEN v END) * 0.297::DOUBLE AS y1,
                max(CASE WHEN k % 5 = 2 THEN v END) * 0.210::DOUBLE AS x2, max(CASE WHEN k % 5 = 3 THEN v END) * 0.297::DOUBLE AS y2, max(CASE WHEN k % 5 = 4 THEN v END) AS a FROM param GROUP BY design_id, k // 5),
-crease AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM raw WHERE sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) >= 0.01),
+crease AS MATERIALIZED (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM raw WHERE sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) >= 0.01),
 sheet AS (SELECT CAST(i * 11 + j AS INTEGER) AS v, j / 10.0::DOUBLE * 0.210::DOUBLE AS x, i / 10.0::DOUBLE * 0.297::DOUBLE AS y FROM range(11) a(i), range(11) b(j)),
 face AS (SELECT CAST(20 * i + 2 * j + h AS INTEGER) AS t, CAST(i * 11 + j + CASE h WHEN 0 THEN 0 ELSE 1 END AS INTEGER) AS a, CAST(i * 11 + j + CASE h WHEN 0 THEN 1 ELSE 12 END AS INTEGER) AS b, CAST(i * 11 + j + 11 AS INTEGER) AS c FROM range(10) a(i), range(10) b(j), range(2) c(h)),
 hit AS (SELECT c.design_id, s.v, c.len, c.a, ((s.x - x1) * (x2 - x1) + (s.y - y1) * (y2 - y1)) / len AS along,
@@ -48,14 +47,14 @@ hit AS (SELECT c.design_id, s.v, c.len, c.a, ((s.x - x1) * (x2 - x1) + (s.y - y1
 off AS (SELECT *, rx - along * dx AS ox, ry - along * dy AS oy FROM hit),
 dz AS (SELECT design_id, v, sum((dx * oy - dy * ox) / sqrt(ox * ox + oy * oy) * sin((a - 0.5) * pi()) * exp(-sqrt(ox * ox + oy * oy) / 0.02)) AS dz
        FROM off WHERE along >= 0 AND along <= len AND sqrt(ox * ox + oy * oy) >= 0.001 GROUP BY design_id, v),
-vertex AS (SELECT p.p_partkey AS design_id, s.v, s.x, s.y, coalesce(dz.dz, 0) AS z FROM part p CROSS JOIN sheet s LEFT JOIN dz ON dz.design_id = p.p_partkey AND dz.v = s.v WHERE p.p_partkey < {most})"""
+vertex AS MATERIALIZED (SELECT p.p_partkey AS design_id, s.v, s.x, s.y, coalesce(dz.dz, 0) AS z FROM part p CROSS JOIN sheet s LEFT JOIN dz ON dz.design_id = p.p_partkey AND dz.v = s.v)"""
 
 
 TRIANGLES_SQL = """
-tri AS (SELECT v1.design_id, f.t, f.a, f.b, f.c, v2.x - v1.x AS ux, v2.y - v1.y AS uy, v2.z - v1.z AS uz, v3.x - v1.x AS wx, v3.y - v1.y AS wy, v3.z - v1.z AS wz
-        FROM face f JOIN vertex v1 ON v1.v = f.a JOIN vertex v2 ON v2.v = f.b AND v2.design_id = v1.design_id JOIN vertex v3 ON v3.v = f.c AND v3.design_id = v1.design_id),
+mesh AS MATERIALIZED (SELECT design_id, list(x ORDER BY v) AS xs, list(y ORDER BY v) AS ys, list(z ORDER BY v) AS zs FROM vertex GROUP BY design_id),
+tri AS MATERIALIZED (SELECT design_id, t, a, b, c, xs[b + 1] - xs[a + 1] AS ux, ys[b + 1] - ys[a + 1] AS uy, zs[b + 1] - zs[a + 1] AS uz, xs[c + 1] - xs[a + 1] AS wx, ys[c + 1] - ys[a + 1] AS wy, zs[c + 1] - zs[a + 1] AS wz FROM mesh, face),
 nrm AS (SELECT *, uy * wz - uz * wy AS cx, uz * wx - ux * wz AS cy, ux * wy - uy * wx AS cz FROM tri),
-nor AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS len, cx / (sqrt(cx * cx + cy * cy + cz * cz) + 1e-10) AS nx, cy / (sqrt(cx * cx + cy * cy + cz * cz) + 1e-10) AS ny, cz / (sqrt(cx * cx + cy * cy + cz * cz) + 1e-10) AS nz FROM nrm)"""
+nor AS MATERIALIZED (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS len, cx / (sqrt(cx * cx + cy * cy + cz * cz) + 1e-10) AS nx, cy / (sqrt(cx * cx + cy * cy + cz * cz) + 1e-10) AS ny, cz / (sqrt(cx * cx + cy * cy + cz * cz) + 1e-10) AS nz FROM nrm)"""
 
 
 def lattice_sql(lat: Lattice, name: str = "lat") -> str:

@@ -79,16 +79,16 @@ def src24(spark: SparkSession, d: str) -> DataFrame:
     return grids.root_blocks(spark, 8, 4).drop("parent_id")
 
 
-@query("src21_opcodes")
+@query("src21_opcodes", "SELECT * FROM (VALUES " + ", ".join(f"('{name}', {code}, '{code:06b}')" for name, code in grids.OPCODES.items()) + ") AS t(name, code, bits)")
 def src21(spark: SparkSession, d: str) -> DataFrame:
     return grids.opcodes(spark)
 
 
 # ------------------------------------------------------------------ scalars
 
-@query("prj01_threshold_mask", f"WITH {fx.VOXELS_SQL} SELECT design_id, count(*) FILTER (WHERE p > 0.5) AS solid FROM voxel GROUP BY design_id")
+@query("prj01_threshold_mask", f"WITH {fx.VOXELS_SQL} SELECT design_id, cell, p > 0.5 AS solid FROM voxel")
 def prj01(spark: SparkSession, d: str) -> DataFrame:
-    return fx.voxels(spark).groupBy("design_id").agg(F.count_if(F.col("p") > 0.5).alias("solid"))
+    return fx.voxels(spark).select("design_id", "cell", (F.col("p") > 0.5).alias("solid"))
 
 
 ODD_SQL = "odd AS (SELECT i, CASE i % 4 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN '-Infinity'::DOUBLE ELSE i END AS x FROM range(20) t(i))"
