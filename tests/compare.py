@@ -35,5 +35,6 @@ def duck_rows(sql, folder):
             if Path(f"{folder}/{t}.parquet").exists():
                 con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
         con.execute("SET timezone = 'UTC'")
+        con.execute("SET max_temp_directory_size = '4GB'")
         got = con.execute(sql)
         return rows([c[0] for c in got.description], got.fetchall())
