@@ -58,23 +58,6 @@ def remove_all(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
-def files_for(rows: int, rows_per_file: int = 250_000) -> int:
-    return 1 + rows // rows_per_file
-
-
-def compacted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """The written table and its number of rows. Like ``written``, in files of a sensible size: what loops hand on is often small and dealt over many partitions.
-
-    Rows are kept by the executors until they are written, so nothing is computed twice; what a lost executor held is
-    computed again.
-    """
-    held = df.persist()
-    rows = held.count()
-    out = written(held.coalesce(files_for(rows)), name)
-    held.unpersist()
-    return out, rows
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no later plan reads."""
     jvm = spark._jvm
@@ -114,23 +97,96 @@ def bytes_of(texts: pa.Array) -> list[bytes]:
     return texts.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
 
 
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+#: A number for each byte, the same for A-Z as for a-z, and an odd factor: a word's hash is a polynomial modulo 2^64.
+_BYTES = np.random.Generator(np.random.Philox(20_240_229)).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BYTES[0x41:0x5B] = _BYTES[0x61:0x7B]
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers that spreads every bit."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words of the texts, A-Z lowered, one text after the other, and how many each text has.
+
+    Words stand between ASCII white space. Of n distinct words about n^2 / 2^65 pairs share a hash and count as the
+    same. The empty word's hash, which no text holds, is that of 0.
+    """
+    raw = texts.cast(pa.large_string()).cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], "<i8")[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0]) if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    inside = ~_SPACES[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = ends[:-1][ends[:-1] < len(data)]
+    first[begins] = inside[begins]
+    starts = np.flatnonzero(first)
+    counts = np.diff(np.searchsorted(starts, ends))
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), counts
+    chars = _BYTES[data[inside]]
+    at = np.flatnonzero(first[inside])
+    sizes = np.diff(np.append(at, len(chars)))
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(sizes.max()), _FACTOR, dtype=np.uint64))
+        chars *= powers[np.arange(len(chars)) - np.repeat(at, sizes)]
+        sums = np.add.reduceat(chars, at)
+        return mixed_bits(sums + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), counts
+
+
+class Places:
+    """Where 64-bit keys stand in a sorted array of distinct ones: a table of their first bits, then a few steps."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)  # in the order of signed numbers
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        self.first = np.searchsorted(self.keys, np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The index of each key, -1 if it isn't there."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        if not len(self.keys):
+            return out
+        wanted = keys.view(np.uint64) ^ np.uint64(1 << 63)
+        at = self.first[wanted >> self.shift].astype(np.int64)
+        rows = np.arange(len(keys))
+        while len(rows):
+            inside = at < len(self.keys)
+            rows, at, wanted = rows[inside], at[inside], wanted[inside]
+            found = self.keys[at]
+            same = found == wanted
+            out[rows[same]] = at[same]
+            more = found < wanted
+            rows, at, wanted = rows[more], at[more] + 1, wanted[more]
+        return out
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text with A-Z lowered: other letters stay as they are."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def connected_components(edges: DataFrame, name: str = "components", files: int | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of an undirected graph given as (a, b); component is the smallest node reached.
 
     Labels are passed along edges and then followed one jump, until none changes; each round is a
-    table in the shared folder, in ``files`` files if the caller knows how few do. Nodes without edges don't appear.
-    No edges give an empty table.
+    table in the shared folder. A jump is looked up once for each label, so a label that a giant component shares costs
+    a row, and joined back by a plain shuffle, of which Spark splits large partitions. Nodes without edges don't
+    appear. No edges give an empty table.
     """
     spark = edges.sparkSession
     old: list[str] = []
 
     def kept(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
-        return written(df.coalesce(files) if files else df, name, paths)
+        return written(df, name, paths)
 
     graph: list[str] = []
     both = kept(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), graph)
@@ -138,9 +194,9 @@ def connected_components(edges: DataFrame, name: str = "components", files: int
     while True:
         this: list[str] = []
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        stepped = labels.join(heard, "node").select("node", "component", F.least("component", "heard").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
-        after = kept(stepped.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("component"), (F.least("next", F.coalesce("far", "next")) != F.col("component")).alias("moved")), this)
+        stepped = kept(labels.join(heard, "node").select("node", "component", F.least("component", "heard").alias("next")), this)
+        jump = stepped.select("next").distinct().join(labels.select(F.col("node").alias("next"), F.col("component").alias("far")), "next")
+        after = kept(stepped.join(if_small(jump), "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("component"), (F.least("next", F.coalesce("far", "next")) != F.col("component")).alias("moved")), this)
         labels = after.select("node", "component")
         remove_all(spark, old)
         old = this
@@ -149,6 +205,14 @@ def connected_components(edges: DataFrame, name: str = "components", files: int
             return labels
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """The table marked for broadcast if it has at most so many rows, otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

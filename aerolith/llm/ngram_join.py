@@ -21,17 +21,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 from math import log
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, connected_components, if_small, release, remove_all, text_of, written
+from .common import chunks, connected_components, if_small, release, remove_all, text_of, word_hashes, written
 
 #: Prefixes are lengthened for one of these numbers of shared shingles.
 MATCHES = (1, 2, 4, 8, 16)
@@ -46,35 +44,19 @@ FINE = 1.02
 #: Long lists get another round of pivots while so many times their members would be paired.
 MANY = 16
 #: Shingles that a task counts at once.
-FLUSH = 2_000_000
-#: Bytes of text that are cut into shingles at once, and of words whose hashes a task remembers.
-TEXT_BYTES, CACHE_BYTES = 2_000_000, 24_000_000
+FLUSH = 1_500_000
+#: Bytes of text that are cut into shingles at once.
+TEXT_BYTES = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """Word to hash; forgets all words when they take too much memory."""
-
-    held = 0
-
-    def __missing__(self, word: bytes) -> int:
-        if self.held > CACHE_BYTES:
-            self.clear()
-            self.held = 0
-        self.held += len(word) + 150
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def shingle_sets(texts: list[bytes], width: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct 64-bit shingles of each text, one text after the other, and how many each has.
 
     Fewer words than ``width`` are one shingle, none are none.
     """
-    words = [t.lower().split() for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    h = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum()))
+    h, counts = word_hashes(texts)
     n = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
     begin = np.cumsum(n) - n
     at = np.arange(int(n.sum())) + np.repeat(np.cumsum(counts) - counts - begin, n)
@@ -126,21 +108,20 @@ def shingle_counts(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sets, size = WordHashes(), [], 0
+        sets, size = [], 0
 
         def out() -> pa.RecordBatch:
             s, n = np.unique(np.concatenate(sets), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(s[n > 1]), pa.array(n[n > 1].astype(np.int64))], ["s", "n"])
 
         for some in chunks(batches, "text", TEXT_BYTES):
-            sets.append(shingle_sets(bytes_of(some.column("text")), width, known)[0])
+            sets.append(shingle_sets(some.column("text"), width)[0])
             size += len(sets[-1])
             if size > FLUSH:
                 yield out()
                 sets, size = [], 0
         if sets:
             yield out()
-        known.clear()
         sets.clear()
         release()
 
@@ -159,15 +140,13 @@ def prefix_rows(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, held = common.value
-        known = WordHashes()
         for some in chunks(batches, "text", TEXT_BYTES):
-            x, n = shingle_sets(bytes_of(some.column("text")), width, known)
+            x, n = shingle_sets(some.column("text"), width)
             ends = np.cumsum(n).tolist()
             digests = [hashlib.sha256(x[b - k : b]).digest() if k else None for b, k in zip(ends, n.tolist(), strict=True)]
             p, size, matches = prefixes(x, n, values, held, percent)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(p))
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(digests, pa.binary()), pa.array(matches.astype(np.int32)), lists], schema=schema)
-        known.clear()
         release()
 
     return docs.mapInArrow(emit, "doc_id long, n int, digest binary, matches int, prefix array<long>")
@@ -302,22 +281,20 @@ def similar(docs: DataFrame, own: DataFrame, pairs: DataFrame, width: int, perce
     # are counted on top, so that no pair is lost
     ids = written(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "join-ids", paths)
     cut = F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int"))
-    short = own.join(if_small(ids, 1_000_000), "doc_id", "left_semi").select("doc_id", "n", "matches", cut.alias("prefix")).withColumn("twice", F.size("prefix") - F.size(F.array_distinct("prefix")))
+    short = own.join(if_small(ids, 250_000), "doc_id", "left_semi").select("doc_id", "n", "matches", cut.alias("prefix")).withColumn("twice", F.size("prefix") - F.size(F.array_distinct("prefix")))
     near = pairs.join(short.toDF("a", "na", "la", "pa", "ta"), "a").join(short.toDF("b", "nb", "lb", "pb", "tb"), "b")
     near = near.withColumn("shared", F.size(F.array_intersect("pa", "pb")) + F.greatest("ta", "tb"))
     # all that two sets share up to where the first prefix ends is in both prefixes; the rest of that set is the most to come
     most = F.col("shared") + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
     near = near.where((F.col("shared") >= F.least("la", "lb")) & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))))
     near = written(near.select("a", "b"), "join-near", paths)
-    needed = if_small(written(near.select("a").union(near.select("b")).distinct().toDF("doc_id"), "join-needed", paths), 1_000_000)
+    needed = if_small(written(near.select("a").union(near.select("b")).distinct().toDF("doc_id"), "join-needed", paths), 250_000)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for some in chunks(batches, "text", TEXT_BYTES):
-            x, n = shingle_sets(bytes_of(some.column("text")), width, known)
+            x, n = shingle_sets(some.column("text"), width)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(x))
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists], ["doc_id", "x"])
-        known.clear()
         release()
 
     sets = written(docs.join(needed, "doc_id", "left_semi").mapInArrow(emit, "doc_id long, x array<long>"), "join-full", paths)

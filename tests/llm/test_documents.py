@@ -4,7 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
-from math import log10
+from math import exp, log, log10
 
 import numpy as np
 import pytest
@@ -81,6 +81,27 @@ def test_colliding_digests_are_told_apart_by_bytes(odd):
     assert sorted(map(tuple, got), key=repr) == brute_dedup(docs_of(rows))
 
 
+def test_state_goes_on_after_a_restart(spark, odd, tmp_path):
+    rows = odd.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    state = f"file://{tmp_path}/state"
+    first, second = rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")
+    assert sorted(map(tuple, exact_dedup.exact_dedup(first, state=state).collect()), key=repr) == brute_dedup(docs_of(first))
+    both = exact_dedup.exact_dedup(second, state=state).collect()
+    assert sorted(map(tuple, both), key=repr) == brute_dedup(docs_of(rows))
+    again = exact_dedup.exact_dedup(second.limit(0), state=state).collect()
+    assert sorted(map(tuple, again), key=repr) == brute_dedup(docs_of(rows))
+
+
+def test_columns_may_be_called_anything(odd):
+    from pyspark.sql import functions as F
+
+    names = ["sha", "keep", "_keep", "_sha", "_many", "_n", "key", "nth", "copies", "digest", "file", "at"]
+    docs = odd.select("doc_id", "text", "source", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    for out in (exact_dedup.deduplicated(docs), mixing.mixture(docs)):
+        assert out.columns == docs.columns
+        assert all(r[c] == k for r in out.collect() for k, c in enumerate(names))
+
+
 # ------------------------------------------------------------------ suffix tree
 
 def tokens(text):
@@ -105,46 +126,77 @@ def test_base_score_and_counts(spark, real):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_next_word_distributions_sum_to_one(spark, real):
-    docs = real.select("doc_id", "text")
-    tree, counts, _ = suffix_tree_lm.learn(docs, p_min=0.0)
-    words = np.arange(len(tree.base))
-    assert any(level.kept.any() for level in tree.levels)
-    for depth, level in enumerate(tree.levels, 1):
-        for context in np.flatnonzero(level.kept)[:20]:
-            logp = suffix_tree_lm.suffix_logp(np.full(len(words), context), words, tree.levels[:depth], tree.base)
-            assert 0.97 < (10.0**logp).sum() <= 1.0 + 1e-6
+def brute_tree(rows, depth):
+    """The tree in dictionaries: probability of a word after a context, and back-off of kept contexts."""
+    texts = [tokens(t) for d, t, _ in rows if zlib.crc32(str(d).encode() if d is not None else b"") % 5 != 1]
+    runs = [Counter(tuple(w[i : i + k + 1]) for w in texts for i in range(len(w) - k)) for k in range(depth + 1)]
+    total, distinct = sum(runs[0].values()), len(runs[0])
+    base = lambda w: (runs[0][(w,)] + 0.5) / (total + 0.5 * (distinct + 1))
+    logp = {g: log(base(g[0])) for g, n in runs[0].items() if n > 1}
+    kept, open_ = {}, {()}
+    for k in range(1, depth + 1):
+        by = defaultdict(dict)
+        for g, n in runs[k].items():
+            if n > 1 and g[:-1] in logp and g[1:] in logp and g[1:-1] in open_:
+                by[g[:-1]][g[-1]] = n
+        after, still = {}, set()
+        for c, followers in by.items():
+            t = runs[k - 1][c]
+            left = max(1 - sum(n - suffix_tree_lm.DISCOUNT for n in followers.values()) / t, 1e-9)
+            below = {w: logp[c[1:] + (w,)] for w in followers}
+            less, gain = max(t - 1, 1), (t - sum(followers.values())) * log(left)
+            for w, n in followers.items():
+                gain += n * (log(max(n - 1 - suffix_tree_lm.DISCOUNT, 0) / less + max(left * t / less, 1e-9) * exp(below[w])) - below[w])
+            for w, n in followers.items():
+                after[c + (w,)] = log((n - suffix_tree_lm.DISCOUNT) / t + left * exp(below[w])) if gain >= suffix_tree_lm.GAIN else below[w]
+            if gain >= suffix_tree_lm.GAIN:
+                kept[c] = (log(left), {w: after[c + (w,)] for w in followers})
+            if sum(n * -after[c + (w,)] for w, n in followers.items()) >= suffix_tree_lm.GAIN:
+                still.add(c)
+        logp, open_ = after, still
+    return base, kept
+
+
+def brute_logp(context, word, base, kept):
+    """log of the word's probability: the longest kept context decides, what it lacks goes to the next."""
+    if not context:
+        return log(base(word))
+    back, followers = kept.get(context, (0.0, {}))
+    return followers[word] if word in followers else back + brute_logp(context[1:], word, base, kept)
+
+
+def test_scores_equal_those_of_a_tree_in_dictionaries(real, odd):
+    for docs in (real, odd):
+        rows = docs_of(docs)
+        base, kept = brute_tree(rows, suffix_tree_lm.DEPTH)
+        wanted = []
+        for d, t, _ in rows:
+            w = tokens(t)
+            wanted.append((d, len(w), sum(brute_logp(tuple(w[max(0, i - suffix_tree_lm.DEPTH) : i]), w[i], base, kept) for i in range(len(w))) / log(10)))
+        assert docs is odd or {len(c) for c in kept} >= {1, 2, 3}
+        for p_min in (suffix_tree_lm.P_MIN, 1e-3):
+            got = suffix_tree_lm.score(docs, p_min=p_min).collect()
+            key = lambda r: (str(r[0]), r[1], r[2])
+            for (d, n, s), (e, m, x) in zip(sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in got), key=key), sorted(wanted, key=key), strict=True):
+                assert (d, n) == (e, m) and s == pytest.approx(x, rel=1e-9, abs=1e-6)
+
+
+def test_next_word_distributions_sum_to_one(real):
+    base, kept = brute_tree(docs_of(real), suffix_tree_lm.DEPTH)
+    words = {w for d, t, _ in docs_of(real) if zlib.crc32(str(d).encode()) % 5 != 1 for w in tokens(t)}
+    for c in sorted(kept, key=len)[:: max(1, len(kept) // 20)]:
+        assert 0.97 < sum(exp(brute_logp(c, w, base, kept)) for w in words) <= 1.0 + 1e-6
 
 
 def test_suffix_tree_with_odd_rows(odd, none):
     assert suffix_tree_lm.score(none).count() == 0
-    got = {r["doc_id"]: r for r in suffix_tree_lm.score(odd).collect()}
+    rows = suffix_tree_lm.score(odd).collect()
+    assert len(rows) == odd.count()  # ids that repeat or are null are rows of their own
+    got = {r["doc_id"]: r for r in rows}
     assert got[0]["n_tokens"] == 1 and got[1]["n_tokens"] == 1
     assert all(np.isfinite(r["score"]) and r["score"] <= 0 for r in got.values())
 
 
-def test_scores_equal_those_of_the_tree_on_the_driver(spark, real):
-    tree, counts, _ = suffix_tree_lm.learn(real.select("doc_id", "text"), p_min=0.0)
-    n = {r["key"]: r["n"] for r in counts.collect()}
-    hashes = np.array(sorted(k for k in n), dtype=np.int64)
-    for p_min in (suffix_tree_lm.P_MIN, 1e-3):
-        got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(real, p_min=p_min).collect()}
-        for d, t, _ in docs_of(real):
-            h = suffix_tree_lm.word_hashes(tokens(t))
-            ids = suffix_tree_lm.place_signed(h, hashes)
-            found = suffix_tree_lm.contexts_at(ids, np.arange(len(ids)), tree.levels)
-            wanted = 0.0
-            for i, w in enumerate(ids):
-                if w < 0:
-                    # an unknown word: what each kept context leaves to its suffix, and the word's own probability
-                    wanted += log10(0.5 / (tree.total + 0.5 * (tree.distinct + 1)))
-                    wanted += sum(level.back_off[c[i]] for level, c in zip(tree.levels, found, strict=True) if c[i] >= 0 and level.kept[c[i]])
-                else:
-                    depth = max((k for k, c in enumerate(found, 1) if c[i] >= 0), default=0)
-                    wanted += suffix_tree_lm.suffix_logp(np.array([found[depth - 1][i] if depth else -1]), np.array([w]), tree.levels, tree.base, depth)[0]
-            assert got[d] == pytest.approx(wanted)
-
-
 def test_rare_contexts_stay_in_the_tree_of_a_large_corpus(spark):
     # 21 million words, of which a pair occurs 4 times: fewer than 2^-22 of them
     few = [(i, "rare pair of words seen again " * 2) for i in (2, 6)]
@@ -261,6 +313,35 @@ def test_shards_are_even_and_slots_gapless(request, which):
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
+def test_all_links_of_a_document_count(spark):
+    # document 0 is linked with one other through hub a and with three through hub b
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(240)] + [(None, "text 0")], "doc_id long, text string")
+    links = spark.createDataFrame([(0, "a"), (0, "b"), (1, "a"), (2, "b"), (3, "b"), (4, "b"), (None, "b"), (5, None), (6, "alone")], "doc_id long, hub string")
+    rows = {r["doc_id"]: r for r in sharding.balanced_shards(docs, shards=4, links=links).collect()}
+    assert len(rows) == 241 and len({rows[i]["shard"] for i in range(5)}) == 1
+    assert all(rows[i]["hub"] is not None for i in range(5)) and rows[5]["hub"] is None and rows[6]["hub"] is None
+
+
+def test_sharding_law_against_brute_force(real, odd):
+    for docs in (real, odd):
+        texts = Counter((d, t) for d, t, _ in docs_of(docs))
+        rows = sharding.balanced_shards(docs).collect()
+        quota = len(rows) // 24
+        by = defaultdict(list)
+        for d, t in texts.elements():
+            by[d, len(t.encode()) + 8, zlib.crc32(t.encode())].append(t)
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter({k: len(v) for k, v in by.items()})
+        linked = Counter(r["shard"] for r in rows if r["hub"] is not None)
+        assert max(linked.values(), default=0) <= quota + 1
+        # pairs of equal texts in different shards, against those when every row stays where its hash puts it
+        groups = defaultdict(list)
+        for r in rows:
+            groups[r["size"], r["text_crc32"]].append(r["shard"])
+        cut = sum(len(g) * (len(g) - 1) // 2 - sum(n * (n - 1) // 2 for n in Counter(g).values()) for g in groups.values())
+        pairs = sum(len(g) * (len(g) - 1) // 2 for g in groups.values())
+        assert docs is odd or cut <= 0.1 * pairs
+
+
 def test_linked_documents_move_together(spark):
     rows = [(i, f"text {i // 4 if i < 80 else i}") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -284,8 +365,42 @@ def test_elias_fano_round_trip():
         x = np.sort(rng.integers(0, top + 1, n))
         e = token_files.EliasFano.of(x, top)
         e, _ = token_files.EliasFano.load(e.dump(), 0)
-        assert e.values().tolist() == x.tolist()
-        assert [e.select(i) for i in range(n)] == x.tolist()
+        assert e.select(np.arange(n)).tolist() == x.tolist()
+        assert [int(e.select(np.array([i]))[0]) for i in range(n)] == x.tolist()
+        assert all(e.search(v) == np.searchsorted(x, v) for v in rng.integers(0, top + 1, 20).tolist())
+
+
+def test_one_document_is_found_in_its_block(spark, odd, tmp_path):
+    path = tokenizer_file("word_bpe_49k.json")
+    out = f"file://{tmp_path}/tokens"
+    token_files.write_tokens(odd, path, out)
+    every = {r["doc_id"]: [] for r in odd.collect()}
+    for r in token_files.read_tokens(spark, out, with_ids=True).collect():
+        every[r["doc_id"]].append(r["ids"])
+    for d, wanted in every.items():
+        if d is not None:
+            assert sorted(r["ids"] for r in token_files.find_tokens(spark, out, d).collect()) == sorted(wanted)
+    assert token_files.find_tokens(spark, out, 99).count() == 0
+
+
+def test_a_doc_id_of_many_rows_is_dealt_over_files(spark, tmp_path):
+    rows = [(7, f"text {i}") for i in range(300)] + [(-(2**62), "low"), (2**62, "high"), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = f"file://{tmp_path}/tokens"
+    token_files.write_tokens(docs, tokenizer_file("word_bpe_49k.json"), out)
+    got = token_files.read_tokens(spark, out).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, -(2**62)] + [7] * 300 + [2**62]
+    assert spark.read.parquet(out).where("n_docs > 0").select("part").distinct().count() > 3
+
+
+def test_tokenizers_without_words_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    encoder = token_files.Encoder(path, 2)
+    text = "A word, and  spaces\n"
+    assert not encoder.by_words and token_files.Encoder(tokenizer_file("word_bpe_49k.json"), 2).by_stops
+    assert np.frombuffer(encoder.encode([text.encode()])[0], "<u2").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("which", ["odd", "real", "none"])
@@ -400,7 +515,7 @@ def test_toxicity_on_held_out_labels(spark):
     data = "/root/testdata/sf0.1"
     docs, labels = table(spark, data, "documents"), table(spark, data, "labels")
     fitted = labels.where("doc_id % 2 = 0")
-    model = toxicity.fit(*toxicity.labelled_sample(docs, fitted))
+    model = toxicity.fit(docs, fitted)
     rows = toxicity.severity(docs, model).join(labels.where("doc_id % 2 = 1").withColumnRenamed("toxic", "label"), "doc_id").collect()
     toxic = [r for r in rows if r["label"] == 1]
     clean = [r for r in rows if r["label"] == 0]
@@ -408,11 +523,43 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(r["toxic"] for r in clean) <= 0.02 * len(clean)
 
 
-def test_toxicity_with_odd_rows(odd, none):
-    model = toxicity.fit(["bad awful"] * 6 + ["good day"] * 6, [1] * 6 + [0] * 6)
+def marked(spark, rows):
+    """Documents and labels of (doc_id, text, toxic)."""
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+
+
+def test_toxicity_with_odd_rows(spark, odd, none):
+    rows = [(i, "bad awful", 1) for i in range(6)] + [(10 + i, "good day", 0) for i in range(6)] + [(30, None, 0), (31, "", None), (None, "bad", 1)]
+    docs, labels = marked(spark, rows)
+    model = toxicity.fit(docs.union(docs), labels.union(labels))  # repeated rows count once
     assert model.cuts[0] < model.cuts[1] and model.weights
+    assert model == toxicity.fit(docs, labels)
     rows = toxicity.severity(odd, model).collect()
     assert len(rows) == odd.count() and not any(r["toxic"] for r in rows)
     assert toxicity.severity(none, model).count() == 0
-    assert toxicity.clean(odd, model).count() == odd.count()
-    assert toxicity.fit([], []).weights == {}
+    assert toxicity.clean(odd, model).count() == odd.count() and toxicity.clean(odd, model).columns == odd.columns
+    assert toxicity.fit(docs.limit(0), labels).weights == {}
+    assert toxicity.fit(docs, labels.where("toxic = 0")).cuts[0] > 0
+
+
+def test_severity_equals_the_sum_of_weights(spark):
+    from math import exp
+
+    model = toxicity.OrdinalModel({"awful": 1.5, "awfu*": 0.5, "bad": 1.0}, [1.0, 2.0])
+    texts = ["awful bad bad", "Awfully kind", "", None, "bad " * 50_000, "good", "bad-bad_bad3 awful"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.severity(docs, model).collect()}
+    for i, t in enumerate(texts):
+        held = toxicity.features(t)
+        margin = sum(w * (1 + np.log(held[f])) for f, w in model.weights.items() if held[f])
+        p = [1 / (1 + exp(c - margin)) for c in model.cuts]
+        assert got[i]["severity"] == pytest.approx(sum(p)) and got[i]["p_grade1"] == pytest.approx(p[0])
+        assert got[i]["grade"] == sum(x >= 0.5 for x in p)
+
+
+def test_labelled_sample_is_bounded(spark):
+    rows = [(i, "bad awful words" if i % 2 else "good day", i % 2) for i in range(60)]
+    docs, labels = marked(spark, rows)
+    assert toxicity.fit(docs, labels, most=4, seen=1, least=0.1).weights  # four documents do
+    assert not toxicity.fit(docs, labels, most=4, seen=5).weights
