@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import if_small, scratch, written
 
 #: Vectors of an annulus, queries of a block, annuli described by one row of the directory.
-ANNULUS, QUERIES, DIRECTORY = 512, 256, 2_048
+ANNULUS, QUERIES, DIRECTORY = 512, 2_048, 2_048
 #: Vectors on which pivots are chosen: those with the smallest hash of vec_id.
 PIVOT_SAMPLE, PIVOTS = 4_096, 48
 #: Tasks among which the annuli of a query block are dealt.
@@ -34,12 +34,31 @@ LOWEST = -(1 << 62)
 
 
 def scaled(embedding: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component, x as double; null if there is none or one isn't finite."""
-    wide = F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("int"))
+    """floor(scale * x) of each component, x as double; null if there is none or one isn't finite.
+
+    Components beyond 64 bits are the nearest integer of 64 bits.
+    """
+    wide = F.transform(embedding, lambda x: F.floor(x.cast("double") * scale))
     ok = embedding.isNotNull() & (F.size(embedding) > 0) & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.when(ok, wide)
 
 
+def products(a: np.ndarray, b: np.ndarray, top: float) -> np.ndarray:
+    """Integer inner products of all rows of a and b, whose squared norms are at most ``top``.
+
+    They are exact below 2^64, in the narrowest floating numbers that hold them, and beyond rounded and held in 64 bits.
+    """
+    if top < 2.0**52:
+        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    most = np.longdouble((1 << 63) - 1)
+    return np.clip(a.astype(np.longdouble) @ b.T.astype(np.longdouble), -most, most).astype(np.int64)
+
+
+def slack(top: float) -> float:
+    """What rounding may add to a distance when squared norms are ``top``."""
+    return 1e-6 + 1e-9 * top**0.5
+
+
 def choose_pivots(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """k-means from the points that lie farthest from those chosen before."""
     centres = [sample[0]]
@@ -74,18 +93,22 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
     """For each row where ``query`` holds: query_id, rank, vec_id, score of its k best other rows.
 
     Scores are integer inner products, ties go to the smaller id, and fewer rows than k give fewer results. Rows
-    without id, with a null vector, or with a null or non-finite component take no part; nor do vectors of another
-    length than the first one by id. Equal vectors are different rows; rows that repeat an id count once. No rows
-    give no rows; other columns are ignored.
+    without id, with a null vector, or with a null or non-finite component take no part. What a vector lacks to the
+    length of the longest is zero. Equal vectors are different rows; rows that repeat an id count once, with the first
+    of their vectors in order. Scores beyond 64 bits are held at the nearest integer that fits. No rows give no rows;
+    other columns are ignored.
     """
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score long"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), query.alias("is_query"), scaled(F.col(vector_col)).alias("v")).where("vec_id is not null and v is not null")
-    first = rows.select("vec_id", F.size("v").alias("n")).orderBy("vec_id").head()
-    if first is None:
+    longest, most = rows.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).head()
+    if longest is None:
         return spark.createDataFrame([], result)
+    kind, stored = ("int", "<i4") if most < 2.0**31 - 1 else ("long", "<i8")
+    same_length = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(longest) - F.size("v"))).cast(f"array<{kind}>")
     # equal vectors: k + 1 smallest ids each, found in two steps so that no task ranks a large group alone
-    rows = rows.where(F.size("v") == first["n"]).withColumn("same", F.sha2(F.array_join("v", ",").cast("binary"), 256)).dropDuplicates(["vec_id"])
+    rows = rows.select("vec_id", "is_query", same_length.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query"))
+    rows = rows.withColumn("same", F.sha2(F.array_join(F.col("v").cast("array<string>"), ",").cast("binary"), 256))
     rows = written(rows, "topk-rows")
     spread = W.partitionBy("same", F.pmod("vec_id", F.lit(64))).orderBy("vec_id")
     some = rows.withColumn("_n", F.row_number().over(spread)).where(F.col("_n") <= k + 1)
@@ -93,7 +116,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
     listed = some.where("listed").select("vec_id", F.lit(True).alias("listed"))
     rows = written(rows.join(listed, "vec_id", "left").where("listed or is_query").select("vec_id", "is_query", F.coalesce("listed", F.lit(False)).alias("listed"), "v"), "topk-listed")
 
-    top = float(rows.agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x.cast("long")))).head()[0])
+    top = float(rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).head()[0])
     sample = np.array([r["v"] for r in rows.where("listed").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("v").collect()], dtype=float)
     centres = choose_pivots(lifted(sample, top), pivots)
     shared = spark.sparkContext.broadcast((centres, top))
@@ -107,7 +130,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
                 near = d.argmin(1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], ["vec_id", "is_query", "listed", "v", "pivot", "far"])
 
-    key = rows.select("vec_id", "is_query", "listed", "v").mapInArrow(keyed, "vec_id long, is_query boolean, listed boolean, v array<int>, pivot int, far double")
+    key = rows.select("vec_id", "is_query", "listed", "v").mapInArrow(keyed, f"vec_id long, is_query boolean, listed boolean, v array<{kind}>, pivot int, far double")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = key.repartitionByRange(parts, "pivot", "far", "vec_id").sortWithinPartitions("pivot", "far", "vec_id")
 
@@ -126,12 +149,12 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
             # the k-th best score of each query in its own annulus, where to start from
             floor = np.full(len(qi), LOWEST)
             if len(li) > k:
-                s = v[qi] @ v[li].T
+                s = products(v[qi], v[li], top)
                 s[ids[qi][:, None] == ids[li][None, :]] = LOWEST
                 floor = -np.partition(-s, k - 1, axis=1)[:, k - 1] if len(qi) else floor
             number += 1
             name = part * PART + number
-            out = {"annulus": [name], "pivot": [int(b.column("pivot")[0].as_py())], "low": [float(far.min())], "high": [float(far.max())], "n": [len(li)], "ids": [ids[li].astype("<i8").tobytes()], "vectors": [v[li].astype("<i4").tobytes()], "queries": [ids[qi].astype("<i8").tobytes()], "asked": [v[qi].astype("<i4").tobytes()], "floor": [floor.astype("<i8").tobytes()]}
+            out = {"annulus": [name], "pivot": [int(b.column("pivot")[0].as_py())], "low": [float(far.min())], "high": [float(far.max())], "n": [len(li)], "ids": [ids[li].astype("<i8").tobytes()], "vectors": [v[li].astype(stored).tobytes()], "queries": [ids[qi].astype("<i8").tobytes()], "asked": [v[qi].astype(stored).tobytes()], "floor": [floor.astype("<i8").tobytes()]}
             return pa.RecordBatch.from_pydict(out, schema=shape)
 
         shape = pa.schema([("annulus", pa.int64()), ("pivot", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("n", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("queries", pa.binary()), ("asked", pa.binary()), ("floor", pa.binary())])
@@ -162,13 +185,13 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
     n_pages = max(1, pages.agg(F.max("page")).head()[0] or 0) + 1
     asking = query_blocks(index)
     visits = asking.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(n_pages - 1)))).join(pages, "page")
-    width = first["n"]
+    width = longest
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, t = shared.value
         for b in batches:
             for r in b.to_pylist():
-                asked = np.frombuffer(r["asked"], "<i4").reshape(-1, width).astype(float)
+                asked = np.frombuffer(r["asked"], stored).reshape(-1, width).astype(float)
                 floor = np.frombuffer(r["floor"], "<i8")
                 norm = (asked**2).sum(1)
                 q = np.hstack([asked, np.zeros((len(asked), 1))])
@@ -178,18 +201,21 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
                 low, high = np.array([x["low"] for x in e]), np.array([x["high"] for x in e])
                 gap = np.maximum(np.maximum(low[None] - d[:, pivot], d[:, pivot] - high[None]), 0)
                 # a query is as far from a vector as the lifted norms and their product say; 1 covers rounding
-                bound = (norm[:, None] + t - np.maximum(gap - 1e-6, 0) ** 2) / 2 + 1
+                bound = (norm[:, None] + t - np.maximum(gap - slack(t), 0) ** 2) / 2 + 1 + 1e-9 * t
                 some = np.flatnonzero((bound >= floor[:, None]).any(0))
                 most = np.where(bound >= floor[:, None], bound, -np.inf).max(0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), r["block"])), pa.array(np.array([x["annulus"] for x in e], dtype=np.int64)[some]), pa.array(most[some])], ["block", "annulus", "bound"])
 
     wanted = visits.select("block", "asked", "floor", "entries").mapInArrow(bounds, "block long, annulus long, bound double")
-    work = wanted.join(index.select("annulus", "pivot", "low", "high", "ids", "vectors"), "annulus").join(asking, "block")
-    work = work.repartition(parts, "block", F.pmod("annulus", F.lit(SPREAD))).sortWithinPartitions("block", F.col("bound").desc())
+    # a block's queries go once to each of the tasks that its annuli are dealt to, ahead of them; annuli come best first
+    asks = asking.select("block", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"), F.lit(float("inf")).alias("bound"), *[F.lit(None).cast(t).alias(c) for c, t in (("pivot", "int"), ("low", "double"), ("high", "double"), ("ids", "binary"), ("vectors", "binary"))], "queries", "asked", "floor")
+    held = wanted.join(index.select("annulus", "pivot", "low", "high", "ids", "vectors"), "annulus")
+    held = held.select("block", F.pmod("annulus", F.lit(SPREAD)).cast("int").alias("part"), "bound", "pivot", "low", "high", "ids", "vectors", *[F.lit(None).cast("binary").alias(c) for c in ("queries", "asked", "floor")])
+    work = asks.union(held).repartition(parts, "block", "part").sortWithinPartitions("block", "part", F.col("bound").desc())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, t = shared.value
-        block, found, floor, ids, asked, d, norm = None, [], None, None, None, None, None
+        found, floor, ids, asked, d, norm = None, None, None, None, None, None
 
         def out() -> pa.RecordBatch:
             q = [np.full(len(f[0]), i) for i, f in zip(ids, found, strict=True)]
@@ -198,30 +224,30 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
         none = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
         for b in batches:
             for r in b.to_pylist():
-                if r["block"] != block:
-                    if block is not None:
+                if r["asked"] is not None:
+                    if found is not None:
                         yield out()
-                    block, ids = r["block"], np.frombuffer(r["queries"], "<i8")
-                    asked, floor = np.frombuffer(r["asked"], "<i4").reshape(-1, width).astype(np.int64), np.frombuffer(r["floor"], "<i8").copy()
+                    ids = np.frombuffer(r["queries"], "<i8")
+                    asked, floor = np.frombuffer(r["asked"], stored).reshape(-1, width), np.frombuffer(r["floor"], "<i8").copy()
                     found = [none] * len(ids)
                     norm = (asked.astype(float) ** 2).sum(1)
                     d = distances(np.hstack([asked.astype(float), np.zeros((len(asked), 1))]), c)
+                    continue
                 gap = np.maximum(np.maximum(r["low"] - d[:, r["pivot"]], d[:, r["pivot"]] - r["high"]), 0)
-                go = np.flatnonzero((norm + t - np.maximum(gap - 1e-6, 0) ** 2) / 2 + 1 >= floor)
+                go = np.flatnonzero((norm + t - np.maximum(gap - slack(t), 0) ** 2) / 2 + 1 + 1e-9 * t >= floor)
                 if not len(go):
                     continue
-                there, v = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"], "<i4").reshape(-1, width).astype(float)
-                scores = (asked[go].astype(float) @ v.T).astype(np.int64)  # exact below 2**53
-                for i, s in zip(go, scores, strict=True):
+                there, v = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"], stored).reshape(-1, width)
+                for i, s in zip(go, products(asked[go], v, t), strict=True):
                     keep = (s >= floor[i]) & (there != ids[i])
                     if keep.any():
                         found[i] = best(np.concatenate([found[i][0], there[keep]]), np.concatenate([found[i][1], s[keep]]), k)
                         if len(found[i][1]) == k:
                             floor[i] = max(floor[i], found[i][1][-1])
-        if block is not None:
+        if found is not None:
             yield out()
 
-    hits = work.select("block", "bound", "pivot", "low", "high", "ids", "vectors", "queries", "asked", "floor").mapInArrow(search, "query_id long, vec_id long, score long")
+    hits = work.drop("part").mapInArrow(search, "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

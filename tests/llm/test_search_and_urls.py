@@ -12,10 +12,12 @@ def brute_top_k(rows, is_query, k=5):
     for i, v in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
             wide[i] = np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(np.int64)
+    longest = max(map(len, wide.values()), default=0)
+    wide = {i: [int(x) for x in v] + [0] * (longest - len(v)) for i, v in wide.items()}
     out = []
     for q, v in wide.items():
         if is_query(q):
-            best = sorted((-int(v @ w), i) for i, w in wide.items() if i != q)[:k]
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in wide.items() if i != q)[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -39,6 +41,29 @@ def test_top_k_of_few_and_no_rows(spark):
     assert topk_search.top_k(df.where("vec_id = 1"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_vectors_of_many_lengths_and_sizes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0])] + [(i, rng.normal(size=3).astype(float).tolist()) for i in range(1, 120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+    assert got == brute_top_k(rows, lambda q: q % 50 == 0) and len(got) == 15
+    large = rows[1:] + [(200, [1e6, 2.0, 3.0]), (201, [-1e6, 1.0, 0.0]), (250, [1e6, 0.5, -1e6])]
+    df = spark.createDataFrame(large, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+    assert got == brute_top_k(large, lambda q: q % 50 == 0)
+    huge = [*rows, (300, [1e9, 0.0, 0.0]), (301, [1e30, 0.0, 0.0])]
+    df = spark.createDataFrame(huge, "vec_id long, embedding array<float>")
+    got = topk_search.top_k(df, F.col("vec_id") == 300).orderBy("rank").collect()
+    assert got[0]["vec_id"] == 301 and got[0]["score"] == 2**63 - 1 and len(got) == 5
+
+
+def test_top_k_of_ids_that_repeat_is_the_same_each_time(spark):
+    rows = [(i % 40, [float(i), 1.0]) for i in range(120)]
+    first = [(i, [float(i), 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(7)
+    assert sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") == 0).collect())) == brute_top_k(first, lambda q: q == 0)
+
+
 PAGES = [
     (1, "http://WWW.Example.NET/en/a?x#y", "<a href='http://good.com/'>"),
     (2, "https://a.example.net/de/", "<a href=//bad.com/x>"),
