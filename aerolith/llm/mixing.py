@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, if_small, text_of, written
+from .common import WORD, if_small, text_of, unused, written
 
 #: Bits of the hash, and how many of them each level of the histogram divides by.
 HASH_BITS, LEVEL_BITS = 48, 12
@@ -97,11 +97,15 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), budget: float =
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with their own columns, each as often as it is taken."""
+    """The documents of the mix with their own columns, each as often as it is taken.
+
+    Rows that repeat a doc_id are taken alike, those without one too; an empty table gives an empty one.
+    """
     columns = docs.columns
-    times = written(mixed(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0"), "mix-copies")
-    joined = docs.alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("t.copies").cast("int")))).select(*[f"d.`{c}`" for c in columns])
+    key, nth = unused(columns, "key"), unused(columns, "nth")
+    times = written(mixed(docs, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias("copies")).where("copies > 0"), "mix-copies")
+    joined = docs.join(times.withColumnRenamed("copies", nth), docs["doc_id"].eqNullSafe(times[key]))
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(nth).cast("int")))).select(*[f"`{c}`" for c in columns])
 
 
 #: The same result in SQL: the threshold found by one running sum in hash order.

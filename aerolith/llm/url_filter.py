@@ -60,8 +60,9 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85,
     Seeds' shares add up to 1. What a host without outgoing links holds is lost, not spread: scores are compared,
     never summed. Every fifth round is written to the shared folder.
     """
-    total = F.sum("weight").over(_all())
-    start = written(seeds.where("weight > 0").select("host", (F.col("weight") / total).alias("seed")), "rank-seeds")
+    seeds = seeds.where("weight > 0")
+    total = seeds.agg(F.sum("weight").alias("total"))  # one row
+    start = written(seeds.join(F.broadcast(total)).select("host", (F.col("weight") / F.col("total")).alias("seed")), "rank-seeds")
     if edges.isEmpty() or start.isEmpty():
         return start.select("host", ((1 - damping) * F.col("seed")).alias("score"))
     out = edges.groupBy("a").agg(F.sum("weight").alias("all"))
@@ -75,12 +76,6 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85,
     return score
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def judged(pages: DataFrame, rules=RULES, ratio: float = 1.0, links: DataFrame | None = None) -> DataFrame:
     """One row a page (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust.
 
