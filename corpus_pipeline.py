@@ -10,28 +10,45 @@ from aerolith.llm.queries import table, tokenizer_file
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the severity model rejects. The model is fitted on labelled rows of the same documents."""
-    model = toxicity.fit(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")))
+    """Drops documents that the severity model rejects. The model is fitted on labelled rows of the same documents.
+
+    Null and empty texts stay, rows that repeat stay or go together, and no documents give none.
+    """
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.clean(docs, model)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of equal texts the one with the largest doc_id."""
+    """Keeps of equal texts the one with the largest doc_id.
+
+    Null counts as the empty text. Of rows that tie one stays, always the same. No documents give none.
+    """
     return exact_dedup.deduplicated(docs)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the smallest doc_id: five-word shingles, similarity 0.8."""
+    """Keeps of each group of linked documents the one with the smallest doc_id: five-word shingles, similarity 0.8.
+
+    Documents without words and rows without doc_id stay; rows that repeat a doc_id stay or go together. No documents
+    give none.
+    """
     return ngram_join.one_of_each(docs, width=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents until sources stand in their target shares."""
+    """Repeats and drops documents until sources stand in their target shares.
+
+    A null source is a source, texts without words weigh nothing, rows that repeat a doc_id are taken alike. No
+    documents give none.
+    """
     return mixing.mixture(docs)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled piece ids of every document."""
+    """Sampled piece ids of every document.
+
+    Null is the empty text, which has no pieces; rows that repeat get the same pieces. No documents give none.
+    """
     return piece_sampling.sampled_pieces(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
@@ -43,7 +60,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", pieces_stage),
 ]
 
-#: The first and last stages can't be put in SQL; tests hold run() against a brute-force version.
+#: The first and last stages can't be put in SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
