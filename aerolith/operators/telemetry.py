@@ -98,6 +98,13 @@ def numbered(df: DataFrame, order: tuple[str, ...], out: str = "place") -> DataF
     return rows.join(F.broadcast(starts), "_range").withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
 
 
+def ranked(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds the rank of a value in the whole table, from 1; equal values share the smallest of their places."""
+    placed = numbered(df, (value,), "_at")
+    first = placed.groupBy(value).agg((F.min("_at") + 1).alias(out))
+    return placed.drop("_at").join(first, value)
+
+
 def split(df: DataFrame, order: tuple[str, ...], held_out: float = 0.2) -> DataFrame:
     """Adds part: the first n - floor(n held_out) rows by place are for training."""
     n = df.agg(F.count(F.lit(1)).alias("_n"))

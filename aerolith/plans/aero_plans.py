@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lit, r
-from ..operators import aero, graph, mesh, rl
+from ..operators import aero, graph, mesh, rl, telemetry
 from ..sources import grids
 from . import fixtures as fx
 from .registry import query, table
@@ -307,10 +307,8 @@ def prj18(spark: SparkSession, d: str) -> DataFrame:
 @query("doc03_self_test", f"""WITH {fx.DESIGNS_SQL}, {SURROGATE_SQL}, o AS (SELECT *, range_est * (1 + 0.1 * (design_id % 5 - 2)) AS other FROM rated), k AS (SELECT *, rank() OVER (ORDER BY range_est) AS a, rank() OVER (ORDER BY other) AS b FROM o)
 SELECT round(avg(abs(range_est - other)), 6) AS mae, round(corr(a, b), 6) AS rank_correlation, arg_max(design_id, range_est) AS best FROM k""")
 def doc03(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     o = aero.surrogate(fx.designs(spark, d)).withColumn("other", F.col("range_est") * (1 + 0.1 * (F.col("design_id") % 5 - 2)))
-    k = o.withColumns({"a": F.rank().over(W.orderBy("range_est")), "b": F.rank().over(W.orderBy("other"))})
+    k = telemetry.ranked(telemetry.ranked(o.select("design_id", "range_est", "other"), "range_est", "a"), "other", "b")
     return k.agg(F.round(F.avg(F.abs(F.col("range_est") - F.col("other"))), 6).alias("mae"), F.round(F.corr("a", "b"), 6).alias("rank_correlation"), F.max_by("design_id", "range_est").alias("best"))
 
 

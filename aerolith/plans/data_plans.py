@@ -10,6 +10,7 @@ from ..operators import amr, antenna, diffusion, mesh, telemetry, viz
 from ..sources import grids, logs, stl
 from ..streaming import metrics
 from . import fixtures as fx
+from .grid_plans import KERNEL_SQL, gauss_sql
 from .registry import query, table
 
 KEYS, ORDER = ("user_id",), ("ts", "event_id")
@@ -162,7 +163,10 @@ def cmp40(spark: SparkSession, d: str) -> DataFrame:
     return viz.normalised(rows, "value", viz.linear_percentiles(rows, "value", KEYS), KEYS).select("event_id", r(F.col("v")).alias("v"))
 
 
-@query("cmp40_volume_bytes")
+@query("cmp40_volume_bytes", f"""WITH {fx.SMOOTH_SQL}, {KERNEL_SQL}, b AS (SELECT quantile_cont(uz, 0.02) AS lo, quantile_cont(uz, 0.98) AS hi FROM u), v0 AS (SELECT c, x, y, z, greatest(0, least(1, (uz - lo) / (hi - lo))) AS v FROM u, b),
+{gauss_sql('v0', 'v', 'x', 'g1')}, {gauss_sql('g1', 'v', 'y', 'g2')}, {gauss_sql('g2', 'v', 'z', 'g3')}, t AS (SELECT c AS cell, CASE WHEN v < 0.1 THEN 0 ELSE v END AS v FROM g3),
+l AS (SELECT cell, v, least(255, trunc(v * 256)) / 255.0::DOUBLE * 2 AS s FROM t), m AS (SELECT *, CASE WHEN s >= 1 THEN s - 1 ELSE 0 END AS r, CASE WHEN s >= 1 THEN 1 - (s - 1) ELSE s END AS g, CASE WHEN s >= 1 THEN 0.5 + (s - 1) * -0.5 ELSE 0.5 END AS b FROM l)
+SELECT cell, CAST(floor(r * 255) AS SMALLINT) AS red, CAST(floor(g * 255) AS SMALLINT) AS green, CAST(floor(b * 255) AS SMALLINT) AS blue, CAST(floor(greatest(0, least(0.95, pow(v, 0.25) * 0.95)) * 255) AS SMALLINT) AS alpha FROM m""")
 def cmp40_bytes(spark: SparkSession, d: str) -> DataFrame:
     return viz.volume(fx.smooth(spark), "uz", viz.ramp(spark, [(0.0, 0.0, 0.5), (0.0, 1.0, 0.5), (1.0, 0.0, 0.0)]), smooth=True).select("cell", "red", "green", "blue", "alpha")
 

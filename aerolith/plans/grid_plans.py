@@ -171,7 +171,10 @@ def gauss_sql(source: str, value: str, axis: str, out: str) -> str:
     return f"{out} AS MATERIALIZED (SELECT g.c, g.x, g.y, g.z, sum(n.{value} * wt) / max(total) AS {value} FROM {source} g CROSS JOIN kernel JOIN {source} n ON {others} AND n.{axis} = {mirror} GROUP BY g.c, g.x, g.y, g.z)"
 
 
-@query("win07_gaussian_filter", f"""WITH {fx.SMOOTH_SQL}, kernel AS (SELECT k, exp(-0.5 * (k / 0.8::DOUBLE) * (k / 0.8::DOUBLE)) AS wt, sum(exp(-0.5 * (k / 0.8::DOUBLE) * (k / 0.8::DOUBLE))) OVER () AS total FROM range(-3, 4) t(k)),
+KERNEL_SQL = "kernel AS (SELECT k, exp(-0.5 * (k / 0.8::DOUBLE) * (k / 0.8::DOUBLE)) AS wt, sum(exp(-0.5 * (k / 0.8::DOUBLE) * (k / 0.8::DOUBLE))) OVER () AS total FROM range(-3, 4) t(k))"
+
+
+@query("win07_gaussian_filter", f"""WITH {fx.SMOOTH_SQL}, {KERNEL_SQL},
 {gauss_sql('u', 'ux', 'x', 'g1')}, {gauss_sql('g1', 'ux', 'y', 'g2')}, {gauss_sql('g2', 'ux', 'z', 'g3')} SELECT c AS cell, round(ux, 6) + 0.0 AS smooth FROM g3""")
 def win07(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stencil.gaussian_filter(fx.smooth(spark), "ux", "smooth"), ("smooth",), "cell")
