@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, text_of
+from .common import chunks, release, text_of
 
 SPACE = "▁"
 #: Stand for a space mark and a line feed in the text itself, which are spelled in bytes. No text in UTF-8 holds them.
@@ -35,9 +35,9 @@ INNER = re.compile(f"[^{SPACE}]{SPACE}")
 #: Segments whose lattices a task keeps.
 CACHE_SEGMENTS = 100_000
 #: Characters of segments whose lattices a task keeps, as some segments are long.
-CACHE_CHARS = 2_000_000
-#: Characters of a batch that are sampled at once.
-BATCH_CHARS = 1_000_000
+CACHE_CHARS = 1_000_000
+#: Bytes of text that are sampled at once.
+BATCH_BYTES = 1_000_000
 
 
 class Lattices:
@@ -82,6 +82,7 @@ class Lattices:
         self.piece_at = np.full(len(node), -1, dtype=np.int64)
         for piece, i in pieces.items():
             self.piece_at[node[piece]] = i
+        del node, step
         self.forget()
 
     def forget(self) -> None:
@@ -282,23 +283,15 @@ def sampled_pieces(docs: DataFrame, model_file: str, sharpness: float = 1.0, wit
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("piece_ids", pa.list_(pa.int32())), last])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            low = 0
-            while low < len(texts):
-                high, chars = low, 0
-                while high < len(texts) and (high == low or chars + len(texts[high]) <= BATCH_CHARS):
-                    chars += len(texts[high])
-                    high += 1
-                some = texts[low:high]
-                pieces = encode_texts(some, names[low:high], model_file, sharpness)
-                back = [decode(p, model_file, sharpness) for p in pieces]
-                back = back if with_text else [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]
-                sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-                flat = pa.array(np.concatenate(pieces).astype(np.int32) if pieces else np.zeros(0, np.int32))
-                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(names[low:high], pa.int64()), pa.array(sizes), listed, pa.array(back, pa.string())], schema=schema)
-                low = high
+        for some in chunks(batches, "text", BATCH_BYTES):
+            names, texts = some.column("doc_id").to_pylist(), some.column("text").to_pylist()
+            pieces = encode_texts(texts, names, model_file, sharpness)
+            back = [decode(p, model_file, sharpness) for p in pieces]
+            back = back if with_text else [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]
+            sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+            flat = pa.array(np.concatenate(pieces).astype(np.int32) if pieces else np.zeros(0, np.int32))
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes), listed, pa.array(back, pa.string())], schema=schema)
         lattices(model_file, sharpness).forget()
         release()
 
