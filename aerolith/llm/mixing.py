@@ -75,6 +75,20 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.when(F.col("left_over") * 2 >= F.col("words"), F.col("prefix") + 1).otherwise(F.col("prefix")).alias("threshold"))
 
 
+def cuts(sizes: DataFrame, weights: tuple[int, ...], budget: float, most: int) -> DataFrame:
+    """(source, source_size, target, whole, threshold): one row a source, from (source, size, h) of every document."""
+    targets = written(source_targets(sizes, weights, budget, most), "mix-targets")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("long")
+    targets = targets.withColumn("whole", whole)
+    budgets = targets.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")).where("budget > 0")
+    cut = targets.alias("t").join(thresholds(sizes.select("source", "size", "h"), budgets).alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.*", F.coalesce("c.threshold", F.lit(0)).alias("threshold"))
+    return written(cut, "mix-cut")
+
+
+def sizes_of(docs: DataFrame) -> DataFrame:
+    return written(docs.select("doc_id", "source", word_count(text_of()).alias("size"), hash_of(F.col("doc_id")).alias("h")), "mix-sizes")
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), budget: float = 1.0, most: int = 3) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken (words, repeats counted), copies.
 
@@ -83,29 +97,27 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), budget: float =
     their source's hash threshold says, with taken 0. A source without words has target 0 and its documents
     stay once. An empty table gives an empty result; other columns are ignored.
     """
-    sizes = written(docs.select("doc_id", "source", word_count(text_of()).alias("size"), hash_of(F.col("doc_id")).alias("h")), "mix-sizes")
-    targets = written(source_targets(sizes, weights, budget, most), "mix-targets")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("long")
-    targets = targets.withColumn("whole", whole)
-    budgets = targets.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")).where("budget > 0")
-    cut = targets.alias("t").join(thresholds(sizes.select("source", "size", "h"), budgets).alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.*", F.coalesce("c.threshold", F.lit(0)).alias("threshold"))
+    sizes = sizes_of(docs)
     # one row a source: sent to all tasks while it is small, which also keeps a hot source spread out
-    cut = if_small(written(cut, "mix-cut"))
+    cut = if_small(cuts(sizes, weights, budget, most))
     joined = sizes.alias("d").join(cut.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     copies = F.col("whole") + (F.col("h") < F.col("threshold")).cast("long")
     return joined.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
+def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), budget: float = 1.0, most: int = 3) -> DataFrame:
     """The documents of the mix with their own columns, each as often as it is taken.
 
-    Rows that repeat a doc_id are taken alike, those without one too; an empty table gives an empty one.
+    Documents meet only their source's threshold, so they aren't shuffled. Rows of a source that repeat a doc_id are
+    taken alike, those without one too; an empty table gives an empty one.
     """
     columns = docs.columns
-    key, nth = unused(columns, "key"), unused(columns, "nth")
-    times = written(mixed(docs, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias("copies")).where("copies > 0"), "mix-copies")
-    joined = docs.join(times.withColumnRenamed("copies", nth), docs["doc_id"].eqNullSafe(times[key]))
-    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(nth).cast("int")))).select(*[f"`{c}`" for c in columns])
+    of, whole, threshold = (unused(columns, c) for c in ("of", "whole", "threshold"))
+    cut = cuts(sizes_of(docs), weights, budget, most).select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("threshold").alias(threshold))
+    joined = docs.join(if_small(cut), docs["source"].eqNullSafe(cut[of]))
+    copies = (F.col(whole) + (hash_of(docs["doc_id"]) < F.col(threshold)).cast("long")).cast("int")
+    times = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))
+    return joined.withColumn(of, times).select(*[f"`{c}`" for c in columns])
 
 
 #: The same result in SQL: the threshold found by one running sum in hash order.
