@@ -41,7 +41,7 @@ COMPARE = 16
 SHORT = 8
 #: Sizes of one fine band differ by less than this factor.
 FINE = 1.02
-#: Long lists get another round of pivots while so many times their members would be paired.
+#: Long lists get another round of pivots while so many times their members would be paired, and rounds halve that.
 MANY = 16
 #: Shingles that a task counts at once.
 FLUSH = 1_500_000
@@ -166,12 +166,12 @@ def pair(x: str, y: str) -> list[Column]:
     return [F.least(f"{x}.doc_id", f"{y}.doc_id").alias("a"), F.greatest(f"{x}.doc_id", f"{y}.doc_id").alias("b")]
 
 
-def pivot_pairs(long: DataFrame, label: Column, turn: int, percent: int) -> DataFrame:
+def pivot_pairs(long: DataFrame, turn: int, percent: int) -> DataFrame:
     """Members of long lists beside the pivot of their band of sizes and of the next.
 
     The first pivot is the member that the fewest rare shingles stand before; later ones are of any component.
     """
-    rows = long.withColumns({"label": label, "band": band(F.col("n"), 100 / percent)})
+    rows = long.withColumn("band", band(F.col("n"), 100 / percent))
     first = F.struct(F.xxhash64("label", F.lit(turn)).alias("h") if turn else F.lit(0).alias("h"), "i", "doc_id", "n", "most", "label")
     pivots = written(rows.groupBy("s", "band").agg(F.min(first).alias("p")).select("s", "band", "p.*"), "join-pivots")
     seen = rows.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
@@ -179,9 +179,8 @@ def pivot_pairs(long: DataFrame, label: Column, turn: int, percent: int) -> Data
     return both.where((F.col("x.label") != F.col("p.label")) & fits("x", "p")).select(*pair("x", "p"))
 
 
-def remaining(long: DataFrame, label: Column, percent: int) -> tuple[DataFrame, DataFrame]:
+def remaining(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Smaller and larger partners of the pairs of long lists that lie in different components, by list and fine band of the smaller one."""
-    rows = long.withColumn("label", label)
     mixed = written(rows.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("s"), "join-mixed")
     rows = written(rows.join(if_small(mixed), "s", "left_semi"), "join-rest")
     small = rows.where("n <= most").withColumn("f", band(F.col("n"), FINE))
@@ -225,18 +224,21 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
 
     at_once = short.alias("x").join(short.alias("y"), "s").where((F.col("x.doc_id") < F.col("y.doc_id")) & fits("x", "y")).select(*pair("x", "y"))
     tested = links = labels = None
-    turn, members = 0, long.count()
+    turn, members, before = 0, long.count(), float("inf")
+    named = long.withColumn("label", F.col("doc_id"))
     while True:
-        named, label = with_labels(long, labels)
-        new = pivot_pairs(named, label, turn, percent)
+        new = pivot_pairs(named, turn, percent)
         new = at_once.union(new) if turn == 0 else new
         tested, links, labels, more = compared(docs, own, new, tested, links, labels, width, percent, paths)
         if not members:
             break
-        small, large = remaining(*with_labels(long, labels), percent)
+        if more:
+            named = written(with_labels(long, labels), "join-named", paths)
+        small, large = remaining(named, percent)
         turn += 1
         work = small.groupBy("s", "f").agg(F.count(F.lit(1)).alias("m")).join(large.groupBy("s", "f").agg(F.count(F.lit(1)).alias("k")), ["s", "f"]).agg(F.sum(F.col("m") * F.col("k"))).head()[0]
-        if more and (work or 0) > MANY * members:
+        if more and MANY * members < (work or 0) <= before / 2:
+            before = work
             continue
         small, large = small.alias("y"), large.alias("x")
         ordered = F.struct("y.n", "y.doc_id") < F.struct("x.n", "x.doc_id")
@@ -254,11 +256,10 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     return out
 
 
-def with_labels(lists: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Column]:
-    """Members with what is known of their components, and the column that names a component: by the document alone as yet."""
-    if labels is None:
-        return lists, F.col("doc_id")
-    return lists.join(if_small(labels), lists.doc_id == labels.node, "left").drop("node"), F.coalesce("component", "doc_id")
+def with_labels(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with the name of their component: by the document alone where it has no link."""
+    named = lists.join(if_small(labels), lists.doc_id == labels.node, "left")
+    return named.select(*lists.columns, F.coalesce("component", "doc_id").alias("label"))
 
 
 def compared(docs: DataFrame, own: DataFrame, pairs: DataFrame, tested: DataFrame | None, links: DataFrame | None, labels: DataFrame | None, width: int, percent: int, paths: list[str]) -> tuple[DataFrame, DataFrame | None, DataFrame | None, bool]:
