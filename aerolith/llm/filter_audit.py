@@ -11,15 +11,17 @@ from __future__ import annotations
 import json
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remove_all, text_of, written
 
 #: The filters in order of their bits.
 FILTERS = "ABCDE"
-#: Bytes of text that one task explodes into words.
-TASK_BYTES = 48_000_000
+#: Bytes of a task's memory for each byte of text that it explodes and counts, so that its table of words fits.
+EXPANSION = 30
+#: Fewest and most bytes of text of a task.
+LEAST_BYTES, MOST_BYTES = 8_000_000, 256_000_000
 
 
 def identity() -> list[Column]:
@@ -27,6 +29,16 @@ def identity() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g")]
 
 
+def task_bytes(spark: SparkSession) -> int:
+    """Bytes of text whose words a task can count without spilling, by the session's memory and cores."""
+    conf = spark.sparkContext.getConf()
+    local = conf.get("spark.master", "").startswith("local")
+    memory = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g")
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(memory)
+    return int(min(max(held * 0.3 / cores / EXPANSION, LEAST_BYTES), MOST_BYTES))
+
+
 def word_counts(docs: DataFrame, key: tuple[str, ...] = ("doc_id", "h", "g")) -> DataFrame:
     """(key, words, distinct_words): totals of each document (key, text), from its exploded words.
 
@@ -35,7 +47,7 @@ def word_counts(docs: DataFrame, key: tuple[str, ...] = ("doc_id", "h", "g")) ->
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // task_bytes(spark)))
     split = F.split("text", r"[\x20\x09-\x0D]+")
     words = docs.repartition(tasks, *key).select(*key, F.explode(F.concat(F.array(F.lit(None).cast("string")), split)).alias("word"))
     pairs = words.where("word is null or word <> ''").groupBy(*key, "word").agg(F.count(F.lit(1)).alias("n"))
