@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, filter_audit, mixing, ngram_join, piece_sampling, sharding, suffix_tree_lm, token_files, topk_search, toxicity, url_filter
+from . import exact_dedup, filter_audit, graph_search, mixing, ngram_join, phrases, piece_sampling, sharding, suffix_tree_lm, token_files, topk_search, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_tree_lm, op3_mixing, op4_ngram_join, op5_sharding, op6_token_files, op7_piece_sampling, op8_url_filter, op9_topk_search, op10_toxicity, op11_filter_audit)}
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_tree_lm, op3_mixing, op4_ngram_join, op5_sharding, op6_token_files, op7_piece_sampling, op8_url_filter, op9_topk_search, op10_toxicity, op11_filter_audit, op12_phrases, op13_graph_search)}
 
 #: Equal results in SQL, for the operators that SQL can express over whole tables.
 ORACLE_SQL = {
@@ -78,4 +86,5 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op8_url_filter": url_filter.oracle_sql(),
     "op9_topk_search": topk_search.sql(),
     "op11_filter_audit": filter_audit.SQL,
+    "op12_phrases": phrases.SQL,
 }

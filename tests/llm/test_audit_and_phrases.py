@@ -1,11 +1,12 @@
 """Filter audit and phrase mining against brute force, with odd rows."""
 
+import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from aerolith.llm import filter_audit
+from aerolith.llm import filter_audit, phrases
 from aerolith.llm.queries import ORACLE_SQL, QUERIES
 from tests.compare import duck_rows, spark_rows
 
@@ -81,3 +82,59 @@ def test_audit_of_no_rows(spark):
 def test_audit_equals_sql(spark):
     folder = "/root/testdata/sf0.001"
     assert spark_rows(QUERIES["op11_filter_audit"](spark, folder)) == duck_rows(ORACLE_SQL["op11_filter_audit"], folder)
+
+
+def brute_phrases(rows, least, most=2000):
+    n, f = Counter(), Counter()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for _, text, lang, _ in rows:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(lower)):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang or "und"] += len(w)
+            for k in (1, 2, 3):
+                f.update((lang or "und", *w[i : i + k]) for i in range(len(w) - k + 1))
+    found = {}
+    for p, a in f.items():
+        if len(p) > 2 and a >= least:
+            longer = [b for q, b in f.items() if len(q) == 4 and len(p) == 3 and q[0] == p[0] and p[1:] in (q[1:3], q[2:4]) and b >= least]
+            if not any(100 * b >= 50 * a for b in longer):
+                cuts = []
+                for k in range(1, len(p) - 1):
+                    left, right = f[p[: k + 1]], f[(p[0], *p[k + 1 :])]
+                    cuts.append((10**6 * a * a // (left * right), k, left, right))
+                score, _, left, right = min(cuts)
+                found.setdefault(p[0], []).append((-score, -a, " ".join(p[1:]).encode(), left, right))
+    return sorted((lang, rank, p.decode(), -a, x, y, n[lang], -s) for lang, all_ in found.items() for rank, (s, a, p, x, y) in enumerate(sorted(all_)[:most], 1))
+
+
+def phrase_documents():
+    texts = [None, "", " \t ", "...!!", "a", "The CAT sat. The cat, the cat sat on", "the cat sat " * 9, "ÄB äb Äb äb", "x\x0by x\x0cy x\ty x y", "n n n n n n", "new york city " * 7 + "new york", "w" * 90_000 + " the cat", "a\u00a0b c\u00a0d " * 5]
+    rows = [(i, t, ("en", "de", None, "und")[i % 4], "s") for i, t in enumerate(texts * 3)]
+    return rows + [(5, texts[6], "en", "s")] * 3
+
+
+def test_phrases_equal_brute_force_on_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 200)
+    rows = phrase_documents()
+    docs = spark.createDataFrame(rows, DOCS).repartition(3).withColumns({c: F.lit("clash") for c in ("block", "n", "a", "phrase", "words", "codes", "rank")})
+    for least, most in ((2, 2000), (4, 3)):
+        got = sorted(tuple(r) for r in phrases.collocations(docs, least, most).collect())
+        assert got == brute_phrases(rows, least, most) and got
+
+
+def test_phrases_of_no_rows_and_of_few(spark):
+    docs = spark.createDataFrame([], DOCS)
+    assert phrases.collocations(docs).count() == 0
+    assert phrases.collocations(spark.createDataFrame([(1, "a b", "en", "s"), (2, None, None, None)], DOCS)).count() == 0
+
+
+def test_scores_of_large_counts_are_exact(spark):
+    big = 9 * 10**14
+    one = spark.createDataFrame([("en", "a", big + 7), ("en", "b", big + 1)], "lang string, phrase string, a long")
+    two = spark.createDataFrame([("en", "a b", big - 3)], "lang string, phrase string, a long")
+    assert phrases.cut_scores(two, one, 2).head()["score"] == 10**6 * (big - 3) ** 2 // ((big + 7) * (big + 1))
+
+
+def test_phrases_equal_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    assert spark_rows(QUERIES["op12_phrases"](spark, folder)) == duck_rows(ORACLE_SQL["op12_phrases"], folder)
