@@ -90,32 +90,6 @@ def reshaped(latents: DataFrame, side: int, column: str = "v") -> DataFrame:
     return latents.withColumn("p", F.when(ok, F.transform(column, lambda x: sigmoid(x))).otherwise(F.raise_error(F.lit("code and grid differ in size")).cast("array<double>")))
 
 
-def residual_block(rows: DataFrame, side: int, column: str = "x", salt: int = 3) -> DataFrame:
-    """Adds out: a 3x3x3 convolution block with instance normalisation, SiLU and a skip, on one channel of side^3 cells."""
-    import numpy as np
-    import pandas as pd
-
-    kernels = [graph.fixed_weights(27, 1, salt + k)[:, 0] for k in range(2)]
-
-    @F.pandas_udf("array<double>")
-    def block(values: pd.Series) -> pd.Series:
-        def convolve(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-            padded = np.pad(x, 1)
-            return sum(kernel[(a * 3 + b) * 3 + c] * padded[a : a + side, b : b + side, c : c + side] for a in range(3) for b in range(3) for c in range(3))
-
-        def one(v) -> list[float]:
-            x = np.asarray(v, dtype=float).reshape(side, side, side)
-            h = x
-            for kernel in kernels:
-                h = (h - h.mean()) / np.sqrt(h.var() + 1e-5)
-                h = convolve(h / (1 + np.exp(-h)), kernel)
-            return (h + x).ravel().tolist()
-
-        return values.map(one)
-
-    return rows.withColumn("out", block(column))
-
-
 def mean_squared(df: DataFrame, a: str, b: str) -> Column:
     """Mean squared difference of two array columns of a row."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), lit(0.0), lambda s, x: s + x) / F.size(a)

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset (one machine, tests)."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="aerolith-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -23,8 +25,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage of a loop."""
+def materialized(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage of a loop.
+
+    The table's path is put in ``paths``, if given, for ``remove_all``.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_all(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that no later plan reads."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
