@@ -31,6 +31,21 @@ def win10(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.exponential_mean(fx.series(spark, d), "value", KEYS, ORDER, 0.731).select("event_id", r(F.col("ema"), 9).alias("ema"))
 
 
+@query("doc06_mean_reverting_noise", f"""WITH RECURSIVE s AS (SELECT user_id, event_id, value, row_number() OVER {RUN}) AS n FROM events),
+e AS (SELECT user_id, event_id, n, 0.863::DOUBLE * 0.37 + 0.137::DOUBLE * 0.37 + 0.2::DOUBLE * value AS x FROM s WHERE n = 1 UNION ALL SELECT s.user_id, s.event_id, s.n, 0.863::DOUBLE * e.x + 0.137::DOUBLE * 0.37 + 0.2::DOUBLE * s.value FROM e JOIN s ON s.user_id = e.user_id AND s.n = e.n + 1)
+SELECT event_id, round(x, 9) + 0.0 AS state FROM e""")
+def doc06(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.mean_reverting(fx.series(spark, d), "value", KEYS, ORDER, pull=0.137, mean=0.37).select("event_id", r(F.col("state"), 9).alias("state"))
+
+
+@query("joi13_positional_zip", """WITH a AS (SELECT *, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS place FROM part), b AS (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) - 1 AS place FROM events)
+SELECT place, p_partkey, event_id FROM a JOIN b USING (place)""")
+def joi13(spark: SparkSession, d: str) -> DataFrame:
+    events = fx.series(spark, d).withColumns({"back": -F.unix_micros(F.col("ts").cast("timestamp")), "down": -F.col("event_id")})
+    both = telemetry.zipped(table(spark, d, "part"), events, ("p_size", "p_partkey"), ("back", "down"))
+    return both.select("place", "p_partkey", "event_id")
+
+
 @query("win13_early_stopping", f"""WITH b AS (SELECT *, min(value) OVER {RUN} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(value) OVER {RUN}) AS best FROM events),
 g AS (SELECT *, sum(CASE WHEN before IS NULL OR value < before THEN 1 ELSE 0 END) OVER {RUN}) AS run FROM b),
 w AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1 AS waited FROM g)
