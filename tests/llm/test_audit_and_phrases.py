@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from aerolith.llm import filter_audit, phrases
@@ -122,6 +123,11 @@ def test_phrases_equal_brute_force_on_odd_rows(spark, monkeypatch):
         assert got == brute_phrases(rows, least, most) and got
 
 
+def test_positions_come_back():
+    for at in ([], [0], [7, 3, 900_000, 2, 2**31 - 1, 0]):
+        assert phrases.unpacked(phrases.packed(np.array(at, dtype=np.int32))).tolist() == at
+
+
 def test_phrases_of_no_rows_and_of_few(spark):
     docs = spark.createDataFrame([], DOCS)
     assert phrases.collocations(docs).count() == 0
