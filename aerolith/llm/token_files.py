@@ -154,8 +154,9 @@ class Encoder:
         self.mark = int(mark[0]) if len(mark) == 1 else None
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         same = lambda text, parts: np.array_equal(self.ids(text), np.concatenate([self.ids(p) for p in parts]))
-        lowered = [p.encode().lower().decode() for p in PROBES]
-        self.by_words = all(same(p, low.split()) and same(f" {MARK} ".join(low.split()), f" {MARK} ".join(low.split()).split()) for p, low in zip(PROBES, lowered, strict=True))
+        cased = [f"see {form(s.decode())} here, x{form(s.decode())}y" for s in self.specials for form in (str, str.upper, str.lower, str.title, str.swapcase)]
+        split = {p: [w.decode() for w in self.words(p.encode())] for p in (*PROBES, *cased)}
+        self.by_words = all(same(p, words) and same(f" {MARK} ".join(words), f" {MARK} ".join(words).split()) for p, words in split.items())
         self.by_stops = self.by_words and all(same(f"{w}{s}", [w, s]) for w in ("word", "x1", "it's") for s in (".", ",", "?!", "...", ";:"))
 
         self.plain = self.without_patterns(path)
@@ -180,11 +181,16 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
+    def words(self, text: bytes) -> list[bytes]:
+        """The words of a text, A-Z lowered unless it holds a special token, which case tells from others, before or after that."""
+        low = text.lower()
+        return (text if any(s in low or s in text for s in self.specials) else low).split()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian integers. Texts that may hold special tokens, which are told from others by case, are not lowered."""
+        """Ids of each text as little-endian integers."""
         if not self.by_words:
             return [self.ids(t.decode()).tobytes() for t in texts]
-        parts = [(t if any(s in t for s in self.specials) else t.lower()).split() for t in texts]
+        parts = [self.words(t) for t in texts]
         if self.held > CACHE_BYTES:
             self.known.clear()
             self.held = 0

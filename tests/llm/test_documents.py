@@ -562,3 +562,14 @@ def test_labelled_sample_is_bounded(spark):
     docs, labels = marked(spark, rows)
     assert toxicity.fit(docs, labels, most=4, seen=1, least=0.1).weights  # four documents do
     assert not toxicity.fit(docs, labels, most=4, seen=5).weights
+
+
+def test_special_tokens_in_any_case_are_encoded_as_the_library_does():
+    import random
+
+    encoder = token_files.Encoder(tokenizer_file("word_bpe_49k.json"), 2)
+    rng = random.Random(3)
+    bits = ["see", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext|>", "<|startoftext|>", "<|StartOfText|>", "It's", "x.", "Größe", "<|", "|>", "endoftext", "A", " ", "\n", ".", "ÉÀ"]
+    texts = ["see <|ENDOFTEXT|> here"] + ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 9))) for _ in range(1500)]
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
