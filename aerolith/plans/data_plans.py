@@ -178,7 +178,7 @@ def cmp40(spark: SparkSession, d: str) -> DataFrame:
     return viz.normalised(rows, "value", viz.linear_percentiles(rows, "value", KEYS), KEYS).select("event_id", r(F.col("v")).alias("v"))
 
 
-@query("cmp40_volume_bytes", f"""WITH {fx.SMOOTH_SQL}, {KERNEL_SQL}, b AS (SELECT quantile_cont(uz, 0.02) AS lo, quantile_cont(uz, 0.98) AS hi FROM u), v0 AS (SELECT c, x, y, z, greatest(0, least(1, (uz - lo) / (hi - lo))) AS v FROM u, b),
+@query("cmp40_volume_bytes", f"""WITH {fx.single(fx.SMOOTH_SQL)}, {KERNEL_SQL}, b AS (SELECT quantile_cont(uz, 0.02) AS lo, quantile_cont(uz, 0.98) AS hi FROM u), v0 AS (SELECT sim, c, x, y, z, greatest(0, least(1, (uz - lo) / (hi - lo))) AS v FROM u, b),
 {gauss_sql('v0', 'v', 'x', 'g1')}, {gauss_sql('g1', 'v', 'y', 'g2')}, {gauss_sql('g2', 'v', 'z', 'g3')}, t AS (SELECT c AS cell, CASE WHEN v < 0.1 THEN 0 ELSE v END AS v FROM g3),
 l AS (SELECT cell, v, least(255, trunc(v * 256)) / 255.0::DOUBLE * 2 AS s FROM t), m AS (SELECT *, CASE WHEN s >= 1 THEN s - 1 ELSE 0 END AS r, CASE WHEN s >= 1 THEN 1 - (s - 1) ELSE s END AS g, CASE WHEN s >= 1 THEN 0.5 + (s - 1) * -0.5 ELSE 0.5 END AS b FROM l)
 SELECT cell, CAST(floor(r * 255) AS SMALLINT) AS red, CAST(floor(g * 255) AS SMALLINT) AS green, CAST(floor(b * 255) AS SMALLINT) AS blue, CAST(floor(greatest(0, least(0.95, pow(v, 0.25) * 0.95)) * 255) AS SMALLINT) AS alpha FROM m""")
@@ -233,7 +233,7 @@ def cmp46(spark: SparkSession, d: str) -> DataFrame:
     return amr.subcycles(tree(spark))
 
 
-@query("cmp43_prolongation", f"""WITH {fx.SMOOTH_SQL}, k AS (SELECT CAST(o AS INTEGER) AS octant, CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, CAST(l AS INTEGER) AS z, 4 * (o // 4) + i * 3 / 7.0::DOUBLE AS px, 4 * (o // 2 % 2) + j * 3 / 7.0::DOUBLE AS py, 4 * (o % 2) + l * 3 / 7.0::DOUBLE AS pz FROM range(8) a(o), range(8) b(i), range(8) c(j), range(8) e(l))
+@query("cmp43_prolongation", f"""WITH {fx.single(fx.SMOOTH_SQL)}, k AS (SELECT CAST(o AS INTEGER) AS octant, CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, CAST(l AS INTEGER) AS z, 4 * (o // 4) + i * 3 / 7.0::DOUBLE AS px, 4 * (o // 2 % 2) + j * 3 / 7.0::DOUBLE AS py, 4 * (o % 2) + l * 3 / 7.0::DOUBLE AS pz FROM range(8) a(o), range(8) b(i), range(8) c(j), range(8) e(l))
 SELECT 0::BIGINT AS block_id, octant, k.x, k.y, k.z, round(sum(uz * (1 - abs(px - u.x)) * (1 - abs(py - u.y)) * (1 - abs(pz - u.z))), 6) + 0.0 AS uz FROM k JOIN u ON abs(px - u.x) < 1 AND abs(py - u.y) < 1 AND abs(pz - u.z) < 1 GROUP BY ALL""")
 def cmp43(spark: SparkSession, d: str) -> DataFrame:
     return amr.prolonged(fx.smooth(spark).withColumnRenamed("sim_id", "block_id"), fx.N, ("uz",)).withColumn("uz", r(F.col("uz")))
@@ -303,7 +303,7 @@ def src15(spark: SparkSession, d: str) -> DataFrame:
 @query("snk01_stl_round_trip", f"""WITH {fx.VOXELS_SQL}, s AS (SELECT * FROM voxel WHERE p > 0.5)
 SELECT design_id, 12 * count(*) AS triangles, round(count(*) * 6.0::DOUBLE, 6) AS area, CAST(sum(36 * (x + y + z + 1.5)) AS DOUBLE) AS corners FROM s GROUP BY design_id""")
 def snk01(spark: SparkSession, d: str) -> DataFrame:
-    t = stl.read_stl(stl.from_voxels(fx.voxels(spark)), "design_id", "data")
+    t = stl.read_stl(stl.from_voxels(fx.voxels(spark, d)), "design_id", "data")
     corners = sum((F.col(c) for c in stl.CORNERS[1:]), F.col(stl.CORNERS[0]))
     area = mesh.normals(t.drop("nx", "ny", "nz")).groupBy("design_id").agg(F.round(F.sum("area"), 6).alias("area"))
     return t.groupBy("design_id").agg(F.count(F.lit(1)).alias("triangles"), F.sum(corners).alias("corners")).join(area, "design_id").select("design_id", "triangles", "area", "corners")

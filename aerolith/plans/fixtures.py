@@ -62,31 +62,52 @@ def lattice_sql(lat: Lattice, name: str = "lat") -> str:
     return f"{name}(i, ex, ey, ez, w, opp) AS (VALUES {rows})"
 
 
-#: A grid of 8^3 cells with the aircraft as its solid.
-CELLS_SQL = f"""cell AS (SELECT c, CAST(c // 64 AS INTEGER) AS x, CAST(c // 8 % 8 AS INTEGER) AS y, CAST(c % 8 AS INTEGER) AS z,
-  (sqrt((c // 64 - 4) * (c // 64 - 4) + (c % 8 - 4) * (c % 8 - 4)) < 1.5 AND c // 8 % 8 > 2.5 AND c // 8 % 8 < 5.5)
-  OR (c // 8 % 8 > 2 AND c // 8 % 8 < 6 AND (c % 8 < 1 OR c % 8 > 7)) AS solid FROM range({N**3}) t(c))"""
+#: One simulation a supplier.
+SIMS_SQL = "(SELECT s_suppkey AS sim FROM supplier)"
+#: A grid of 8^3 cells for each of them, with the aircraft as its solid; c numbers the cells of all.
+CELLS_SQL = f"""cell AS MATERIALIZED (SELECT sim, sim * {N**3} + k AS c, CAST(k // 64 AS INTEGER) AS x, CAST(k // 8 % 8 AS INTEGER) AS y, CAST(k % 8 AS INTEGER) AS z,
+  (sqrt((k // 64 - 4) * (k // 64 - 4) + (k % 8 - 4) * (k % 8 - 4)) < 1.5 AND k // 8 % 8 > 2.5 AND k // 8 % 8 < 5.5)
+  OR (k // 8 % 8 > 2 AND k // 8 % 8 < 6 AND (k % 8 < 1 OR k % 8 > 7)) AS solid FROM {SIMS_SQL} u, range({N**3}) t(k))"""
 
 
-def flow(spark: SparkSession, lat: Lattice, n: int = N) -> DataFrame:
+def single(sql: str) -> str:
+    """The same SQL for one simulation, numbered 0."""
+    return sql.replace(SIMS_SQL, "(SELECT 0::BIGINT AS sim)")
+
+
+def simulations(spark: SparkSession, sf_dir: str | None, key: str = "sim_id") -> DataFrame:
+    """One simulation a supplier; a single one, numbered 0, without a folder."""
+    if sf_dir is None:
+        return spark.range(1).select(F.col("id").alias(key))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(key))
+
+
+def grid(spark: SparkSession, sf_dir: str | None, n: int = N) -> DataFrame:
+    """(sim_id, x, y, z, cell, solid): ``cell`` numbers the cells of all simulations."""
+    rows = grids.cells(spark, n, simulations(spark, sf_dir)).withColumn("solid", grids.aircraft_solid(n, n / 32))
+    return rows.withColumn("cell", F.col("sim_id") * n**3 + F.col("cell"))
+
+
+def flow(spark: SparkSession, sf_dir: str | None, lat: Lattice, n: int = N) -> DataFrame:
     """(sim_id, x, y, z, cell, solid, f): populations near their weights, the aircraft as solid."""
-    rows = grids.cells(spark, n).withColumn("solid", grids.aircraft_solid(n, n / 32))
+    rows = grid(spark, sf_dir, n)
     return rows.withColumn("f", F.array(*[lit(w) * (1 + 0.01 * ((F.col("cell") * (i + 3)) % 17)) for i, w in enumerate(lat.weights)]))
 
 
 def flow_sql(lat: Lattice) -> str:
-    return f"{lattice_sql(lat)}, {CELLS_SQL}, pop AS (SELECT c, x, y, z, solid, i, ex, ey, ez, w, opp, w * (1 + 0.01 * ((c * (i + 3)) % 17)) AS f FROM cell, lat)"
+    return f"{lattice_sql(lat)}, {CELLS_SQL}, pop AS (SELECT sim, c, x, y, z, solid, i, ex, ey, ez, w, opp, w * (1 + 0.01 * ((c * (i + 3)) % 17)) AS f FROM cell, lat)"
 
 
-def smooth(spark: SparkSession, n: int = N) -> DataFrame:
-    """(sim_id, x, y, z, cell, solid, ux, uy, uz): a smooth flow whose w grows by 0.1 a cell along x."""
+def smooth(spark: SparkSession, sf_dir: str | None = None, n: int = N) -> DataFrame:
+    """(sim_id, x, y, z, cell, solid, ux, uy, uz): smooth flows of several strengths whose w grows by 0.1 a cell along x."""
     import math
 
     turn = 2 * math.pi / 8
-    return grids.cells(spark, n).withColumns({"solid": grids.aircraft_solid(n, n / 32), "ux": F.sin(turn * F.col("x")) * F.cos(turn * F.col("y")), "uy": F.cos(turn * F.col("z")), "uz": 0.1 * F.col("x") + 0.2 * F.col("y") * F.col("y")})
+    strength = 1 + F.col("sim_id") % 7 / lit(11)
+    return grid(spark, sf_dir, n).withColumns({"ux": F.sin(turn * F.col("x")) * F.cos(turn * F.col("y")) * strength, "uy": F.cos(turn * F.col("z")), "uz": 0.1 * F.col("x") + 0.2 * F.col("y") * F.col("y")})
 
 
-SMOOTH_SQL = CELLS_SQL + ", u AS (SELECT *, sin(pi() / 4 * x) * cos(pi() / 4 * y) AS ux, cos(pi() / 4 * z) AS uy, 0.1::DOUBLE * x + 0.2::DOUBLE * y * y AS uz FROM cell)"
+SMOOTH_SQL = CELLS_SQL + ", u AS (SELECT *, sin(pi() / 4 * x) * cos(pi() / 4 * y) * (1 + sim % 7 / 11.0::DOUBLE) AS ux, cos(pi() / 4 * z) AS uy, 0.1::DOUBLE * x + 0.2::DOUBLE * y * y AS uz FROM cell)"
 
 
 def gradient_sql(values: tuple[str, ...], source: str, out: str) -> str:
@@ -94,7 +115,7 @@ def gradient_sql(values: tuple[str, ...], source: str, out: str) -> str:
     joins, columns = [], []
     for axis in "xyz":
         others = [a for a in "xyz" if a != axis]
-        same = lambda t, others=others: " AND ".join(f"{t}.{a} = g.{a}" for a in others)
+        same = lambda t, others=others: " AND ".join(f"{t}.{a} = g.{a}" for a in ("sim", *others))
         joins.append(f"LEFT JOIN {source} {axis}p ON {same(axis + 'p')} AND {axis}p.{axis} = g.{axis} + 1 LEFT JOIN {source} {axis}m ON {same(axis + 'm')} AND {axis}m.{axis} = g.{axis} - 1")
         columns += [f"CASE WHEN {axis}m.c IS NULL THEN {axis}p.{v} - g.{v} WHEN {axis}p.c IS NULL THEN g.{v} - {axis}m.{v} ELSE ({axis}p.{v} - {axis}m.{v}) / 2 END AS {v}_{axis}" for v in values]
     return f"{out} AS MATERIALIZED (SELECT g.*, {', '.join(columns)} FROM {source} g {' '.join(joins)})"
@@ -112,18 +133,18 @@ LATENTS_SQL = """e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x
 latent AS (SELECT a.vec_id AS id, CAST(a.vec_id % 100 AS INTEGER) AS t, a.v, b.v AS noise FROM e a JOIN e b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM e))"""
 
 
-def voxels(spark: SparkSession, n: int = N) -> DataFrame:
-    """(design_id, x, y, z, cell, p): three designs, of which the first is scattered and the last the aircraft."""
-    sims = spark.range(3).select(F.col("id").alias("design_id"))
+def voxels(spark: SparkSession, sf_dir: str | None = None, n: int = N) -> DataFrame:
+    """(design_id, x, y, z, cell, p): a design a supplier, three without a folder: scattered, a block, the aircraft in turn."""
+    sims = simulations(spark, sf_dir, "design_id") if sf_dir else spark.range(3).select(F.col("id").alias("design_id"))
     rows = grids.cells(spark, n, sims, "design_id")
     scattered = grids.hashed_solid()
     block = (F.col("x") < 4) & (F.col("y") < 4) & (F.col("z") < 4)
-    solid = F.when(F.col("design_id") == 0, scattered).when(F.col("design_id") == 1, block).otherwise(grids.aircraft_solid(n, n / 32))
+    solid = F.when(F.col("design_id") % 3 == 0, scattered).when(F.col("design_id") % 3 == 1, block).otherwise(grids.aircraft_solid(n, n / 32))
     return rows.withColumn("p", F.when(solid, lit(0.75)).otherwise(lit(0.25)))
 
 
-VOXELS_SQL = CELLS_SQL + """, voxel AS (SELECT d AS design_id, c AS cell, x, y, z,
-  CASE WHEN CASE d WHEN 0 THEN (31 * x + 57 * y + 91 * z + 13 * x * y * z) % 101 < 30 WHEN 1 THEN x < 4 AND y < 4 AND z < 4 ELSE solid END THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END AS p FROM cell, range(3) t(d))"""
+VOXELS_SQL = CELLS_SQL + """, voxel AS MATERIALIZED (SELECT sim AS design_id, c - sim * 512 AS cell, x, y, z,
+  CASE WHEN CASE sim % 3 WHEN 0 THEN (31 * x + 57 * y + 91 * z + 13 * x * y * z) % 101 < 30 WHEN 1 THEN x < 4 AND y < 4 AND z < 4 ELSE solid END THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END AS p FROM cell)"""
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from .registry import query, table
 @query("src07_stl_scan", f"""WITH {fx.VOXELS_SQL} SELECT design_id, cell, 12::BIGINT AS triangles, CAST(36 * x + 18 AS DOUBLE) AS sx, CAST(36 * y + 18 AS DOUBLE) AS sy, CAST(36 * z + 18 AS DOUBLE) AS sz FROM voxel WHERE p > 0.5""")
 def src07(spark: SparkSession, d: str) -> DataFrame:
     # a file lists its cubes in order of their cells, twelve triangles each
-    t = stl.read_stl(stl.from_voxels(fx.voxels(spark)), "design_id", "data").withColumn("nth", F.floor(F.col("t") / 12))
+    t = stl.read_stl(stl.from_voxels(fx.voxels(spark, d)), "design_id", "data").withColumn("nth", F.floor(F.col("t") / 12))
     sums = {x: F.sum(F.col(f"a{x}") + F.col(f"b{x}") + F.col(f"c{x}")).alias(f"s{x}") for x in "xyz"}
     cubes = t.groupBy("design_id", "nth").agg(F.count(F.lit(1)).alias("triangles"), *sums.values())
     place = lambda x: ((F.col(f"s{x}") - 18) / 36).cast("long")
@@ -107,12 +107,12 @@ def snk09(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------ filters and expressions
 
-POINTS = "pt AS (SELECT p_partkey AS id, p_partkey % 83 / 10.0::DOUBLE - 0.5 AS px, p_partkey % 79 / 10.0::DOUBLE - 0.5 AS py, p_partkey % 71 / 10.0::DOUBLE AS pz, (p_partkey % 3) * 1e-6::DOUBLE AS v FROM part)"
+POINTS = "pt AS (SELECT p_partkey AS id, p_partkey % 10 AS sim, p_partkey % 83 / 10.0::DOUBLE - 0.5 AS px, p_partkey % 79 / 10.0::DOUBLE - 0.5 AS py, p_partkey % 71 / 10.0::DOUBLE AS pz, (p_partkey % 3) * 1e-6::DOUBLE AS v FROM part)"
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, d, "part").select(F.lit(0).cast("long").alias("sim_id"), k.alias("id"), (k % 83 / lit(10) - 0.5).alias("px"), (k % 79 / lit(10) - 0.5).alias("py"), (k % 71 / lit(10)).alias("pz"), ((k % 3) * lit(1e-6)).alias("vx"), lit(0.0).alias("vy"), lit(0.0).alias("vz"))
+    return table(spark, d, "part").select((k % 10).alias("sim_id"), k.alias("id"), (k % 83 / lit(10) - 0.5).alias("px"), (k % 79 / lit(10) - 0.5).alias("py"), (k % 71 / lit(10)).alias("pz"), ((k % 3) * lit(1e-6)).alias("vx"), lit(0.0).alias("vy"), lit(0.0).alias("vz"))
 
 
 @query("prj08_points_that_go_on", f"WITH {POINTS} SELECT id FROM pt WHERE px >= 0 AND px < 7 AND py >= 0 AND py < 7 AND pz >= 0 AND pz < 7 AND v >= 1e-6")
@@ -146,15 +146,15 @@ TRILINEAR = "round(sum(uz * (1 - abs(qx - u.x)) * (1 - abs(qy - u.y)) * (1 - abs
 NEAR = "abs(qx - u.x) < 1 AND abs(qy - u.y) < 1 AND abs(qz - u.z) < 1"
 
 
-@query("joi10_trilinear_sample", f"WITH {fx.SMOOTH_SQL}, {POINTS}, q AS (SELECT id, greatest(0, least(6.999, px)) AS qx, greatest(0, least(6.999, py)) AS qy, greatest(0, least(6.999, pz)) AS qz FROM pt) SELECT id, {TRILINEAR} FROM q JOIN u ON {NEAR} GROUP BY id")
+@query("joi10_trilinear_sample", f"WITH {fx.SMOOTH_SQL}, {POINTS}, q AS (SELECT id, sim, greatest(0, least(6.999, px)) AS qx, greatest(0, least(6.999, py)) AS qy, greatest(0, least(6.999, pz)) AS qz FROM pt) SELECT id, {TRILINEAR} FROM q JOIN u ON u.sim = q.sim AND {NEAR} GROUP BY id")
 def joi10(spark: SparkSession, d: str) -> DataFrame:
-    return viz.sampled(points(spark, d), fx.smooth(spark), ("uz",), fx.N, ("id",)).select("id", r(F.col("uz")).alias("uz"))
+    return viz.sampled(points(spark, d), fx.smooth(spark, d), ("uz",), fx.N, ("id",)).select("id", r(F.col("uz")).alias("uz"))
 
 
-@query("cmp41_zoomed_grid", f"WITH {fx.SMOOTH_SQL}, q AS (SELECT CAST(i AS INTEGER) AS tx, CAST(j AS INTEGER) AS ty, CAST(k AS INTEGER) AS tz, i * 7 / 11.0::DOUBLE AS qx, j * 7 / 11.0::DOUBLE AS qy, k * 7 / 11.0::DOUBLE AS qz FROM range(12) a(i), range(12) b(j), range(12) c(k)), z AS (SELECT tx AS x, ty AS y, tz AS z, {TRILINEAR} FROM q JOIN u ON {NEAR} GROUP BY tx, ty, tz) SELECT x, y, z, uz, uz > 0.5 AS filled FROM z")
+@query("cmp41_zoomed_grid", f"WITH {fx.SMOOTH_SQL}, q AS (SELECT CAST(i AS INTEGER) AS tx, CAST(j AS INTEGER) AS ty, CAST(k AS INTEGER) AS tz, i * 7 / 11.0::DOUBLE AS qx, j * 7 / 11.0::DOUBLE AS qy, k * 7 / 11.0::DOUBLE AS qz FROM range(12) a(i), range(12) b(j), range(12) c(k)), z AS (SELECT sim AS sim_id, tx AS x, ty AS y, tz AS z, {TRILINEAR} FROM q JOIN u ON {NEAR} GROUP BY sim, tx, ty, tz) SELECT sim_id, x, y, z, uz, uz > 0.5 AS filled FROM z")
 def cmp41(spark: SparkSession, d: str) -> DataFrame:
-    out = viz.zoomed(fx.smooth(spark), "uz", fx.N, 12).withColumn("uz", r(F.col("uz")))
-    return out.select("x", "y", "z", "uz", (F.col("uz") > 0.5).alias("filled"))
+    out = viz.zoomed(fx.smooth(spark, d), "uz", fx.N, 12).withColumn("uz", r(F.col("uz")))
+    return out.select("sim_id", "x", "y", "z", "uz", (F.col("uz") > 0.5).alias("filled"))
 
 
 @query("joi06_schedule_lookup", f"WITH {BARS}, {fx.LATENTS_SQL} SELECT id, t, round(sqrt(bar), 9) AS kept, round(sqrt(1 - bar), 9) AS noise FROM latent JOIN bars USING (t)")
@@ -171,10 +171,10 @@ def joi09(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------ aggregates
 
-@query("agg05_vortex_cells", f"WITH {fx.SMOOTH_SQL}, {GRAD}, {CURL}, s AS (SELECT 0.5 * (wx * wx + wy * wy + wz * wz - {S2}) AS q FROM w) SELECT count(*) FILTER (WHERE q > 0.1) AS vortex_cells, count(*) FILTER (WHERE q > 0.1) * 0.125::DOUBLE AS vortex_volume FROM s")
+@query("agg05_vortex_cells", f"WITH {fx.SMOOTH_SQL}, {GRAD}, {CURL}, s AS (SELECT sim, 0.5 * (wx * wx + wy * wy + wz * wz - {S2}) AS q FROM w) SELECT sim AS sim_id, count(*) FILTER (WHERE q > 0.1) AS vortex_cells, count(*) FILTER (WHERE q > 0.1) * 0.125::DOUBLE AS vortex_volume FROM s GROUP BY sim")
 def agg05(spark: SparkSession, d: str) -> DataFrame:
-    s = stencil.q_criterion(fx.smooth(spark)).withColumns({"nu_t": lit(0.0), "rho": lit(1.0)})
-    return forces.field_summary(s, 0.5, 0.1).select("vortex_cells", "vortex_volume")
+    s = stencil.q_criterion(fx.smooth(spark, d)).withColumns({"nu_t": lit(0.0), "rho": lit(1.0)})
+    return forces.field_summary(s, 0.5, 0.1).select("sim_id", "vortex_cells", "vortex_volume")
 
 
 @query("agg20_spread_guard", "SELECT user_id, round(stddev_pop(CASE WHEN user_id % 3 = 0 THEN 1.0 ELSE value END), 6) AS spread FROM events GROUP BY user_id HAVING stddev_pop(CASE WHEN user_id % 3 = 0 THEN 1.0 ELSE value END) >= 1e-12")
