@@ -49,11 +49,18 @@ def prj13(spark: SparkSession, d: str) -> DataFrame:
     return fx.designs(spark, d).select("design_id", (re < 5e5).alias("laminar"), F.round(aero.skin_friction(re), 8).alias("friction"))
 
 
-@query("src06_sheet_mesh", f"WITH {fx.folds_sql()} SELECT 'v' AS kind, v AS id, round(x, 9) AS p, round(y, 9) AS q, 0.0::DOUBLE AS s FROM sheet UNION ALL SELECT 'f', t, a, b, c FROM face")
+def sheet_faces(spark: SparkSession, d: str) -> DataFrame:
+    """The faces of the sheet of each part."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("design_id")).join(F.broadcast(grids.sheet_faces(spark, 10)))
+
+
+@query("src06_sheet_mesh", f"WITH {fx.folds_sql()}, m AS (SELECT 'v' AS kind, v AS id, x AS p, y AS q, 0.0::DOUBLE AS s FROM sheet UNION ALL SELECT 'f', t, a, b, c FROM face) SELECT p_partkey AS design_id, kind, id, round(p * scale, 9) AS p, round(q * scale, 9) AS q, round(s * scale, 9) AS s FROM (SELECT p_partkey, p_size AS scale FROM part) x CROSS JOIN m")
 def src06(spark: SparkSession, d: str) -> DataFrame:
-    v = grids.sheet_vertices(spark, 10).select(F.lit("v").alias("kind"), F.col("v").alias("id"), F.round("x", 9).alias("p"), F.round("y", 9).alias("q"), "z")
+    v = grids.sheet_vertices(spark, 10).select(F.lit("v").alias("kind"), F.col("v").alias("id"), F.col("x").alias("p"), F.col("y").alias("q"), F.col("z").alias("s"))
     f = grids.sheet_faces(spark, 10).select(F.lit("f"), "t", *[F.col(c).cast("double") for c in "abc"])
-    return v.union(f).toDF("kind", "id", "p", "q", "s")
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("design_id"), F.col("p_size").alias("scale"))
+    rows = parts.join(F.broadcast(v.union(f)))
+    return rows.select("design_id", "kind", "id", *[F.round(F.col(c) * F.col("scale"), 9).alias(c) for c in "pqs"])
 
 
 @query("prj11_valid_creases", f"WITH {fx.folds_sql()} SELECT design_id, CAST(k AS INTEGER) AS k, round(len, 9) AS length FROM crease")
@@ -115,22 +122,22 @@ def agg14(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mesh.vertex_normals(v, grids.sheet_faces(spark, 10)), ("nx", "ny", "nz", "curvature"), "design_id", "v")
 
 
-@query("joi05_faces_of_vertex", f"WITH {fx.folds_sql()} SELECT unnest([a, b, c]) AS v, t FROM face")
+@query("joi05_faces_of_vertex", f"WITH {fx.folds_sql()} SELECT p_partkey AS design_id, unnest([a, b, c]) AS v, t FROM part, face")
 def joi05(spark: SparkSession, d: str) -> DataFrame:
-    return grids.sheet_faces(spark, 10).select(F.explode(F.array("a", "b", "c")).alias("v"), "t")
+    return sheet_faces(spark, d).select("design_id", F.explode(F.array("a", "b", "c")).alias("v"), "t")
 
 
 EDGES_SQL = "edge AS (SELECT DISTINCT least(p, q) AS src, greatest(p, q) AS dst FROM (SELECT a AS p, b AS q FROM face UNION ALL SELECT b, c FROM face UNION ALL SELECT c, a FROM face))"
 
 
-@query("agg28_distinct_edges", f"WITH {fx.folds_sql()}, {EDGES_SQL} SELECT src, dst FROM edge")
+@query("agg28_distinct_edges", f"WITH {fx.folds_sql()}, {EDGES_SQL} SELECT p_partkey AS design_id, src, dst FROM part, edge")
 def agg28(spark: SparkSession, d: str) -> DataFrame:
-    return mesh.edges(grids.sheet_faces(spark, 10))
+    return mesh.edges(sheet_faces(spark, d), ("design_id",))
 
 
-@query("set02_undirected_edges", f"WITH {fx.folds_sql()}, {EDGES_SQL} SELECT src, dst FROM edge UNION SELECT dst, src FROM edge")
+@query("set02_undirected_edges", f"WITH {fx.folds_sql()}, {EDGES_SQL}, way AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge) SELECT p_partkey AS design_id, src, dst FROM part, way")
 def set02(spark: SparkSession, d: str) -> DataFrame:
-    return mesh.undirected(mesh.edges(grids.sheet_faces(spark, 10)))
+    return mesh.undirected(mesh.edges(sheet_faces(spark, d), ("design_id",)), ("design_id",))
 
 
 @query("cmp29_mesh_graph", f"""WITH {fx.folds_sql()}, {fx.TRIANGLES_SQL}, {VERTEX_NORMALS_SQL}, {EDGES_SQL}
@@ -150,8 +157,8 @@ def cmp30(spark: SparkSession, d: str) -> DataFrame:
     return graph.fold_graph(fx.actions(spark, d))[1].select("design_id", F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))
 
 
-@query("joi03_edge_gather", f"""WITH {fx.folds_sql()}, {EDGES_SQL}
-SELECT s.design_id, e.src, e.dst, round(s.z, 9) + 0.0 AS src_z, round(t.z, 9) + 0.0 AS dst_z FROM edge e JOIN vertex s ON s.v = e.src JOIN vertex t ON t.v = e.dst AND t.design_id = s.design_id""")
+@query("joi03_edge_gather", f"""WITH {fx.folds_sql()}, {EDGES_SQL}, height AS MATERIALIZED (SELECT design_id, list(z ORDER BY v) AS zs FROM vertex GROUP BY design_id)
+SELECT h.design_id, e.src, e.dst, round(zs[e.src + 1], 9) + 0.0 AS src_z, round(zs[e.dst + 1], 9) + 0.0 AS dst_z FROM height h CROSS JOIN edge e""")
 def joi03(spark: SparkSession, d: str) -> DataFrame:
     v = mesh.folded(fx.actions(spark, d), grids.sheet_vertices(spark, 10))
     node = v.select("design_id", "v", F.array("x", "y", "z").alias("feat"))
@@ -175,9 +182,9 @@ def agg16(spark: SparkSession, d: str) -> DataFrame:
     return graph.mean_pool(node, "feat", 3).select("design_id", *[r(F.col("pooled")[k], 9).alias(c) for k, c in enumerate("xyz")])
 
 
-@query("graph_degrees", f"WITH {fx.folds_sql()}, {EDGES_SQL} SELECT 0::BIGINT AS design_id, v, count(*) AS degree FROM (SELECT unnest([src, dst]) AS v FROM edge) GROUP BY v")
+@query("graph_degrees", f"WITH {fx.folds_sql()}, {EDGES_SQL} SELECT p_partkey AS design_id, v, degree FROM part, (SELECT v, count(*) AS degree FROM (SELECT unnest([src, dst]) AS v FROM edge) GROUP BY v)")
 def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degrees(mesh.edges(grids.sheet_faces(spark, 10)).withColumn("design_id", F.lit(0).cast("long")))
+    return graph.degrees(mesh.edges(sheet_faces(spark, d), ("design_id",)))
 
 
 EVALUATED_SQL = f"""{fx.folds_sql()}, {fx.TRIANGLES_SQL}, {FEATURES_SQL},
