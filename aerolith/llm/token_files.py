@@ -153,6 +153,7 @@ class Encoder:
         mark = self.ids(MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.low_specials = [s.lower() for s in self.specials]
         same = lambda text, parts: np.array_equal(self.ids(text), np.concatenate([self.ids(p) for p in parts]))
         cased = [f"see {form(s.decode())} here, x{form(s.decode())}y" for s in self.specials for form in (str, str.upper, str.lower, str.title, str.swapcase)]
         split = {p: [w.decode() for w in self.words(p.encode())] for p in (*PROBES, *cased)}
@@ -182,9 +183,9 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
     def words(self, text: bytes) -> list[bytes]:
-        """The words of a text, A-Z lowered unless it holds a special token, which case tells from others, before or after that."""
+        """The words of a text, A-Z lowered unless it then holds a special token, which case tells from other text."""
         low = text.lower()
-        return (text if any(s in low or s in text for s in self.specials) else low).split()
+        return (text if any(s in low for s in self.low_specials) else low).split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian integers."""
