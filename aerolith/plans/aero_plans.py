@@ -290,20 +290,21 @@ def cmp33(spark: SparkSession, d: str) -> DataFrame:
     return s.select("design_id", *[F.round(F.col("s")[i], 9).alias(c) for i, c in ((2, "v"), (6, "aoa"), (7, "rho"), (8, "mu"))], F.round(rl.denormalised(F.col("s"))["v"], 9).alias("v_back"))
 
 
-@query("src25_environment_states", "SELECT i AS env_id, 0.7::DOUBLE AS s0, 0.5::DOUBLE AS s2, 0.4::DOUBLE AS s4 FROM range(4) t(i)")
+@query("src25_environment_states", "SELECT s_suppkey AS env_id, 0.7::DOUBLE AS s0, 0.5::DOUBLE AS s2, round((10 + s_suppkey % 11) / 50.0::DOUBLE, 9) AS s4 FROM supplier")
 def src25(spark: SparkSession, d: str) -> DataFrame:
-    state = {"width_mm": 210.0, "height_mm": 297.0, "v": 10.0, "temperature": 293.15, "target": 20.0, "aoa_deg": 10.0, "rho": 1.225, "mu": 1.81e-5}
-    return grids.env_states(spark, 4, state).select("env_id", *[F.round(F.col("state")[i], 9).alias(f"s{i}") for i in (0, 2, 4)])
+    state = {"width_mm": 210.0, "height_mm": 297.0, "v": 10.0, "temperature": 293.15, "target": 10 + F.col("env_id") % 11, "aoa_deg": 10.0, "rho": 1.225, "mu": 1.81e-5}
+    envs = fx.simulations(spark, d, "env_id")
+    return grids.env_states(envs, state).select("env_id", *[F.round(F.col("state")[i], 9).alias(f"s{i}") for i in (0, 2, 4)])
 
 
-@query("prj14_batch_for_memory", "SELECT i AS gb, CASE WHEN i >= 12 THEN 128 WHEN i >= 6 THEN 64 ELSE 32 END AS batch FROM range(30) t(i)")
+@query("prj14_batch_for_memory", "SELECT i AS gb, CASE WHEN i >= 12 THEN 128 WHEN i >= 6 THEN 64 ELSE 32 END AS batch FROM (SELECT s_suppkey AS i FROM supplier)")
 def prj14(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(30).select(F.col("id").alias("gb"), aero.batch_for_memory(F.col("id")).alias("batch"))
+    return fx.simulations(spark, d, "id").select(F.col("id").alias("gb"), aero.batch_for_memory(F.col("id")).alias("batch"))
 
 
-@query("prj15_bounded_estimate", "SELECT i AS gb, CAST(greatest(4, least(64, floor(i * 1024 * 0.8::DOUBLE / 300))) AS INTEGER) AS envs FROM range(40) t(i)")
+@query("prj15_bounded_estimate", "SELECT i AS gb, CAST(greatest(4, least(64, floor(i * 1024 * 0.8::DOUBLE / 300))) AS INTEGER) AS envs FROM (SELECT s_suppkey AS i FROM supplier)")
 def prj15(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(40).select(F.col("id").alias("gb"), aero.bounded_estimate(F.col("id") * 1024 * lit(0.8), lit(300.0), 4, 64).alias("envs"))
+    return fx.simulations(spark, d, "id").select(F.col("id").alias("gb"), aero.bounded_estimate(F.col("id") * 1024 * lit(0.8), lit(300.0), 4, 64).alias("envs"))
 
 
 @query("prj18_feature_batch", f"WITH {fx.DESIGNS_SQL} SELECT design_id, area_proj, span, chord, ar, camber, dihedral, area_wet FROM designs")

@@ -203,34 +203,35 @@ def agg23(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cmp42_streamlines")
 def cmp42(spark: SparkSession, d: str) -> DataFrame:
-    flow = fx.smooth(spark).withColumn("ux", lit(1.0)).select("sim_id", "x", "y", "z", "ux", "uy", "uz")
+    flow = fx.smooth(spark, d).withColumn("ux", lit(1.0)).select("sim_id", "x", "y", "z", "ux", "uy", "uz")
     return viz.streamlines(flow, viz.seeds(spark, fx.N, 4), fx.N, length=2, least=1)
 
 
 # ------------------------------------------------------------------ refinement
 
-TREE = "blocks AS (SELECT i AS block_id, 0 AS level, i % 3 = 0 AS hit FROM range(8) t(i))"
+TREE = "blocks AS (SELECT user_id % 8 AS block_id, 0 AS level, max(CASE WHEN user_id % 8 % 3 = 0 THEN value ELSE 0 END) > 0.2 AS hit FROM events GROUP BY user_id % 8)"
 
 
-def tree(spark: SparkSession) -> DataFrame:
-    roots = amr.new_tree(spark, 8, 4)
-    fields = roots.select("block_id", F.when(F.col("block_id") % 3 == 0, 1.0).otherwise(0.0).alias("q"), lit(0.0).alias("vorticity"))
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    """Eight blocks, refined where the events of a block are high."""
+    roots, block = amr.new_tree(spark, 8, 4), F.col("user_id") % 8
+    fields = table(spark, d, "events").select(block.alias("block_id"), F.when(block % 3 == 0, F.col("value")).otherwise(lit(0.0)).alias("q"), lit(0.0).alias("vorticity"))
     return amr.refined(roots, amr.marked(roots, fields, 3))
 
 
 @query("cmp44_adapted_blocks", f"WITH {TREE} SELECT block_id, level, NOT hit AS is_leaf FROM blocks UNION ALL SELECT (block_id + 1) * 8 + o, 1, true FROM blocks, range(8) s(o) WHERE hit")
 def cmp44(spark: SparkSession, d: str) -> DataFrame:
-    return tree(spark).select("block_id", "level", "is_leaf")
+    return tree(spark, d).select("block_id", "level", "is_leaf")
 
 
 @query("agg25_blocks_per_level", f"WITH {TREE} SELECT 0 AS level, count(*) FILTER (WHERE NOT hit) AS blocks FROM blocks UNION ALL SELECT 1, 8 * count(*) FILTER (WHERE hit) FROM blocks")
 def agg25(spark: SparkSession, d: str) -> DataFrame:
-    return amr.per_level(tree(spark))
+    return amr.per_level(tree(spark, d))
 
 
 @query("cmp46_subcycles", f"WITH {TREE}, l AS (SELECT 0 AS level, count(*) FILTER (WHERE NOT hit) AS blocks FROM blocks UNION ALL SELECT 1, 8 * count(*) FILTER (WHERE hit) FROM blocks) SELECT CAST(s AS INTEGER) AS substep, level, blocks FROM l, range(2) t(s) WHERE level = 1 OR s % 2 = 0")
 def cmp46(spark: SparkSession, d: str) -> DataFrame:
-    return amr.subcycles(tree(spark))
+    return amr.subcycles(tree(spark, d))
 
 
 @query("cmp43_prolongation", f"""WITH {fx.single(fx.SMOOTH_SQL)}, k AS (SELECT CAST(o AS INTEGER) AS octant, CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, CAST(l AS INTEGER) AS z, 4 * (o // 4) + i * 3 / 7.0::DOUBLE AS px, 4 * (o // 2 % 2) + j * 3 / 7.0::DOUBLE AS py, 4 * (o % 2) + l * 3 / 7.0::DOUBLE AS pz FROM range(8) a(o), range(8) b(i), range(8) c(j), range(8) e(l))
@@ -241,32 +242,34 @@ def cmp43(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------ antennas
 
-def arrays(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    params = spark.createDataFrame([(0.85, 0.1), (0.9, 0.15), (0.7, 0.1)], "tau double, sigma double")
+def arrays(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Antennas of the parameters of all parts, and frequencies."""
+    k = F.col("p_partkey")
+    params = table(spark, d, "part").select((0.78 + k % 17 / lit(100)).alias("tau"), (0.04 + k % 1800 / lit(10_000)).alias("sigma")).distinct()
     return params, spark.range(101).select((1e8 + F.col("id") * 9.9e7).alias("f"))
 
 
-LPDA = """p(tau, sigma) AS (VALUES (0.85::DOUBLE, 0.1::DOUBLE), (0.9, 0.15), (0.7, 0.1)), freq AS (SELECT 1e8 + k * 9.9e7 AS f FROM range(101) t(k)),
+LPDA = """p AS MATERIALIZED (SELECT DISTINCT 0.78::DOUBLE + p_partkey % 17 / 100.0::DOUBLE AS tau, 0.04::DOUBLE + p_partkey % 1800 / 10000.0::DOUBLE AS sigma FROM part), freq AS (SELECT 1e8 + k * 9.9e7 AS f FROM range(101) t(k)),
 el AS (SELECT tau, sigma, k, 1.5 * pow(tau, k) AS len FROM p, range(60) t(k) WHERE 1.5 * pow(tau, k) >= 3e8 / 1e9 / 4)"""
 
 
 @query("src22_dipole_lengths", f"WITH {LPDA} SELECT tau, sigma, CAST(k AS INTEGER) AS k, round(len, 9) + 0.0 AS length, round(4 * sigma * len, 9) + 0.0 AS spacing FROM el")
 def src22(spark: SparkSession, d: str) -> DataFrame:
-    params, _ = arrays(spark)
+    params, _ = arrays(spark, d)
     out = grids.dipole_lengths(params, 1e8, 1e9)
     return out.select("tau", "sigma", "k", r(F.col("length"), 9).alias("length"), r(F.col("spacing"), 9).alias("spacing"))
 
 
 @query("win15_element_positions", f"WITH {LPDA} SELECT tau, sigma, CAST(k AS INTEGER) AS k, round(coalesce(sum(4 * sigma * len) OVER (PARTITION BY tau, sigma ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) + 0.0 AS position FROM el")
 def win15(spark: SparkSession, d: str) -> DataFrame:
-    params, _ = arrays(spark)
+    params, _ = arrays(spark, d)
     return grids.dipole_lengths(params, 1e8, 1e9).select("tau", "sigma", "k", r(F.col("position"), 9).alias("position"))
 
 
 @query("cmp48_antenna_sweep", f"""WITH {LPDA} SELECT tau, sigma, f, round(12 * (1 - tau) + 8 + 3 * sigma + 2.5 * (1 - 0.5 * sigma) * sin(2 * pi() * log10(f / (SELECT avg(f) FROM freq))), 6) + 0.0 AS gain,
 round(greatest(-35, least(-5, -18 - 15 * sigma + sum(0.3 * exp(-8 * pow((f - 3e8 / (2 * len)) / (3e8 / (2 * len)), 2))))), 6) + 0.0 AS s11_db FROM el, freq GROUP BY tau, sigma, f""")
 def cmp48(spark: SparkSession, d: str) -> DataFrame:
-    params, f = arrays(spark)
+    params, f = arrays(spark, d)
     return antenna.sweep(params, f, 1e8, 1e9).select("tau", "sigma", "f", r(F.col("gain")).alias("gain"), r(F.col("s11_db")).alias("s11_db"))
 
 
@@ -274,7 +277,7 @@ def cmp48(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT tau, sigma, count(*) AS n FROM el GROUP BY tau, sigma), ok AS (SELECT *, tau > 0.8 AND tau < 0.98 AND sigma > 0.05 AND sigma < 0.25 AS ok FROM g JOIN n USING (tau, sigma))
 SELECT tau, sigma, CASE WHEN ok THEN n END AS n_elements, round(CASE WHEN ok THEN -gain + pow(greatest(0, n - 7), 2) * 5e5 ELSE 1e12 END, 5) AS cost FROM ok""")
 def cmp49(spark: SparkSession, d: str) -> DataFrame:
-    return antenna.cost(*arrays(spark), 1e8, 1e9).withColumn("cost", F.round("cost", 5))
+    return antenna.cost(*arrays(spark, d), 1e8, 1e9).withColumn("cost", F.round("cost", 5))
 
 
 # ------------------------------------------------------------------ parsers, files, streams

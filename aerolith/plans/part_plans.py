@@ -10,7 +10,7 @@ from ..operators import amr, antenna, diffusion, forces, graph, mesh, stencil, t
 from ..session import scratch
 from ..sources import config, grids, logs, stl
 from . import fixtures as fx
-from .data_plans import BARS, DENOISED, KEYS, PICKED, TREE, picked, tree
+from .data_plans import BARS, DENOISED, KEYS, PICKED, TREE, arrays, picked, tree
 from .grid_plans import CURL, GRAD, S2
 from .registry import query, table
 
@@ -85,11 +85,11 @@ def prj12(spark: SparkSession, d: str) -> DataFrame:
     return logs.real_lines(force_lines(spark, d)).select("file", F.col("line_no").cast("long").alias("line_no"))
 
 
-@query("src17_synthetic_graphs", """WITH g AS (SELECT i AS design_id, greatest(0.1, least(2.0, 0.5::DOUBLE + 0.1 * (i % 31 / 30.0::DOUBLE) + 0.02 * ((5 + i % 21) / 25.0::DOUBLE) + ((i * 7919) % 201 - 100) / 1000.0::DOUBLE)) AS y FROM range(200) t(i)),
-f AS (SELECT i AS design_id, sum((i * (k * 7919 + 104729)) % 1000) / 1000.0::DOUBLE + 4 AS total FROM range(200) a(i), range(50) b(k) GROUP BY i)
+@query("src17_synthetic_graphs", """WITH g AS (SELECT i AS design_id, greatest(0.1, least(2.0, 0.5::DOUBLE + 0.1 * (i % 31 / 30.0::DOUBLE) + 0.02 * ((5 + i % 21) / 25.0::DOUBLE) + ((i * 7919) % 201 - 100) / 1000.0::DOUBLE)) AS y FROM (SELECT p_partkey AS i FROM part)),
+f AS (SELECT i AS design_id, sum((i * (k * 7919 + 104729)) % 1000) / 1000.0::DOUBLE + 4 AS total FROM (SELECT p_partkey AS i FROM part) a, range(50) b(k) GROUP BY i)
 SELECT design_id, round(y, 9) AS y, round(total, 6) AS features, 14::BIGINT AS nodes, 106::BIGINT AS edges FROM g JOIN f USING (design_id)""")
 def src17(spark: SparkSession, d: str) -> DataFrame:
-    node, edge, target = graph.synthetic_graphs(spark, 200)
+    node, edge, target = graph.synthetic_graphs(table(spark, d, "part").select(F.col("p_partkey").alias("design_id")))
     n = node.groupBy("design_id").agg(F.round(F.sum(F.aggregate("feat", lit(0.0), lambda s, x: s + x)), 6).alias("features"), F.count(F.lit(1)).alias("nodes"))
     e = edge.groupBy("design_id").agg(F.count(F.lit(1)).alias("edges"))
     return target.join(n, "design_id").join(e, "design_id").select("design_id", F.round("y", 9).alias("y"), "features", "nodes", "edges")
@@ -125,10 +125,10 @@ def prj09(spark: SparkSession, d: str) -> DataFrame:
     return viz.long_lines(fx.series(spark, d), KEYS, 5).select("user_id", "event_id")
 
 
-@query("prj17_parameter_box", "SELECT i AS k, 0.7 + i % 40 / 100.0::DOUBLE AS tau, i // 40 / 100.0::DOUBLE AS sigma, 0.7 + i % 40 / 100.0::DOUBLE > 0.8 AND 0.7 + i % 40 / 100.0::DOUBLE < 0.98 AND i // 40 / 100.0::DOUBLE > 0.05 AND i // 40 / 100.0::DOUBLE < 0.25 AS allowed FROM range(1200) t(i)")
+@query("prj17_parameter_box", "SELECT i AS k, 0.7 + i % 40 / 100.0::DOUBLE AS tau, i // 40 / 100.0::DOUBLE AS sigma, 0.7 + i % 40 / 100.0::DOUBLE > 0.8 AND 0.7 + i % 40 / 100.0::DOUBLE < 0.98 AND i // 40 / 100.0::DOUBLE > 0.05 AND i // 40 / 100.0::DOUBLE < 0.25 AS allowed FROM (SELECT p_partkey AS i FROM part)")
 def prj17(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("id")
-    rows = spark.range(1200).select(k.alias("k"), (0.7 + k % 40 / lit(100)).alias("tau"), (F.floor(k / 40) / lit(100)).alias("sigma"))
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(k.alias("k"), (0.7 + k % 40 / lit(100)).alias("tau"), (F.floor(k / 40) / lit(100)).alias("sigma"))
     return rows.withColumn("allowed", antenna.in_box())
 
 
@@ -165,7 +165,7 @@ def joi06(spark: SparkSession, d: str) -> DataFrame:
 
 @query("joi09_parent_and_child", f"WITH {TREE} SELECT (block_id + 1) * 8 + o AS block_id, block_id AS parent_id, CAST(block_id // 4 * 4 + o // 4 * 2 AS INTEGER) AS ox, CAST(block_id // 2 % 2 * 4 + o // 2 % 2 * 2 AS INTEGER) AS oy, CAST(block_id % 2 * 4 + o % 2 * 2 AS INTEGER) AS oz FROM blocks, range(8) s(o) WHERE hit")
 def joi09(spark: SparkSession, d: str) -> DataFrame:
-    blocks = tree(spark)
+    blocks = tree(spark, d)
     return blocks.alias("c").join(blocks.alias("p"), F.col("c.parent_id") == F.col("p.block_id")).select("c.block_id", "c.parent_id", "c.ox", "c.oy", "c.oz")
 
 
@@ -230,7 +230,7 @@ def srt05(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.sampled(table(spark, d, "events"), "event_id", 32, 7).select("event_id")
 
 
-GRID = "p AS (SELECT 0.82 + i * 0.03 AS tau, 0.06 + j * 0.04 AS sigma FROM range(6) a(i), range(5) b(j))"
+GRID = "p AS (SELECT * FROM (SELECT DISTINCT 0.78::DOUBLE + p_partkey % 17 / 100.0::DOUBLE AS tau, 0.04::DOUBLE + p_partkey % 1800 / 10000.0::DOUBLE AS sigma FROM part) WHERE tau > 0.8 AND tau < 0.98 AND sigma > 0.05 AND sigma < 0.25)"
 COSTS = f"""WITH {GRID}, freq AS (SELECT 1e8 + k * 9.9e7 AS f FROM range(101) t(k)),
 n AS (SELECT CAST(tau AS DOUBLE) AS tau, CAST(sigma AS DOUBLE) AS sigma, count(*) AS n FROM p, range(60) t(k) WHERE 1.5 * pow(tau, k) >= 3e8 / 1e9 / 4 - 1e-12 GROUP BY ALL),
 c AS (SELECT tau, sigma, n, -avg(12 * (1 - tau) + 8 + 3 * sigma + 2.5 * (1 - 0.5 * sigma) * sin(2 * pi() * log10(f / (SELECT avg(f) FROM freq)))) + pow(greatest(0, n - 7), 2) * 5e5 AS cost FROM n, freq GROUP BY tau, sigma, n)"""
@@ -238,9 +238,7 @@ c AS (SELECT tau, sigma, n, -avg(12 * (1 - tau) + 8 + 3 * sigma + 2.5 * (1 - 0.5
 
 @query("srt08_best_of_population", f"{COSTS} SELECT round(tau, 6) AS tau, round(sigma, 6) AS sigma, round(cost, 4) AS cost FROM c ORDER BY cost, tau, sigma LIMIT 1")
 def srt08(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("id")
-    population = spark.range(30).select((0.82 + F.floor(k / 5) * 0.03).alias("tau"), (0.06 + k % 5 * 0.04).alias("sigma"))
-    f = spark.range(101).select((1e8 + k * 9.9e7).alias("f"))
+    population, f = arrays(spark, d)
     return antenna.best(antenna.cost(population, f, 1e8, 1e9)).select(F.round("tau", 6).alias("tau"), F.round("sigma", 6).alias("sigma"), F.round("cost", 4).alias("cost"))
 
 
@@ -259,7 +257,7 @@ def set03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("set06_leaf_set", f"WITH {TREE} SELECT block_id FROM blocks WHERE NOT hit UNION ALL SELECT (block_id + 1) * 8 + o FROM blocks, range(8) s(o) WHERE hit")
 def set06(spark: SparkSession, d: str) -> DataFrame:
-    return tree(spark).where("is_leaf").select("block_id")
+    return tree(spark, d).where("is_leaf").select("block_id")
 
 
 # ------------------------------------------------------------------ codes and fixed networks

@@ -83,11 +83,11 @@ def random_actions(spark: SparkSession, n: int, params: int = 50, seed: int = 0)
     return spark.range(n).select(F.col("id").alias("design_id"), F.array(*[F.rand(seed * 1000 + k) for k in range(params)]).alias("action"))
 
 
-def env_states(spark: SparkSession, n: int, state: dict[str, float]) -> DataFrame:
-    """(env_id, state): the normalised start state of each environment."""
+def env_states(envs: DataFrame, state: dict[str, float | Column]) -> DataFrame:
+    """(env_id, state): the normalised start state of each environment (env_id and what the state's columns name)."""
     from ..operators.rl import normalised
 
-    return spark.range(n).select(F.col("id").alias("env_id"), normalised({k: lit(v) for k, v in state.items()}).alias("state"))
+    return envs.select("env_id", normalised({k: v if isinstance(v, Column) else lit(v) for k, v in state.items()}).alias("state"))
 
 
 def root_blocks(spark: SparkSession, base: int, block: int) -> DataFrame:
