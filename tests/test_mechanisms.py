@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aerolith.operators import mesh, networks, surface, telemetry, tiles, viz
+from aerolith.operators import blocks, mesh, networks, surface, telemetry, tiles, viz
 from aerolith.plans import fixtures as fx
 from aerolith.plans import network_plans
 from aerolith.sources import meshes
@@ -238,3 +238,16 @@ def test_surface_force_of_constant_pressure_vanishes(spark):
     box = mesh.box_surface(spark.createDataFrame([(0, 3.0, 4.0, 5.0)], "sim_id long, sx double, sy double, sz double"), "sim_id")
     r = surface.surface_coefficients(surface.surface_force(box, cells, fx.N, 0.1), 1.0, 1.0, F.lit(0.0)).head()
     assert abs(r["fx"]) < 1e-9 and abs(r["fy"]) < 1e-9 and abs(r["fz"]) < 1e-9 and math.isclose(r["area"], 94.0) and r["cd"] == 0.0
+
+
+def test_products_of_blocks_equal_numpy(spark):
+    rng = np.random.default_rng(8)
+    shapes = {"one": (300, 500), "two": (500, 70)}
+    table = networks.formula_weights(spark, shapes)
+    w = weights_of(table.collect())
+    x = rng.normal(size=(45, 300))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = blocks.decoded(vectors, table, [("one", "relu"), ("two", None)], "id", "v", rows=16, side=128).collect()
+    wanted = np.maximum(x @ w["one"][:-1] + w["one"][-1], 0) @ w["two"][:-1] + w["two"][-1]
+    assert len(got) == 45 * 70 and all(math.isclose(r["value"], wanted[r["id"], r["place"]], rel_tol=1e-9, abs_tol=1e-9) for r in got)
+    assert blocks.decoded(vectors.limit(0), table, [("one", "relu"), ("two", None)], "id", "v").count() == 0
