@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lit
-from ..session import materialized
+from ..session import materialized, remove_all
 
 
 def adjacency(solid: DataFrame, n: int, key: str = "design_id") -> DataFrame:
@@ -26,16 +26,23 @@ def labelled(solid: DataFrame, n: int, key: str = "design_id") -> DataFrame:
     """
     cell = (F.col("x") * n + F.col("y")) * n + F.col("z")
     pairs = adjacency(solid, n, key)
-    both = materialized(pairs.union(pairs.select(key, "b", "a")), "components-pairs")
-    labels = materialized(solid.select(key, cell.alias("cell"), cell.alias("label")), "components")
+    graph: list[str] = []
+    old: list[str] = []
+    both = materialized(pairs.union(pairs.select(key, "b", "a")), "components-pairs", graph)
+    labels = materialized(solid.select(key, cell.alias("cell"), cell.alias("label")), "components", old)
     while True:
+        this: list[str] = []
         heard = both.join(labels.select(key, F.col("cell").alias("b"), F.col("label").alias("other")), [key, "b"]).groupBy(key, F.col("a").alias("cell")).agg(F.min("other").alias("heard"))
         near = labels.join(heard, [key, "cell"], "left").select(key, "cell", "label", F.least("label", F.coalesce("heard", "label")).alias("near"))
-        jump = labels.select(key, F.col("cell").alias("near"), F.col("label").alias("far"))
+        # each label is looked up once, so that one which a giant component shares costs a row
+        jump = near.select(key, "near").distinct().join(labels.select(key, F.col("cell").alias("near"), F.col("label").alias("far")), [key, "near"])
         after = near.join(jump, [key, "near"]).select(key, "cell", F.least("near", "far").alias("label"), (F.least("near", "far") < F.col("label")).alias("moved"))
-        after = materialized(after, "components")
+        after = materialized(after, "components", this)
         labels = after.select(key, "cell", "label")
+        remove_all(solid.sparkSession, old)
+        old = this
         if after.where("moved").isEmpty():
+            remove_all(solid.sparkSession, graph)
             return labels
 
 
