@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import lit
 from ..session import materialized, remove_all
 from .networks import MOST_WEIGHTS, added, linear, model_row, with_model
 

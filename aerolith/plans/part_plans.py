@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import lit, r
 from ..operators import amr, antenna, diffusion, forces, graph, mesh, stencil, telemetry, viz
 from ..session import scratch
-from ..sources import config, grids, logs, stl
+from ..sources import config, logs, stl
 from . import fixtures as fx
 from .data_plans import BARS, DENOISED, KEYS, PICKED, TREE, arrays, picked, tree
 from .grid_plans import CURL, GRAD, S2
