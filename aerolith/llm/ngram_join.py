@@ -179,14 +179,18 @@ def pivot_pairs(long: DataFrame, turn: int, percent: int) -> DataFrame:
     return both.where((F.col("x.label") != F.col("p.label")) & fits("x", "p")).select(*pair("x", "p"))
 
 
-def remaining(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Smaller and larger partners of the pairs of long lists that lie in different components, by list and fine band of the smaller one."""
+def remaining(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members of lists that hold several components, and of them the smaller and larger partners of pairs that may be left.
+
+    Partners are told by list and fine band of the smaller one. A list of one component has nothing left and stays out:
+    components only grow together.
+    """
     mixed = written(rows.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("s"), "join-mixed")
     rows = written(rows.join(if_small(mixed), "s", "left_semi"), "join-rest")
     small = rows.where("n <= most").withColumn("f", band(F.col("n"), FINE))
     low, high = band(F.greatest(F.ceil(F.col("n") * percent / 100), F.lit(1)), FINE), band(F.least("n", "most"), FINE)
     large = rows.withColumns({"low": low, "high": high}).where("low <= high").withColumn("f", F.explode(F.sequence("low", "high"))).drop("low", "high")
-    return small, large
+    return rows, small, large
 
 
 def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -233,8 +237,8 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         if not members:
             break
         if more:
-            named = written(with_labels(long, labels), "join-named", paths)
-        small, large = remaining(named, percent)
+            named = written(with_labels(named.drop("label"), labels), "join-named", paths)
+        named, small, large = remaining(named, percent)
         turn += 1
         work = small.groupBy("s", "f").agg(F.count(F.lit(1)).alias("m")).join(large.groupBy("s", "f").agg(F.count(F.lit(1)).alias("k")), ["s", "f"]).agg(F.sum(F.col("m") * F.col("k"))).head()[0]
         if more and MANY * members < (work or 0) <= before / 2:
