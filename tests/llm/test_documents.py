@@ -213,6 +213,28 @@ def test_pair_hash_is_that_of_spark(spark):
     assert suffix_tree_lm.pair_hash(a, b).tolist() == [r[0] for r in spark.createDataFrame(rows, "a long, b long").selectExpr("xxhash64(a, b)").collect()]
 
 
+def test_runs_are_shuffled_in_few_bytes_and_come_back():
+    rng = np.random.default_rng(8)
+    words = np.minimum((1 / rng.random((3, 60_000))).astype(np.int64) * 7, 3_000_000)
+    words[:, np.argsort(words[0])] = words.copy()
+    words = words[:, np.argsort(words[0], kind="stable")]
+    words[1, :40], words[2, 7], words[0, 9] = rng.integers(-(2**63), 2**63, 40), -1, suffix_tree_lm.OTHER
+    n = np.ones(60_000, dtype=np.int64)
+    n[:3] = 254, 255, 2**40
+    size, data = suffix_tree_lm.packed_runs(words, n)
+    back, counts = suffix_tree_lm.unpacked_runs(data, size, 60_000, 3)
+    assert back.tolist() == words.tolist() and counts.tolist() == n.tolist()
+    assert len(data) < 8 * 60_000  # two hashes and a count took 20 bytes
+
+
+def test_words_without_a_number_score_the_same(real, monkeypatch):
+    key = lambda r: r["doc_id"]
+    numbered = sorted(suffix_tree_lm.score(real).collect(), key=key)
+    monkeypatch.setattr(suffix_tree_lm, "P_MIN", 1e-3)
+    for a, b in zip(numbered, sorted(suffix_tree_lm.score(real, p_min=1e-3).collect(), key=key), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-6)
+
+
 # ------------------------------------------------------------------ mixing
 
 def test_mixing_nears_its_targets(odd, real, none):
