@@ -174,8 +174,9 @@ def pivot_pairs(long: DataFrame, turn: int, percent: int) -> DataFrame:
     rows = long.withColumn("band", band(F.col("n"), 100 / percent))
     first = F.struct(F.xxhash64("label", F.lit(turn)).alias("h") if turn else F.lit(0).alias("h"), "i", "doc_id", "n", "most", "label")
     pivots = written(rows.groupBy("s", "band").agg(F.min(first).alias("p")).select("s", "band", "p.*"), "join-pivots")
-    seen = rows.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
-    both = seen.alias("x").join(if_small(pivots).alias("p"), ["s", "band"])
+    # a pivot is set beside the members of its band and of the one before: pivots are few, members many
+    near = pivots.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+    both = rows.alias("x").join(if_small(near, 200_000).alias("p"), ["s", "band"])
     return both.where((F.col("x.label") != F.col("p.label")) & fits("x", "p")).select(*pair("x", "p"))
 
 

@@ -311,6 +311,23 @@ def test_ngram_join_of_one_large_group(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_pivots_go_to_the_bands_and_not_members_to_the_pivots(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, d, int(rng.integers(40, 90)), d % 5, 200, d % 7) for s in range(3) for d in range(40)]
+    long = spark.createDataFrame(rows, "s long, doc_id long, n int, i int, most int, label long")
+    band = lambda n: int(log(n) / (log(100 / 85) * 1.000001))
+    pivots = {}
+    for s, d, n, i, most, label in rows:
+        key = (s, band(n))
+        pivots[key] = min(pivots.get(key, (99, 0, 0)), (i, d, label))
+    wanted = Counter((min(d, p[1]), max(d, p[1])) for s, d, n, _, _, label in rows for p in (pivots.get((s, band(n))), pivots.get((s, band(n) + 1))) if p and p[2] != label)
+    got = ngram_join.pivot_pairs(long, 0, 85)
+    assert Counter(map(tuple, got.collect())) == wanted and wanted
+    lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    under = [next(x for x in lines[k:] if "Relation" in x or "LogicalRDD" in x or "LocalRelation" in x) for k, x in enumerate(lines) if "Generate" in x]
+    assert under and all("band" in x for x in under)  # of pivots, which alone have a band in their table
+
+
 def test_ngram_join_with_odd_rows(odd, none):
     rows = odd.dropDuplicates(["doc_id"]).where("doc_id is not null")
     assert sorted(map(tuple, ngram_join.jaccard_classes(rows).collect()), key=repr) == brute_components(docs_of(rows), 4, 85)
