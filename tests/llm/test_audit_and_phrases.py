@@ -3,8 +3,11 @@
 import re
 from collections import Counter, defaultdict
 from itertools import permutations
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyspark
 from pyspark.sql import functions as F
 
 from aerolith.llm import filter_audit, phrases
@@ -128,6 +131,22 @@ def test_positions_come_back():
         assert phrases.unpacked(phrases.packed(np.array(at, dtype=np.int32))).tolist() == at
 
 
+def test_slices_of_a_block_are_cut_one_by_one(spark, monkeypatch):
+    sizes, cut = [], phrases.positioned
+    monkeypatch.setattr(phrases, "positioned", lambda texts: sizes.append(sum(len(t.as_py()) for t in texts)) or cut(texts))
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    texts = [f"a word{i % 50} of text {i}, and more. " * 300 for i in range(600)]
+    index = phrases.vertical_lists(SimpleNamespace(mapInArrow=lambda f, _: f))
+    blocks = list(index(iter([pa.RecordBatch.from_arrays([pa.array(["en"] * 600), pa.array(texts)], ["lang", "text"])])))
+    assert len(blocks) == 1 and max(sizes) <= 1_000_000 < sum(sizes)
+    words, at = cut(pa.array(texts))
+    n, code = blocks[0].column("counts")[0].as_py(), words.dictionary_encode().indices.to_numpy()
+    found = phrases.unpacked(blocks[0].column("positions")[0].as_py())
+    order = np.argsort(code, kind="stable")
+    assert blocks[0].column("words")[0].as_py() == words.dictionary_encode().dictionary.to_pylist() and n == np.bincount(code).tolist()
+    assert np.array_equal(np.diff(np.sort(found)) == 1, np.diff(at) == 1) and np.array_equal(np.argsort(found), np.argsort(at[order]))
+
+
 def test_phrases_of_no_rows_and_of_few(spark):
     docs = spark.createDataFrame([], DOCS)
     assert phrases.collocations(docs).count() == 0
