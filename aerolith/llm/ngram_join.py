@@ -13,8 +13,8 @@ that n - i shared shingles allow. Members of short lists are paired if each allo
 Only groups, not pairs, are asked for, so long lists aren't multiplied out. First each is cut into bands of sizes, and
 the member with the fewest rare shingles of a band is compared with the members of its own band and of the next: where
 many documents are near copies of one, this joins them in one component. Then only members of different components are
-paired, by list and size, a document whose rare shingles leave little to share with few sizes or none. Every pair that
-may be linked is either compared or lies in one component.
+paired, by list and band, a document whose rare shingles leave little to share with few sizes or none; no member is
+repeated for the sizes it allows. Every pair that may be linked is either compared or lies in one component.
 """
 
 from __future__ import annotations
@@ -183,15 +183,38 @@ def pivot_pairs(long: DataFrame, turn: int, percent: int) -> DataFrame:
 def remaining(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members of lists that hold several components, and of them the smaller and larger partners of pairs that may be left.
 
-    Partners are told by list and fine band of the smaller one. A list of one component has nothing left and stays out:
-    components only grow together.
+    A member is one row on each side at most. A list of one component has nothing left and stays out: components only
+    grow together.
     """
     mixed = written(rows.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("s"), "join-mixed")
     rows = written(rows.join(if_small(mixed), "s", "left_semi"), "join-rest")
-    small = rows.where("n <= most").withColumn("f", band(F.col("n"), FINE))
     low, high = band(F.greatest(F.ceil(F.col("n") * percent / 100), F.lit(1)), FINE), band(F.least("n", "most"), FINE)
-    large = rows.withColumns({"low": low, "high": high}).where("low <= high").withColumn("f", F.explode(F.sequence("low", "high"))).drop("low", "high")
-    return rows, small, large
+    return rows, rows.where("n <= most"), rows.withColumns({"low": low, "high": high}).where("low <= high")
+
+
+def pairs_left(small: DataFrame, large: DataFrame) -> int:
+    """How many pairs are of one list and of sizes that may be linked, by fine bands.
+
+    A larger partner meets the smaller ones up to its highest band without those below its lowest: running counts of a
+    list are taken there, so no member is repeated for the bands between.
+    """
+    places = small.select("s", band(F.col("n"), FINE).alias("f"), F.lit(1).alias("m"), F.lit(0).alias("k"))
+    places = places.union(large.select("s", "high", F.lit(0), F.lit(1))).union(large.select("s", F.col("low") - 1, F.lit(0), F.lit(-1)))
+    places = places.groupBy("s", "f").agg(F.sum("m").alias("m"), F.sum("k").alias("k"))
+    upto = F.sum("m").over(W.partitionBy("s").orderBy("f"))
+    return places.select((upto * F.col("k")).alias("work")).agg(F.sum("work")).head()[0] or 0
+
+
+def pairs_of_rest(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be left: the larger partner's size lies in the smaller one's band or in the next."""
+    small, large = (x.withColumn("band", band(F.col("n"), 100 / percent)) for x in (small, large))
+    ordered = F.struct("y.n", "y.doc_id") < F.struct("x.n", "x.doc_id")
+
+    def beside(y: DataFrame) -> DataFrame:
+        both = y.alias("y").join(large.alias("x"), ["s", "band"])
+        return both.where((F.col("x.label") != F.col("y.label")) & ordered & fits("x", "y")).select(*pair("x", "y"))
+
+    return beside(small).union(beside(small.withColumn("band", F.col("band") + 1)))
 
 
 def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -241,13 +264,11 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
             named = written(with_labels(named.drop("label"), labels), "join-named", paths)
         named, small, large = remaining(named, percent)
         turn += 1
-        work = small.groupBy("s", "f").agg(F.count(F.lit(1)).alias("m")).join(large.groupBy("s", "f").agg(F.count(F.lit(1)).alias("k")), ["s", "f"]).agg(F.sum(F.col("m") * F.col("k"))).head()[0]
-        if more and MANY * members < (work or 0) <= before / 2:
+        work = pairs_left(small, large)
+        if more and MANY * members < work <= before / 2:
             before = work
             continue
-        small, large = small.alias("y"), large.alias("x")
-        ordered = F.struct("y.n", "y.doc_id") < F.struct("x.n", "x.doc_id")
-        rest = small.join(large, ["s", "f"]).where((F.col("x.label") != F.col("y.label")) & ordered & fits("x", "y")).select(*pair("x", "y"))
+        rest = pairs_of_rest(small, large, percent)
         labels = compared(docs, own, rest, tested, links, labels, width, percent, paths)[2]
         break
 

@@ -328,6 +328,26 @@ def test_pivots_go_to_the_bands_and_not_members_to_the_pivots(spark):
     assert under and all("band" in x for x in under)  # of pivots, which alone have a band in their table
 
 
+def test_members_that_are_left_are_not_repeated_for_the_sizes_they_allow(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for s in range(3):
+        for d in range(60):
+            n = int(rng.integers(1, 130))
+            i = int(rng.integers(0, n - -(-85 * n // 100) + 1))
+            rows.append((s, d, n, i, 185 * (n - i) // 85 - n, d % 7 if s else 0))
+    named = spark.createDataFrame(rows, "s long, doc_id long, n int, i int, most int, label long")
+    left, small, large = ngram_join.remaining(named, 85)
+    assert left.count() == 120 and small.count() <= 120 and large.count() <= 120
+    fine = lambda n: int(log(n) / (log(ngram_join.FINE) * 1.000001))
+    lists = [[r for r in rows if r[0] == s] for s in (1, 2)]
+    both = [(y, x) for some in lists for y in some for x in some]
+    work = sum(y[2] <= y[4] and fine(max(-(-85 * x[2] // 100), 1)) <= fine(y[2]) <= fine(min(x[2], x[4])) for y, x in both)
+    assert ngram_join.pairs_left(small, large) == work
+    wanted = Counter((min(y[1], x[1]), max(y[1], x[1])) for y, x in both if (y[2], y[1]) < (x[2], x[1]) and x[2] <= y[4] and y[2] <= x[4] and y[5] != x[5])
+    assert Counter(map(tuple, ngram_join.pairs_of_rest(small, large, 85).collect())) == wanted and wanted
+
+
 def test_ngram_join_with_odd_rows(odd, none):
     rows = odd.dropDuplicates(["doc_id"]).where("doc_id is not null")
     assert sorted(map(tuple, ngram_join.jaccard_classes(rows).collect()), key=repr) == brute_components(docs_of(rows), 4, 85)
