@@ -12,6 +12,7 @@ The model file holds merge ranks, not probabilities: the piece of rank r weighs
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -69,7 +70,8 @@ class Lattices:
         self.longest = max(map(len, pieces))
         #: a character in bytes weighs less than any piece
         self.byte_weight = float(weights[weights > 0].min()) / 2
-        # the prefixes of all pieces as nodes of a tree: sorted keys (node, next character), and the piece that ends at a node
+        # the prefixes of all pieces as nodes of a tree: the nodes after each first character, a hash table of keys (node,
+        # next character), and the piece that ends at a node
         node = {"": 0}
         step: dict[int, int] = {}
         for piece in pieces:
@@ -77,8 +79,18 @@ class Lattices:
                 if piece[:k] not in node:
                     node[piece[:k]] = len(node)
                     step[(node[piece[: k - 1]] << 21) | ord(piece[k - 1])] = node[piece[:k]]
-        self.step_key = np.array(sorted(step), dtype=np.int64)
-        self.step_to = np.array([step[k] for k in self.step_key.tolist()], dtype=np.int64)
+        key, to = np.array(list(step), dtype=np.int64), np.array(list(step.values()), dtype=np.int64)
+        self.root = np.full(sys.maxunicode + 1, -1, dtype=np.int64)
+        self.root[key[key >> 21 == 0]] = to[key >> 21 == 0]
+        self.bits = len(step).bit_length() + 2
+        self.slot_key, self.slot_to = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, -1, dtype=np.int64)
+        slot = self.slot(key)
+        while len(key):
+            free, first_of = np.unique(slot, return_index=True)
+            first_of = first_of[self.slot_key[free] < 0]
+            self.slot_key[slot[first_of]], self.slot_to[slot[first_of]] = key[first_of], to[first_of]
+            key, to, slot = (np.delete(x, first_of) for x in (key, to, slot))
+            slot = (slot + 1) & ((1 << self.bits) - 1)
         self.piece_at = np.full(len(node), -1, dtype=np.int64)
         for piece, i in pieces.items():
             self.piece_at[node[piece]] = i
@@ -95,24 +107,40 @@ class Lattices:
         self.code = np.zeros(0, dtype=np.int32)
         self.nodes = 0
 
-    def matches(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """End, length and piece of every piece in the text; all starts walk down the tree together."""
-        at, node = np.arange(len(chars)), np.zeros(len(chars), dtype=np.int64)
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        """Where a key is looked for first."""
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The node after each node and character, -1 if there is none."""
+        key = (node << 21) | char
+        slot = self.slot(key)
+        held = self.slot_key[slot]
+        out = np.where(held == key, self.slot_to[slot], -1)
+        more = np.flatnonzero((held != key) & (held >= 0))
+        while len(more):
+            slot[more] = (slot[more] + 1) & ((1 << self.bits) - 1)
+            held = self.slot_key[slot[more]]
+            same = held == key[more]
+            out[more[same]] = self.slot_to[slot[more[same]]]
+            more = more[~same & (held >= 0)]
+        return out
+
+    def matches(self, chars: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray]]:
+        """By length, the ends and pieces of all pieces in the text, which ends in a line feed; all starts walk down the tree together."""
+        node = self.root[chars]
+        at = np.flatnonzero(node >= 0)
+        node, size = node[at], 1
         found: list[tuple[np.ndarray, int, np.ndarray]] = []
-        size = 0
         while len(at):
-            key = (node << 21) | chars[at + size]
-            k = np.searchsorted(self.step_key, key)
-            k[k == len(self.step_key)] = 0
-            go = self.step_key[k] == key
-            at, node = at[go], self.step_to[k[go]]
-            size += 1
             piece = self.piece_at[node]
             hit = piece >= 0
             found.append((at[hit] + size, size, piece[hit]))
-            inside = at + size < len(chars)
-            at, node = at[inside], node[inside]
-        return np.concatenate([e for e, _, _ in found]), np.concatenate([np.full(len(e), n) for e, n, _ in found]), np.concatenate([c for _, _, c in found])
+            node = self.step(node, chars[at + size])  # a walk ends at a line feed, so before the text does
+            go = np.flatnonzero(node >= 0)
+            at, node = at[go], node[go]
+            size += 1
+        return found
 
     def add(self, segments: list[str]) -> None:
         """Forward filtering for new segments. A code of -1 - c stands for character c in bytes."""
@@ -120,38 +148,54 @@ class Lattices:
         base = np.concatenate([[0], np.cumsum(lengths + 1)])
         # each segment is followed by a line feed, which no piece holds: its place is the segment's end node
         chars = np.frombuffer(("\n".join(segments) + "\n").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        end, size, code = self.matches(chars)
+        found = self.matches(chars)
         alone = chars != 10
-        alone[end[size == 1] - 1] = False
+        for e in (e for e, n, _ in found if n == 1):
+            alone[e - 1] = False
         lone = np.flatnonzero(alone)
-        end, size, code = np.concatenate([end, lone + 1]), np.concatenate([size, np.ones(len(lone), dtype=np.int64)]), np.concatenate([code, -1 - chars[lone]])
+        found.append((lone + 1, 1, -1 - chars[lone]))
+        # edges in order of their ends: of one length, no two have the same
+        per_end = np.zeros(len(chars) + 1, dtype=np.int64)
+        for e, _, _ in found:
+            per_end[e] += 1
+        free = np.cumsum(per_end) - per_end
+        end = np.repeat(np.arange(len(per_end)), per_end)
+        size, code = np.empty(len(end), dtype=np.int64), np.empty(len(end), dtype=np.int64)
+        for e, n, c in found:
+            at = free[e]
+            size[at], code[at] = n, c
+            free[e] = at + 1
         weight = np.where(code >= 0, self.weights[np.maximum(code, 0)], self.byte_weight)
-        order = np.argsort(end, kind="stable")
-        end, size, code, weight = end[order], size[order], code[order], weight[order]
         alpha = np.zeros(len(chars) + 1)
         alpha[base[:-1]] = 1.0
         depth = end - np.repeat(base[:-1], lengths + 1)[end - 1]
-        mass = np.zeros(len(end))
-        by_depth = np.argsort(depth, kind="stable")
-        bounds = np.searchsorted(depth[by_depth], np.arange(1, lengths.max() + 2))
+        most = int(lengths.max())
+        by_depth = np.argsort(depth.astype(np.uint16 if most < 1 << 16 else np.int64), kind="stable")  # sorted in two passes if small
+        bounds = np.cumsum(np.bincount(depth, minlength=most + 1))
+        e, source, by_weight = end[by_depth], (end - size)[by_depth], weight[by_depth]
+        share = np.empty(len(end))
+        # edges of one end stand together
+        runs = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+        wide, run_bounds = np.diff(np.append(runs, len(e))), np.searchsorted(runs, bounds)
         long = np.flatnonzero(lengths > SEGMENT)
         back = np.arange(self.longest)
-        for at, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), 1):
-            some = by_depth[low:high]
-            if len(some):
-                mass[some] = alpha[end[some] - size[some]] * weight[some]
-                # edges stand in order of their ends: sums over runs of one end
-                e = end[some]
-                run = np.concatenate([[0], np.flatnonzero(np.diff(e)) + 1])
-                alpha[e[run]] = np.add.reduceat(mass[some], run)
-                mass[some] /= alpha[e]
+        for at in range(1, most + 1):
+            low, high = bounds[at - 1], bounds[at]
+            if low < high:
+                part = alpha[source[low:high]] * by_weight[low:high]
+                run = slice(run_bounds[at - 1], run_bounds[at])
+                total = np.add.reduceat(part, runs[run] - low)
+                alpha[e[runs[run]]] = total
+                share[low:high] = part / np.repeat(total, wide[run])
             if at % self.longest == 0 and len(long):
                 # of a long segment the nodes that pieces to come can begin at; only their ratios count from here on
                 long = long[lengths[long] > at]
                 recent = base[long][:, None] + at - back
                 alpha[recent] /= alpha[recent].max(axis=1, keepdims=True)
+        mass = np.empty(len(end))
+        mass[by_depth] = share
         group = np.concatenate([[0], np.flatnonzero(np.diff(end)) + 1])
-        counts = np.diff(np.append(group, len(end)))
+        counts = per_end[end[group]]
         running = np.cumsum(mass) - np.repeat(np.arange(len(group)), counts)
         running[group + counts - 1] = 2.0  # a draw never passes a node's last edge, however sums are rounded
         first = np.full(len(chars) + 1, -1, dtype=np.int64)
@@ -225,10 +269,11 @@ def encode_texts(texts: list[str], keys: list[int], model_file: str, sharpness:
     """Sampled piece ids of each text; the empty text has none."""
     tables = lattices(model_file, sharpness)
     split = [segments_of(t) if t else [] for t in texts]
-    new = list({s for x in split for s in x if s not in tables.index})
+    met = set().union(*split)
+    new = list(met.difference(tables.index))
     if len(tables.index) + len(new) > CACHE_SEGMENTS or tables.nodes + sum(map(len, new)) > CACHE_CHARS:
         tables.forget()
-        new = list({s for x in split for s in x})
+        new = list(met)
     if new:
         tables.add(new)
     counts = np.array([len(x) for x in split], dtype=np.int64)

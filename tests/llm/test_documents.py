@@ -534,6 +534,16 @@ def test_pieces_of_several_spaces_are_drawn(text):
         assert abs(drawn[ids] / n - share) < 5 * (share / n) ** 0.5 + 0.01
 
 
+def test_steps_from_prefix_to_prefix_equal_those_of_a_dictionary():
+    tables = piece_sampling.lattices(tokenizer_file("piece_bpe_32k.model"), 1.0)
+    pieces = {b.decode().replace(" ", piece_sampling.SPACE) for b, w in zip(tables.bytes_of, tables.weights, strict=True) if w}
+    text = "▁the▁naïve▁汉字▁𝄞▁strawberries▁" + piece_sampling.MARK + "".join(sorted(pieces)[::40]) + "\n"
+    chars = np.array(list(map(ord, text)), dtype=np.int64)
+    got = {(e, n) for ends, n, _ in tables.matches(chars) for e in ends.tolist()}
+    wanted = {(i + n, n) for i in range(len(text)) for n in range(1, tables.longest + 1) if text[i : i + n] in pieces and i + n <= len(text)}
+    assert got == wanted and all(len(set(ends.tolist())) == len(ends) for ends, _, _ in tables.matches(chars))
+
+
 def test_long_runs_are_one_lattice():
     path, n = tokenizer_file("piece_bpe_32k.model"), 300
     tables = piece_sampling.lattices(path, 1.0)
