@@ -63,3 +63,14 @@ def test_stages_take_odd_and_empty_tables(spark, k):
             assert len(rows) == docs.count()
         if name == "exact dedup":
             assert set(Counter(r["text"] or "" for r in rows).values()) <= {1}
+
+
+def test_the_join_of_the_pipeline_repeats_no_member(spark):
+    from aerolith.llm import ngram_join
+
+    rows = [(1, d, n, 0, 180 * n // 80 - n, d) for d, n in enumerate(range(20, 120))]
+    named = spark.createDataFrame(rows, "s long, doc_id long, n int, i int, most int, label long")
+    left, small, large = ngram_join.remaining(named, 80)
+    assert left.count() == small.count() == large.count() == len(rows)
+    wanted = sorted((y[1], x[1]) for y in rows for x in rows if y[1] < x[1] and x[2] <= y[4])
+    assert sorted(map(tuple, ngram_join.pairs_of_rest(small, large, 80).collect())) == wanted
