@@ -36,9 +36,11 @@ INNER = re.compile(f"[^{SPACE}]{SPACE}")
 #: Segments whose lattices a task keeps.
 CACHE_SEGMENTS = 100_000
 #: Characters of segments whose lattices a task keeps, as some segments are long.
-CACHE_CHARS = 1_000_000
+CACHE_CHARS = 500_000
+#: Characters of new segments whose lattices are built at once: their edges take some 500 bytes a character on the way.
+SLICE_CHARS = 60_000
 #: Bytes of text that are sampled at once.
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 500_000
 
 
 class Lattices:
@@ -143,7 +145,20 @@ class Lattices:
         return found
 
     def add(self, segments: list[str]) -> None:
-        """Forward filtering for new segments. A code of -1 - c stands for character c in bytes."""
+        """Forward filtering for new segments, a slice at a time."""
+        ends = np.cumsum(np.fromiter(map(len, segments), dtype=np.int64, count=len(segments)) + 1)
+        held = [(self.within, self.first, self.source, self.code, self.starts, self.ends)]
+        edges, low, before = len(self.within), 0, 0
+        while low < len(segments):
+            high = max(low + 1, int(np.searchsorted(ends, before + SLICE_CHARS, "right")))
+            held.append(self.filtered(segments[low:high], edges))
+            edges += len(held[-1][0])
+            low, before = high, int(ends[high - 1])
+        self.index.update(zip(segments, range(len(self.ends), len(self.ends) + len(segments)), strict=True))
+        self.within, self.first, self.source, self.code, self.starts, self.ends = (np.concatenate(x) for x in zip(*held, strict=True))
+
+    def filtered(self, segments: list[str], edges: int) -> tuple[np.ndarray, ...]:
+        """Edges and nodes of these segments, which go behind the nodes and so many edges. A code of -1 - c stands for character c in bytes."""
         lengths = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
         base = np.concatenate([[0], np.cumsum(lengths + 1)])
         # each segment is followed by a line feed, which no piece holds: its place is the segment's end node
@@ -199,15 +214,11 @@ class Lattices:
         running = np.cumsum(mass) - np.repeat(np.arange(len(group)), counts)
         running[group + counts - 1] = 2.0  # a draw never passes a node's last edge, however sums are rounded
         first = np.full(len(chars) + 1, -1, dtype=np.int64)
-        first[end[group]] = group + len(self.within)
-        self.index.update(zip(segments, range(len(self.ends), len(self.ends) + len(segments)), strict=True))
-        self.within = np.concatenate([self.within, running])
-        self.first = np.concatenate([self.first, first.astype(np.int32)])
-        self.source = np.concatenate([self.source, (end - size + self.nodes).astype(np.int32)])
-        self.code = np.concatenate([self.code, code.astype(np.int32)])
-        self.starts = np.concatenate([self.starts, base[:-1] + self.nodes])
-        self.ends = np.concatenate([self.ends, base[:-1] + lengths + self.nodes])
+        first[end[group]] = group + edges
+        begin = self.nodes
         self.nodes += len(chars) + 1
+        nodes = base[:-1] + begin
+        return running, first.astype(np.int32), (end - size + begin).astype(np.int32), code.astype(np.int32), nodes, nodes + lengths
 
     def sample(self, which: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling of one path for each segment; returns codes in reading order, and path lengths."""

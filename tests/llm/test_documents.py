@@ -569,6 +569,26 @@ def test_scaled_sums_give_the_same_draws(monkeypatch):
     assert np.allclose(plain.within, scaled.within)
 
 
+def test_many_new_segments_take_little_memory_on_the_way(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    new = sorted({piece_sampling.SPACE + "".join(map(chr, 97 + rng.integers(0, 26, 8))) for _ in range(40_000)})
+    which, seeds = np.arange(len(new)), np.arange(len(new), dtype=np.uint64) << np.uint64(32)
+    drawn = []
+    for most in (piece_sampling.SLICE_CHARS, 1 << 40):
+        monkeypatch.setattr(piece_sampling, "SLICE_CHARS", most)
+        tables = piece_sampling.Lattices(tokenizer_file("piece_bpe_32k.model"), 1.0)
+        tracemalloc.start()
+        tables.add(new)
+        held, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        drawn.append((peak - held, *(x.tolist() for x in tables.sample(which, seeds))))
+    (little, *sliced), (much, *whole) = drawn
+    assert sliced == whole
+    assert little < 50_000_000 < much
+
+
 def test_private_characters_do_not_stop_the_lattice(spark):
     path = tokenizer_file("piece_bpe_32k.model")
     text = "the quick brown fox \ue000 and \ue001\n the ▁ lazy dog"
