@@ -227,6 +227,23 @@ def test_runs_are_shuffled_in_few_bytes_and_come_back():
     assert len(data) < 8 * 60_000  # two hashes and a count took 20 bytes
 
 
+def test_look_ups_are_shuffled_in_few_bytes_and_find_every_run():
+    rng = np.random.default_rng(9)
+    lm, m, parts = suffix_tree_lm, 200_000, 4
+    rows = (1 << 33) + np.arange(4_000)
+    g, place = rng.integers(-(2**63), 2**63, m), np.sort(rng.integers(0, 4_000, m))
+    g[:9], place[:9] = 77, 0  # a run that one row holds nine times
+    asked = lm.packed_look_ups(g, place, np.arange(m) < 9, rows, parts)
+    assert sum(len(r[3]) + len(r[5]) for r in asked) < 10 * m  # a row of the join took some 15 bytes
+    known = g[::2]
+    held = lm.packed_values(np.append(known[known != 77], [77, 77]), np.arange((known != 77).sum() + 2) == (known != 77).sum(), np.append(np.full((known != 77).sum(), 0.25), [-3.0, -0.5]), parts)
+    got = [lm.looked_up([r for r in asked + held if r[0] == k], -9.0) for k in range(parts)]
+    n_known, lower, upper = (sum(x[i].sum() for x in got) for i in (1, 2, 3))
+    assert (n_known, lower) == (9, -27.0) and upper == 0.25 * (known != 77).sum() - 9 * 3.5
+    row, n, lower, upper = (np.concatenate([lm.looked_up([r for r in asked if r[0] == k], -9.0)[i] for k in range(parts)]) for i in range(4))
+    assert (row.tolist(), n.tolist(), lower.tolist(), upper.tolist()) == ([1 << 33], [0], [-81.0], [-81.0])
+
+
 def test_words_without_a_number_score_the_same(real, monkeypatch):
     key = lambda r: r["doc_id"]
     numbered = sorted(suffix_tree_lm.score(real).collect(), key=key)
