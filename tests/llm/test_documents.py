@@ -244,6 +244,22 @@ def test_look_ups_are_shuffled_in_few_bytes_and_find_every_run():
     assert (row.tolist(), n.tolist(), lower.tolist(), upper.tolist()) == ([1 << 33], [0], [-81.0], [-81.0])
 
 
+def test_levels_of_the_tree_are_few_records_and_no_joined_rows(real):
+    lm = suffix_tree_lm
+    _, nodes, alive, total, distinct, parts = lm.tree(real.selectExpr("doc_id", "coalesce(text, '') text"), lm.DEPTH)
+    base, kept = brute_tree(docs_of(real), lm.DEPTH)
+    records = nodes.collect()
+    got = [(r["kind"], *lm.unpacked_nodes(r["data"], r["m"])) for r in records]
+    assert sum(r["m"] for r in records if r["kind"] == lm.WORD) == distinct
+    # one row for each node met in sorted joins before, which filled the executors' memory
+    assert len(records) < min(sum(r["m"] for r in records) / 3, 3 * (lm.DEPTH + 1) * parts * (parts + 1))
+    backs = np.sort(np.concatenate([v for kind, *_, v in got if kind == lm.CONTEXT]))
+    assert np.allclose(backs[backs != 0], np.sort([b / log(10) for b, _ in kept.values()]), rtol=1e-9)
+    for kind, g, n, *_ in got:
+        assert (np.diff(g) > 0).all()
+        assert kind == lm.RUN or lm.in_filter(alive, g[n >= 2]).all()
+
+
 def test_words_without_a_number_score_the_same(real, monkeypatch):
     key = lambda r: r["doc_id"]
     numbered = sorted(suffix_tree_lm.score(real).collect(), key=key)
