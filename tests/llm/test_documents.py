@@ -257,7 +257,13 @@ def test_levels_of_the_tree_are_few_records_and_no_joined_rows(real):
     assert np.allclose(backs[backs != 0], np.sort([b / log(10) for b, _ in kept.values()]), rtol=1e-9)
     for kind, g, n, *_ in got:
         assert (np.diff(g) > 0).all()
-        assert kind == lm.RUN or lm.in_filter(alive, g[n >= 2]).all()
+        assert kind == lm.GAINS or lm.in_filter(alive, g[n >= 2]).all()
+
+
+def test_ranges_without_nodes_give_no_records():
+    none = np.zeros(0, dtype=np.int64)
+    assert list(suffix_tree_lm.by_part(none, 4)) == []
+    assert suffix_tree_lm.packed_nodes(suffix_tree_lm.CONTEXT, none, none, none, none, none, 4) == []
 
 
 def test_words_without_a_number_score_the_same(real, monkeypatch):
