@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -234,11 +238,28 @@ def stream_sql(value: str = "fp", source: str = "pre", wall: bool = True) -> str
     return f"post AS MATERIALIZED (SELECT p.c, p.i, {result} AS f FROM {source} p {pulled} {bounce})"
 
 
+def half_up(v: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as SQL does, halves away from zero, without a negative zero."""
+    scaled = v * 10.0**digits
+    whole = np.trunc(scaled)
+    return (whole + np.sign(scaled) * (np.abs(scaled - whole) >= 0.5)) / 10.0**digits + 0.0
+
+
 def long_form(df: DataFrame, digits: int = 9) -> DataFrame:
-    """One row for each cell and population. Directions are listed by themselves: an explode of f would copy its expression."""
-    cell = cell_number()
-    rows = df.select(cell.alias("cell"), "f", F.explode(F.sequence(F.lit(0), F.lit(D27.q - 1))).alias("i")).where(F.col("i") < F.size("f"))
-    return rows.select("cell", "i", r(F.element_at("f", F.col("i") + 1), digits).alias("f"))
+    """One row for each cell and population, a slice of cells at a time."""
+
+    def unrolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 2000):
+                part = batch.slice(start, 2000)
+                sizes = part.column("f").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                values = part.column("f").flatten()
+                f = half_up(values.to_numpy(zero_copy_only=False), digits)
+                i = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                none = values.is_null().to_numpy(zero_copy_only=False) if values.null_count else None
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("cell").to_numpy(), sizes)), pa.array(i.astype(np.int32)), pa.array(f, mask=none)], names=["cell", "i", "f"])
+
+    return df.select(cell_number().alias("cell"), "f").mapInArrow(unrolled, "cell long, i int, f double")
 
 
 @query("agg01_moments", f"WITH {fx.flow_sql(D27)}, {MOMENTS} SELECT c AS cell, {sql_rounded(('rho', 'ux', 'uy', 'uz'), 9)} FROM m")
@@ -248,14 +269,12 @@ def agg01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("prj02_equilibrium", f"WITH {fx.flow_sql(D27)}, {MOMENTS} SELECT c AS cell, CAST(i AS INTEGER) AS i, round({EQ}, 9) + 0.0 AS f FROM pop JOIN m USING (c)")
 def prj02(spark: SparkSession, d: str) -> DataFrame:
-    df = lbm.moments(fx.flow(spark, d, D27), D27)
-    return long_form(df.withColumn("f", F.array(*lbm.equilibrium(D27, F.col("rho"), lbm.velocity_columns()))))
+    return long_form(lbm.collided(fx.flow(spark, d, D27), D27, lbm.resting(D27)))
 
 
 @query("prj04_bgk_relaxation", f"WITH {fx.flow_sql(D27)}, {MOMENTS}, {BGK} SELECT c AS cell, CAST(i AS INTEGER) AS i, round(fp, 9) + 0.0 AS f FROM pre")
 def prj04(spark: SparkSession, d: str) -> DataFrame:
-    df = lbm.moments(fx.flow(spark, d, D27), D27)
-    return long_form(df.withColumn("f", lbm.relaxed(D27, lit(OMEGA))))
+    return long_form(lbm.collided(fx.flow(spark, d, D27), D27, lbm.relaxing(D27, OMEGA)))
 
 
 @query("prj03_guo_force", f"""WITH {fx.flow_sql(D19)}, {MOMENTS} SELECT c AS cell, CAST(i AS INTEGER) AS i, round(w * (1 - 0.5 * {OMEGA!r}) * (3 * (ex * 0.01 + ey * 0.02 - ez * 0.03) + 9 * (ex * ux + ey * uy + ez * uz) * (ex * 0.01 + ey * 0.02 - ez * 0.03) - 3 * (ux * 0.01 + uy * 0.02 - uz * 0.03)), 9) + 0.0 AS f FROM pop JOIN m USING (c)""")
@@ -299,15 +318,13 @@ def cmp45(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cmp16_shifted_step", f"WITH {fx.flow_sql(D27)}, {MOMENTS}, {BGK}, {stream_sql()} SELECT p.c AS cell, CAST(p.i AS INTEGER) AS i, round(p.f - l.w, 7) + 0.0 AS f FROM post p JOIN lat l USING (i)")
 def cmp16(spark: SparkSession, d: str) -> DataFrame:
-    rest = F.array(*[lit(w) for w in D27.weights])
-    shifted = fx.flow(spark, d, D27).withColumn("f", F.zip_with("f", rest, lambda a, b: a - b))
+    shifted = fx.flow(spark, d, D27).withColumn("f", F.array(*[F.col("f")[i] - lit(w) for i, w in enumerate(D27.weights)]))
     return long_form(lbm.mixed_precision_step(shifted, D27, N, (0.6 - 0.5) / 3, half=False), 7)
 
 
 @query("cmp16_half_precision_step")
 def cmp16_half(spark: SparkSession, d: str) -> DataFrame:
-    rest = F.array(*[lit(w) for w in D27.weights])
-    shifted = fx.flow(spark, d, D27).withColumn("f", lbm.as_half(F.zip_with("f", rest, lambda a, b: a - b)))
+    shifted = fx.flow(spark, d, D27).withColumn("f", lbm.as_half(F.array(*[F.col("f")[i] - lit(w) for i, w in enumerate(D27.weights)])))
     return long_form(lbm.mixed_precision_step(shifted, D27, N, (0.6 - 0.5) / 3), 7)
 
 
@@ -317,7 +334,7 @@ ALL_MOMENTS = ("000", "100", "010", "001", "200", "020", "002", "110", "101", "0
 
 @query("agg02_central_moments", f"WITH {fx.flow_sql(D27)}, {MOMENTS} SELECT c AS cell, {', '.join(f'round({CENTRAL(tuple(map(int, p)))}, 9) + 0.0 AS k{p}' for p in ALL_MOMENTS)} FROM pop JOIN m USING (c) GROUP BY c")
 def agg02(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(lbm.central_moments(lbm.moments(fx.flow(spark, d, D27), D27), D27, ALL_MOMENTS), tuple(f"k{p}" for p in ALL_MOMENTS), "cell", digits=9)
+    return rounded(lbm.central_moments(fx.flow(spark, d, D27), D27, ALL_MOMENTS), tuple(f"k{p}" for p in ALL_MOMENTS), "cell", digits=9)
 
 
 RELAXED = """k AS MATERIALIZED (SELECT c, any_value(rho) AS rho, any_value(ux) AS ux, any_value(uy) AS uy, any_value(uz) AS uz, sum(f * (ex - ux) * (ex - ux)) AS a, sum(f * (ey - uy) * (ey - uy)) AS b, sum(f * (ez - uz) * (ez - uz)) AS d,
@@ -327,8 +344,7 @@ kr AS (SELECT c, rho, ux, uy, uz, a + 1.2 * (rho / 3 - a) AS a, b + 1.2 * (rho /
 
 @query("cmp04_cascaded_relaxation", f"WITH {fx.flow_sql(D27)}, {MOMENTS}, {RELAXED} SELECT c AS cell, round(a, 9) AS k200, round(b, 9) AS k020, round(d, 9) AS k002, round(ab, 9) + 0.0 AS k110, round(ad, 9) + 0.0 AS k101, round(bd, 9) + 0.0 AS k011 FROM kr")
 def cmp04(spark: SparkSession, d: str) -> DataFrame:
-    df = lbm.central_moments(lbm.moments(fx.flow(spark, d, D27), D27), D27, lbm.FIRST + lbm.SECOND)
-    return rounded(df.withColumns(lbm.relaxed_moments(lbm.SECOND, 1 / 0.6, 1.2, 1.6)), tuple(f"k{p}" for p in lbm.SECOND), "cell", digits=9)
+    return rounded(lbm.relaxed_central(fx.flow(spark, d, D27), D27, 1 / 0.6, 1.2, 1.6), tuple(f"k{p}" for p in lbm.SECOND), "cell", digits=9)
 
 
 POPULATIONS = f"""pre AS MATERIALIZED (SELECT p.sim, p.c, p.x, p.y, p.z, p.solid, p.i, p.ex, p.ey, p.ez, p.opp, {EQ} + w * (0.5 * (a - rho / 3) * ((ex - ux) * (ex - ux) - 1 / 3.0::DOUBLE) + 0.5 * (b - rho / 3) * ((ey - uy) * (ey - uy) - 1 / 3.0::DOUBLE) + 0.5 * (d - rho / 3) * ((ez - uz) * (ez - uz) - 1 / 3.0::DOUBLE)

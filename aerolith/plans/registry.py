@@ -26,3 +26,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(rows: DataFrame, key: str, share: int) -> DataFrame:
+    """Rows dealt out by their key, some ``share`` of them a task.
+
+    A row that becomes thousands of cells is small in its file, and the file would be one task's work. What is grouped
+    by the key and more then finds its rows together.
+    """
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // share))
+    return rows.repartition(parts, key)
