@@ -57,7 +57,11 @@ def square_sum(s: dict[str, Column], prefix: str = "s") -> Column:
 
 def q_criterion(df: DataFrame, u: tuple[str, str, str] = ("ux", "uy", "uz"), keys: tuple[str, ...] = ("sim_id",)) -> DataFrame:
     """Adds q = (|vorticity|^2 - |strain|^2) / 2, which takes the whole vorticity, not half of it."""
-    df = vorticity(df, u, keys).withColumns(strain(u))
+    return with_q(vorticity(df, u, keys).withColumns(strain(u)))
+
+
+def with_q(df: DataFrame) -> DataFrame:
+    """Adds q to rows that have their vorticity and strain."""
     s = {k: F.col(k) for k in ("s11", "s22", "s33", "s12", "s13", "s23")}
     return df.withColumn("q", 0.5 * (F.col("wx") ** 2 + F.col("wy") ** 2 + F.col("wz") ** 2 - square_sum(s)))
 

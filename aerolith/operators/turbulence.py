@@ -17,16 +17,23 @@ def magnitude(prefix: str = "s"):
     return F.sqrt(2.0 * stencil.square_sum({f"{prefix}{k}": F.col(f"{prefix}{k}") for k in PARTS}, prefix) + 1e-12)
 
 
+def with_gradient(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows with the gradient of u, which takes a shuffle or a sort an axis where they lack it."""
+    return df if "ux_x" in df.columns else stencil.gradient(df, U, keys)
+
+
 def smagorinsky(df: DataFrame, cs: float = 0.17, delta: float = 1.0, keys: tuple[str, ...] = ("sim_id",)) -> DataFrame:
     """Adds nu_t = (cs delta)^2 |S|."""
-    df = stencil.gradient(df, U, keys).withColumns(stencil.strain())
+    df = with_gradient(df, keys).withColumns(stencil.strain())
     return df.withColumn("nu_t", lit((cs * delta) ** 2) * magnitude())
 
 
 def dynamic_smagorinsky(df: DataFrame, delta: float = 1.0, ratio: float = 2.0, low: float = 0.0, high: float = 0.2, keys: tuple[str, ...] = ("sim_id",)) -> DataFrame:
     """Adds cs (from the Germano identity, held in [low, high]) and nu_t = (cs delta)^2 |S|."""
-    df = stencil.gradient(df, U, keys).withColumns(stencil.strain())
-    df = df.withColumn("s_mag", magnitude()).drop(*[f"{u}_{a}" for u in U for a in "xyz"])
+    had = "ux_x" in df.columns
+    df = with_gradient(df, keys).withColumns(stencil.strain())
+    df = df.withColumn("s_mag", magnitude())
+    df = df if had else df.drop(*[f"{u}_{a}" for u in U for a in "xyz"])
     pairs = {"11": ("ux", "ux"), "22": ("uy", "uy"), "33": ("uz", "uz"), "12": ("ux", "uy"), "13": ("ux", "uz"), "23": ("uy", "uz")}
     filtered = {f"t{u}": u for u in U} | {f"l{k}": F.col(a) * F.col(b) for k, (a, b) in pairs.items()}
     df = stencil.box_filter(df, filtered, keys, stencil.box_width(ratio))
@@ -48,7 +55,7 @@ def dynamic_smagorinsky(df: DataFrame, delta: float = 1.0, ratio: float = 2.0, l
 
 def wale(df: DataFrame, cw: float = 0.5, delta: float = 1.0, keys: tuple[str, ...] = ("sim_id",)) -> DataFrame:
     """Adds nu_t of the wall-adapting model, from the diagonal of the squared velocity gradient."""
-    df = stencil.gradient(df, U, keys)
+    df = with_gradient(df, keys)
     g = {(a, b): F.col(f"{u}_{b}") for a, u in zip("xyz", U, strict=True) for b in "xyz"}
     third = (g["x", "x"] + g["y", "y"] + g["z", "z"]) / 3.0
     diagonal = []
@@ -76,8 +83,8 @@ def confinement_force(df: DataFrame, epsilon: float = 0.01, adaptive: bool = Tru
     Components of eta are held in [1e-12, 1e12], so falling ones count as 1e-12. With ``adaptive`` epsilon is scaled by
     the vorticity over its mean of the whole grid.
     """
-    drop = [f"{u}_{a}" for u in U for a in "xyz"]
-    df = stencil.vorticity(df.drop(*drop, "wx", "wy", "wz"), keys=keys)
+    if "wx" not in df.columns:
+        df = stencil.vorticity(df.drop(*[f"{u}_{a}" for u in U for a in "xyz"]), keys=keys)
     w = tuple(F.col(c) for c in ("wx", "wy", "wz"))
     df = df.withColumn("w_mag", F.sqrt(w[0] ** 2 + w[1] ** 2 + w[2] ** 2 + 1e-12))
     df = stencil.gradient(df, ("w_mag",), keys)
