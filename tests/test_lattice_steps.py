@@ -14,6 +14,7 @@ D27 = lattice("D3Q27")
 AT_SIZE = """
 cmp02_cascaded_step
 cmp04_cascaded_relaxation
+cmp16_shifted_step
 cmp01_les_step
 """.split()
 #: The mean of each grid reads the simulations a second time.
