@@ -16,6 +16,7 @@ cmp02_cascaded_step
 cmp04_cascaded_relaxation
 cmp16_shifted_step
 cmp45_block_step
+cmp47_guide_cascaded
 cmp01_les_step
 """.split()
 #: The mean of each grid reads the simulations a second time.
