@@ -17,6 +17,7 @@ cmp04_cascaded_relaxation
 cmp16_shifted_step
 cmp45_block_step
 cmp47_guide_cascaded
+prj02_equilibrium
 cmp01_les_step
 """.split()
 #: The mean of each grid reads the simulations a second time.
