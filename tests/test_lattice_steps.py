@@ -18,6 +18,7 @@ cmp16_shifted_step
 cmp45_block_step
 cmp47_guide_cascaded
 prj02_equilibrium
+prj04_bgk_relaxation
 cmp01_les_step
 """.split()
 #: The mean of each grid reads the simulations a second time.
