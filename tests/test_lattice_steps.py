@@ -19,6 +19,7 @@ cmp45_block_step
 cmp47_guide_cascaded
 prj02_equilibrium
 prj04_bgk_relaxation
+prj05_bounce_back
 cmp01_les_step
 """.split()
 #: The mean of each grid reads the simulations a second time.
