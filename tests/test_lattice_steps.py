@@ -20,6 +20,7 @@ cmp47_guide_cascaded
 prj02_equilibrium
 prj04_bgk_relaxation
 prj05_bounce_back
+agg02_central_moments
 cmp01_les_step
 """.split()
 #: The mean of each grid reads the simulations a second time.
