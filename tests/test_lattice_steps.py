@@ -21,6 +21,7 @@ prj02_equilibrium
 prj04_bgk_relaxation
 prj05_bounce_back
 agg02_central_moments
+cmp03_plain_step
 cmp01_les_step
 """.split()
 #: The mean of each grid reads the simulations a second time.
