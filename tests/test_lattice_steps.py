@@ -22,6 +22,7 @@ prj04_bgk_relaxation
 prj05_bounce_back
 agg02_central_moments
 cmp03_plain_step
+cmp05_moments_to_populations
 cmp01_les_step
 """.split()
 #: The mean of each grid reads the simulations a second time.
