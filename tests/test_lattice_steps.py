@@ -23,6 +23,7 @@ prj05_bounce_back
 agg02_central_moments
 cmp03_plain_step
 cmp05_moments_to_populations
+cmp52_guide_step
 cmp01_les_step
 """.split()
 #: The mean of each grid reads the simulations a second time.
