@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, lit, nan_to_num, r
+from ..functions.scalars import clamp, half_up, lit, nan_to_num, r
 from ..operators import components, forces, lbm, mesh, stencil, turbulence
 from ..sources import grids
 from ..sources.lattice import lattice
@@ -238,13 +238,6 @@ def stream_sql(value: str = "fp", source: str = "pre", wall: bool = True) -> str
     return f"post AS MATERIALIZED (SELECT p.c, p.i, {result} AS f FROM {source} p {pulled} {bounce})"
 
 
-def half_up(v: np.ndarray, digits: int) -> np.ndarray:
-    """Rounded as SQL does, halves away from zero, without a negative zero."""
-    scaled = v * 10.0**digits
-    whole = np.trunc(scaled)
-    return (whole + np.sign(scaled) * (np.abs(scaled - whole) >= 0.5)) / 10.0**digits + 0.0
-
-
 def long_form(df: DataFrame, digits: int = 9) -> DataFrame:
     """One row for each cell and population, a slice of cells at a time."""
 
