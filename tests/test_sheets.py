@@ -9,7 +9,7 @@ from aerolith.plans.catalog import QUERIES
 from aerolith.sources import grids
 
 DATA = "/root/testdata/sf0.001"
-AT_SIZE = "agg14_vertex_normals cmp29_mesh_graph".split()
+AT_SIZE = "agg14_vertex_normals cmp29_mesh_graph doc05_curvature".split()
 
 
 def near(rows, others):
